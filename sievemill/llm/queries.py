@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding, token_counts, warc
-from .common import table
+from . import decontaminate, hamming_search, line_dedup, packing, quality_fm, sharding, token_counts, warc
+from .common import materialise, table
 
 
 def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,35 @@ def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_bin_packing, op3_rank_synchronous_counts, op5_gzip_normaliser, op6_cuckoo_line_dedup, op7_hierarchical_packing)}
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality_fm.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality_fm.score_quality(docs, machine)
+    return scored.select("doc_id", (quality_fm.fold_of("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = materialise(hamming_search.binary_codes(table(spark, sf_dir, "embeddings")), "codes")
+    return hamming_search.top_k(codes, codes.filter(F.col("vec_id") % 20 == 0), k=10)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_vector_bin_packing,
+        op3_rank_synchronous_counts,
+        op5_gzip_normaliser,
+        op6_cuckoo_line_dedup,
+        op7_hierarchical_packing,
+        op8_factorisation_machine,
+        op9_greedy_string_tiling,
+        op10_multi_index_hashing,
+    )
+}
 
 #: DuckDB SQL for the rows of those queries that SQL can express.
 ORACLES = {
@@ -53,4 +81,11 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM hot)) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM hot)), '')) AS kept_sha256
         FROM k GROUP BY doc_id""",
+    "op10_multi_index_hashing": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+        d AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+                     CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+              FROM e AS q JOIN e AS r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+        SELECT query_id, rank, neighbor_id, distance FROM n WHERE rank <= 10""",
 }
