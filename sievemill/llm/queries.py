@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming_search, line_dedup, packing, quality_fm, sharding, token_counts, warc
+from . import decontaminate, hamming_search, line_dedup, ngram_join, packing, quality_fm, sharding, token_counts, warc
 from .common import materialise, table
 
 
@@ -19,6 +19,10 @@ def op3_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ QUERIES = {
     for f in (
         op1_vector_bin_packing,
         op3_rank_synchronous_counts,
+        op4_prefix_tree_join,
         op5_gzip_normaliser,
         op6_cuckoo_line_dedup,
         op7_hierarchical_packing,
