@@ -202,7 +202,9 @@ def _read(folder: str):
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["page_id", "refers_to", "payload_bytes", "payload_digest", "record_type", "target_uri", "payload"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    for c, x in (("page_id", 0), ("refers_to", 1)):  # integers and nulls must not pass through floats
+        out[c] = pd.array([r[x] for r in rows], dtype="Int64")
+    return out.astype({"payload_bytes": "int64"})
 
 
 READ_SCHEMA = "page_id long, refers_to long, payload_bytes long, payload_digest string, record_type string, target_uri string, payload binary"
