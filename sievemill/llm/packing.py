@@ -20,6 +20,8 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from .token_counts import pieces
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: Windows of a tier that stay unpacked to fill the gaps of longer ones.
 RESERVE = 16
 
@@ -49,24 +51,49 @@ class WordIds:
     def _clear(self) -> None:
         self.at: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
-        self.start, self.size = np.zeros(REMEMBERED * 2, dtype=np.int64), np.zeros(REMEMBERED * 2, dtype=np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        self.start, self.size = np.zeros(1 << 20, dtype=np.int64), np.zeros(1 << 20, dtype=np.int64)
+
+    def _add(self, words: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        n = len(self.at)
+        if n + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(len(x) + len(words), dtype=np.int64)]) for x in (self.start, self.size))
+        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(words)] = size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def _ask(self, words: list[str]) -> None:
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
             ids = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
             size = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            n = len(self.at)
-            if n + len(part) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros(len(x) + len(part), dtype=np.int64)]) for x in (self.start, self.size))
-            self.start[n : n + len(part)] = self.used + np.cumsum(size) - size
-            self.size[n : n + len(part)] = size
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.at.update(zip(part, range(n, n + len(part))))
+            self._add(part, size, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())))
+
+    def _learn(self, new: set[str]) -> None:
+        """A Latin word that is capitalised or followed by a full stop or comma has the ids of the lower-case word,
+        and of that mark: the vocabulary ignores case and parts letters from marks. The library is asked for the rest."""
+        rest, built, stems, marks = [], [], [], []
+        for w in new:
+            s = w[:-1] if w[-1] in ".," else w
+            if s and s.isalpha() and max(s) < "\u0250" and (s is not w or "A" <= s[0] <= "Z"):
+                built.append(w), stems.append(s[0].lower() + s[1:] if "A" <= s[0] <= "Z" else s), marks.append("" if s is w else w[-1])
+            else:
+                rest.append(w)
+        self._ask(list({*rest, *stems, *marks} - self.at.keys()))
+        if built:
+            both = np.array([(self.at[s], self.at[m]) for s, m in zip(stems, marks)], dtype=np.int64).ravel()
+            size = self.size[both]
+            stop = np.cumsum(size)
+            flat = self.flat[np.repeat(self.start[both] - stop + size, size) + np.arange(stop[-1])]
+            now = [i for i, w in enumerate(built) if w not in self.at]  # a stem may be among the new words too
+            if len(now) < len(built):
+                keep = np.isin(np.arange(len(built)), now)
+                flat = flat[np.repeat(np.repeat(keep, 2), size)]
+                built, size = [built[i] for i in now], size.reshape(-1, 2)[keep].ravel()
+            self._add(built, size.reshape(-1, 2).sum(axis=1), flat)
 
     def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """Ids of each text and the closing id."""
@@ -75,7 +102,7 @@ class WordIds:
             self._clear()
         new = set().union(*cut) - self.at.keys()
         if new:
-            self._learn(list(new))
+            self._learn(new)
         for words in cut:
             at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
             size = self.size[at]
@@ -86,6 +113,12 @@ class WordIds:
             yield out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """Kept by a Python worker from task to task; what it remembers changes the time only."""
+    return WordIds(path)
+
+
 class Packer:
     """Pieces are (doc, start, ids, doc_tokens); finished rows gather in `rows`."""
 
@@ -165,7 +198,7 @@ class Packer:
 
 def _pack(path: str, tiers: tuple[int, ...], end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(path)
+        words = word_ids(path)
         packer = Packer(tiers, TaskContext.get().partitionId() << 40)
         for pdf in batches:
             for doc, ids in zip(pdf["doc_id"].tolist(), (x for p in pieces(pdf["text"].tolist()) for x in words.encode(p, end))):

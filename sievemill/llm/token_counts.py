@@ -25,7 +25,7 @@ from .common import text_of
 
 #: Characters of text that are in work at once, and pre-tokens whose counts a worker remembers.
 PIECE_CHARS = 1_000_000
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -130,6 +130,12 @@ class Counter:
         return [sum(map(self.known.__getitem__, words)) + extra for words, extra in cut]
 
 
+@lru_cache(maxsize=1)
+def load_counter(path: str, pattern: str) -> Counter:
+    """Kept by a Python worker from task to task; what it remembers changes the time only."""
+    return Counter(path, pattern)
+
+
 def pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[list[str]]:
     """Lists of whole texts of about `most` characters."""
     held, size = [], 0
@@ -145,7 +151,7 @@ def pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[list[str]]:
 
 def _count(path: str, pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(path, pattern)
+        counter = load_counter(path, pattern)
         for pdf in batches:
             n = [x for p in pieces(pdf.pop("text").tolist()) for x in counter.count(p)]
             yield pdf.assign(n_tokens=np.array(n, dtype=np.int64))
