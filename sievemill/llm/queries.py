@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming_search, line_dedup, ngram_join, packing, quality_fm, sharding, token_counts, warc
+from . import decontaminate, hamming_search, html_wrapper, line_dedup, ngram_join, packing, quality_fm, sharding, token_counts, warc
 from .common import materialise, table
 
 
@@ -15,6 +15,10 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -57,6 +61,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_vector_bin_packing,
+        op2_wrapper_induction,
         op3_rank_synchronous_counts,
         op4_prefix_tree_join,
         op5_gzip_normaliser,
