@@ -82,9 +82,11 @@ class Machine:
         return 1 / (1 + np.exp(-self.margin(Rows(made, self.mean, self.scale)).astype(float)))
 
     @classmethod
-    def fit(cls, made: list[tuple], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.08, decay: float = 1e-5) -> Machine:
-        """Mini-batch AdaGrad on the log loss, from a fixed seed."""
+    def fit(cls, made: list[tuple], labels: np.ndarray, steps: int = 1000, rate: float = 0.12, decay: float = 1e-5) -> Machine:
+        """Mini-batch AdaGrad on the log loss, from a fixed seed; about `steps` steps but six epochs at least."""
         rng = np.random.default_rng(7)
+        batch = int(np.clip(len(made) // 64, 16, 128))
+        epochs = max(6, -(-steps * batch // len(made)))
         size = (1 << BITS) + STATS
         stats = np.stack([m[2] for m in made])
         mean, scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
