@@ -1,4 +1,4 @@
-"""Connected components by smallest labels and pointer jumping, as DataFrame joins."""
+"""Connected components by hooking and contraction, as DataFrame joins."""
 
 from __future__ import annotations
 
@@ -11,15 +11,21 @@ from .common import materialise
 def connected(edges: DataFrame, name: str = "labels") -> DataFrame:
     """edges (a, b), any direction -> (v, root): each vertex of an edge with the smallest vertex it can reach.
 
-    A round takes the smallest label among the neighbours and then the label of that label. Labels only fall and are
-    written to the shared folder each round, so the loop ends when the sum of changes is zero."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), name)
-    while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("root").alias("m"))
-        low = labels.join(near, labels["v"] == near["a"], "left").select("v", F.least("root", "m").alias("low"), F.col("root").alias("was"))
-        jump = labels.select(F.col("v").alias("low"), F.col("root").alias("up"))
-        new = materialise(low.join(jump, "low", "left").select("v", F.least("low", "up").alias("root"), (F.least("low", "up") < F.col("was")).alias("moved")), name)
-        labels = new.select("v", "root")
-        if not new.filter("moved").limit(1).count():
-            return labels
+    In a round every vertex hooks to its smallest neighbour, if smaller, and takes the hook of that vertex. The edges
+    are then drawn between hooks, equal ones once, and those within a hook vanish, so the graph shrinks from round to
+    round; each is written to the shared folder. The hooks of all rounds, one after another, lead to the roots."""
+    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), f"{name}-edges")
+    roots = None
+    while roots is None or both.limit(1).count():
+        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
+        up = hook.select(F.col("v").alias("p"), F.col("p").alias("root"))
+        hook = materialise(hook.join(up, "p").select("v", "root"), name)
+        for_a, for_b = (hook.select(F.col("v").alias(c), F.col("root").alias(f"{c}r")) for c in "ab")
+        drawn = both.join(for_a, "a").join(for_b, "b").select(F.col("ar").alias("a"), F.col("br").alias("b")).filter("a <> b").distinct()
+        both = materialise(drawn, f"{name}-edges")
+        if roots is None:
+            roots = hook
+        else:
+            later = hook.select(F.col("v").alias("root"), F.col("root").alias("_r"))
+            roots = roots.join(later, "root", "left").select("v", F.coalesce("_r", "root").alias("root"))
+    return materialise(roots, name)
