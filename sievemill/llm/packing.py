@@ -17,11 +17,12 @@ closing id; repeated rows are packed each; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,18 +35,23 @@ from .token_counts import pieces
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
 REMEMBERED = 1_500_000
+#: Characters that every Unicode library lower-cases alike, one by one: below U+0250 without the dotted capital I.
+LATIN = re.compile("[\\x00-\\u012f\\u0131-\\u024f]*").fullmatch
 #: Windows of a tier that stay unpacked to fill the gaps of longer ones.
 RESERVE = 16
 
 
 class WordIds:
-    """Ids of whole texts by way of their distinct words."""
+    """Ids of whole texts by way of their distinct words, each asked of the library once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        vocab = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a run of letters
+        self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -65,51 +71,66 @@ class WordIds:
         self.used += len(flat)
         self.at.update(zip(words, range(n, n + len(words))))
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _ask(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            ids = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+            ids = self._ids(part)
             size = np.array([len(x) for x in ids], dtype=np.int64)
             self._add(part, size, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())))
 
+    def _ask_letters(self, words: list[str]) -> None:
+        """Words of letters only are one pre-token each, so many can be asked for in one text."""
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            flat = np.array(list(chain.from_iterable(self._ids([" ".join(part[j : j + 500]) for j in range(0, len(part), 500)]))), dtype=np.uint32)
+            size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+            if len(size) != len(part):
+                raise ValueError("the vocabulary parts runs of letters")
+            self._add(part, size, flat)
+
     def _learn(self, new: set[str]) -> None:
-        """A Latin word that is capitalised or followed by a full stop or comma has the ids of the lower-case word,
-        and of that mark: the vocabulary ignores case and parts letters from marks. The library is asked for the rest."""
-        rest, built, stems, marks = [], [], [], []
+        """A Latin word followed by a full stop or comma has the ids of the word and of that mark, as the vocabulary
+        parts letters from marks; so far as it can, the library is asked for words of letters only."""
+        rest, built, stems = [], [], []
         for w in new:
-            s = w[:-1] if w[-1] in ".," else w
-            if s and s.isalpha() and max(s) < "\u0250" and (s is not w or "A" <= s[0] <= "Z"):
-                built.append(w), stems.append(s[0].lower() + s[1:] if "A" <= s[0] <= "Z" else s), marks.append("" if s is w else w[-1])
+            if w.isalpha():
+                stems.append(w) if LATIN(w) else rest.append(w)
+            elif w[-1] in ".," and w[:-1].isalpha() and LATIN(w):
+                built.append(w)
             else:
                 rest.append(w)
-        self._ask(list({*rest, *stems, *marks} - self.at.keys()))
+        self._ask(list({*rest, ".", ","} - self.at.keys()))
+        self._ask_letters(list({*stems, *(w[:-1] for w in built)} - self.at.keys()))
         if built:
-            both = np.array([(self.at[s], self.at[m]) for s, m in zip(stems, marks)], dtype=np.int64).ravel()
+            both = np.array([(self.at[w[:-1]], self.at[w[-1]]) for w in built], dtype=np.int64).ravel()
             size = self.size[both]
-            stop = np.cumsum(size)
-            flat = self.flat[np.repeat(self.start[both] - stop + size, size) + np.arange(stop[-1])]
-            now = [i for i, w in enumerate(built) if w not in self.at]  # a stem may be among the new words too
-            if len(now) < len(built):
-                keep = np.isin(np.arange(len(built)), now)
-                flat = flat[np.repeat(np.repeat(keep, 2), size)]
-                built, size = [built[i] for i in now], size.reshape(-1, 2)[keep].ravel()
-            self._add(built, size.reshape(-1, 2).sum(axis=1), flat)
+            self._add(built, size.reshape(-1, 2).sum(axis=1), self._gather(both, size))
+
+    def _gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        stop = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1])]
 
     def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
-        """Ids of each text and the closing id."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        """Ids of each text and the closing id. The vocabulary ignores case, so Latin texts are lower-cased first,
+        which makes fewer distinct words."""
         if len(self.at) > REMEMBERED:
             self._clear()
-        new = set().union(*cut) - self.at.keys()
-        if new:
-            self._learn(new)
-        for words in cut:
-            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-            size = self.size[at]
-            stop = np.cumsum(size)
-            out = np.empty(int(stop[-1]) + 1, dtype=np.uint32)
-            out[:-1] = self.flat[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1])]
-            out[-1] = end
+        cut = [(t.lower() if LATIN(t) else t).replace("\n", " ").split(" ") for t in texts]
+        words = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(miss := np.flatnonzero(at < 0)):
+            new = [words[i] for i in miss.tolist()]
+            self._learn(set(new))
+            at[miss] = np.fromiter(map(self.at.__getitem__, new), dtype=np.int64, count=len(new))
+        size = self.size[at]
+        flat, total = self._gather(at, size), np.r_[0, np.cumsum(size)]
+        bounds = total[np.cumsum([0, *map(len, cut)])]
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            out = np.empty(b - a + 1, dtype=np.uint32)
+            out[:-1], out[-1] = flat[a:b], end
             yield out
 
 
