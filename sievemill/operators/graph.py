@@ -5,34 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemill.functions.session import cut
 
-def reachable(edges: DataFrame, start) -> DataFrame:
-    """Nodes downstream of the start by breadth-first search; the start only if it lies on a cycle."""
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE r(node) AS (
-             SELECT dst FROM {edges} WHERE src = {start}
-             UNION
-             SELECT e.dst FROM {edges} e JOIN r ON e.src = r.node)
-           SELECT DISTINCT node FROM r""",
-        edges=edges.select("src", "dst").distinct(),
-        start=F.lit(start),
-    )
-
-
-def layers(edges: DataFrame, start, most: int = 100) -> DataFrame:
-    """node and hops from the start: each round joins the newest layer only, so it costs the edges it touches."""
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, 0)], f"node {dict(edges.dtypes)['src']}, hops int")
-    front = seen
+
+def layers(edges: DataFrame, start, most: int = 1000) -> DataFrame:
+    """node and hops from the start, by breadth-first search: a round joins the newest layer only, so it costs the
+    edges it touches, and is checkpointed."""
+    edges = edges.select("src", "dst").distinct()
+    seen = front = edges.sparkSession.createDataFrame([(start, 0)], f"node {dict(edges.dtypes)['src']}, hops int")
     for k in range(1, most + 1):
-        new = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = new.withColumn("hops", F.lit(k)).checkpoint() if spark.sparkContext.getCheckpointDir() else new.withColumn("hops", F.lit(k))
+        new = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        front = cut(new.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if not front.limit(1).count():
             break
         seen = seen.union(front)
     return seen
 
 
+def reachable(edges: DataFrame, start) -> DataFrame:
+    """Nodes downstream of the start; the start itself only if it lies on a cycle."""
+    seen = layers(edges, start).select("node")
+    back = edges.join(seen, edges["src"] == seen["node"]).filter(F.col("dst") == F.lit(start)).select(F.col("dst").alias("node"))
+    return seen.filter(F.col("node") != F.lit(start)).union(back.distinct())
+
+
 def longest_path(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     """Latency of each node after so many relaxations of all edges: the largest sum of node latencies on a path into it
     (edges `src, dst`, nodes `node, latency`); a cycle grows until the rounds end."""
