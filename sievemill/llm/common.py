@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +46,33 @@ def text_of(column: str | Column = "text") -> Column:
 def input_partitions(df: DataFrame) -> int:
     """Number of tasks that will scan df: a size measure that costs no job."""
     return max(1, df.rdd.getNumPartitions())
+
+
+#: Rows and bytes of text that a Python worker is handed at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers are reused, and what one stage held should not weigh on the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def pandas_map(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
+    """mapInPandas with batches small enough for long texts; a smaller setting of the session stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (conf.get(key) or "").lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInPandas(run, schema)

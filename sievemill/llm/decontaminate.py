@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pandas_map
+
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_ITEMS = 20_000
@@ -151,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, thresh
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words long, covered_words long, tiles long, longest_tile long"
     out = docs.sparkSession.createDataFrame([], schema)
     for k, block in enumerate(benchmark_blocks(benchmark, min_words, block_items)):
-        found = docs.select("doc_id", "text").mapInPandas(_find(block, threshold), schema)
+        found = docs.select("doc_id", "text").transform(pandas_map, _find(block, threshold), schema)
         out = found if k == 0 else out.unionByName(found)
     return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
@@ -167,5 +169,5 @@ def _clean(block: Benchmark, threshold: float):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, threshold: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents that hold no benchmark item, unchanged."""
     for block in benchmark_blocks(benchmark, min_words, block_items):
-        docs = docs.mapInPandas(_clean(block, threshold), docs.schema)
+        docs = docs.transform(pandas_map, _clean(block, threshold), docs.schema)
     return docs

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pandas_map
+
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 SHARD_ROWS, BLOCK_QUERIES, LEAST_BLOCKS, LEAST_QUERIES = 200_000, 50_000, 12, 128
@@ -119,7 +121,7 @@ def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def binary_codes(vectors: DataFrame) -> DataFrame:
     """vec_id and code (64 sign bits in a long)."""
-    return vectors.select("vec_id", "embedding").mapInPandas(_codes, "vec_id long, code long")
+    return vectors.select("vec_id", "embedding").transform(pandas_map, _codes, "vec_id long, code long")
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +154,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = S
     index = part(codes, shards).select("ids", "codes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
     asked = part(queries, blocks).select("part", F.col("ids").alias("qids"), F.col("codes").alias("qcodes"))
     work = index.join(asked, "part").repartition(shards * blocks)
-    found = work.mapInPandas(_search(k), "query_id long, query_code long, neighbor_id long, distance long")
+    found = work.transform(pandas_map, _search(k), "query_id long, query_code long, neighbor_id long, distance long")
     found = found.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, pandas_map
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -140,7 +140,7 @@ def _counts(min_chars: int):
 
 def reference_counts(docs: DataFrame, n_shards: int = 64, min_chars: int = 1) -> DataFrame:
     """shard, h1, h2, refs: for each line key the number of documents that hold it; added up before the shuffle."""
-    part = docs.select("text").mapInPandas(_counts(min_chars), "h1 long, h2 long, refs long")
+    part = docs.select("text").transform(pandas_map, _counts(min_chars), "h1 long, h2 long, refs long")
     return part.groupBy("h1", "h2").agg(F.sum("refs").alias("refs")).withColumn("shard", F.pmod("h2", F.lit(n_shards)).cast("int"))
 
 
@@ -216,13 +216,13 @@ def drop_repeated_lines(docs: DataFrame, state: DataFrame, min_docs: int = 10, n
     columns = [*docs.columns, "n_lines", "n_dropped", "kept_text"]
     found = hot.toPandas() if hot.count() <= broadcast_keys else None  # 16 bytes a key
     if found is not None:
-        return docs.mapInPandas(_drop_local(_u64(found["h1"]), _u64(found["h2"]), n_shards, columns), ", ".join(fields + extra))
+        return docs.transform(pandas_map, _drop_local(_u64(found["h1"]), _u64(found["h2"]), n_shards, columns), ", ".join(fields + extra))
     row = F.sha1(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in ("doc_id", "text")]))
     keyed = docs.withColumn("_row", row)
-    lines = keyed.select("_row", "text").dropDuplicates(["_row"]).mapInPandas(_explode, "_row string, pos int, h1 long, h2 long")
+    lines = keyed.select("_row", "text").dropDuplicates(["_row"]).transform(pandas_map, _explode, "_row string, pos int, h1 long, h2 long")
     gone = lines.join(hot, ["h1", "h2"], "left_semi").groupBy("_row").agg(F.collect_set("pos").alias("_drop"))  # one document's lines
     joined = keyed.join(gone, "_row", "left").drop("_row")
-    return joined.mapInPandas(_apply_positions(columns), ", ".join(fields + extra))
+    return joined.transform(pandas_map, _apply_positions(columns), ", ".join(fields + extra))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, n_shards: int = 64, min_chars: int = 1) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_partitions, materialise
+from .common import input_partitions, materialise, pandas_map
 from .components import connected
 
 N_WORDS = 5
@@ -238,7 +238,7 @@ def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, par
     parts = max(32, -(-input_partitions(docs) * split // (part_mb << 20)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     about = f"ids array<{kind}>, id_fp array<long>, id_n array<long>"
-    blobs = docs.select("doc_id", "text").mapInPandas(_blobs(parts, n_words), f"part int, fp binary, n binary, cnt binary, h binary, {about}")
+    blobs = docs.select("doc_id", "text").transform(pandas_map, _blobs(parts, n_words), f"part int, fp binary, n binary, cnt binary, h binary, {about}")
     shared = blobs.groupBy("part").applyInPandas(_shared(parts), f"part int, fp binary, n binary, h binary, df binary, {about}")
     sets = shared.groupBy("part").applyInPandas(_assemble(percent), f"fp long, n long, size long, prefix array<long>, h binary, df binary, {about}")
     return materialise(sets, "ngram-sets")

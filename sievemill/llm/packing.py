@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import pandas_map, text_of
 from .token_counts import pieces
 
 TIERS = (256, 512, 1024, 2048)
@@ -236,4 +236,4 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, e
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    return docs.select("doc_id", text_of("text").alias("text")).mapInPandas(_pack(path, tiers, end_id), schema)
+    return docs.select("doc_id", text_of("text").alias("text")).transform(pandas_map, _pack(path, tiers, end_id), schema)

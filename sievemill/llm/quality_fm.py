@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import pandas_map, text_of
 
 BITS = 16
 FACTORS = 4
@@ -138,7 +138,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     chosen = labels.select("doc_id", "quality").filter((fold_of("doc_id") != 0) & F.col("quality").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
-    found = rows.repartition(1).mapInPandas(_fit, "model binary").collect()
+    found = rows.repartition(1).transform(pandas_map, _fit, "model binary").collect()
     return Machine.unpack(bytes(found[0]["model"])) if found else None
 
 
@@ -161,9 +161,9 @@ def _scored(packed: bytes | None, keep: float | None):
 def score_quality(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """doc_id and score of every document (0.5 without a machine)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(_scored(machine and machine.pack(), None), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").transform(pandas_map, _scored(machine and machine.pack(), None), f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches the threshold, unchanged."""
-    return docs.mapInPandas(_scored(machine and machine.pack(), threshold), docs.schema)
+    return docs.transform(pandas_map, _scored(machine and machine.pack(), threshold), docs.schema)

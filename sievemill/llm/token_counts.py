@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import pandas_map, text_of
 
 #: Characters of text that are in work at once, and pre-tokens whose counts a worker remembers.
 PIECE_CHARS = 1_000_000
@@ -163,5 +163,5 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     """doc_id, n_bytes, n_tokens, over_limit."""
     rows = docs.select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), text_of("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInPandas(_count(path, pattern), f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = rows.transform(pandas_map, _count(path, pattern), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
