@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ STEP_TOKENS = 16 * 2048
 REMEMBERED = 1_500_000
 #: Characters that every Unicode library lower-cases alike, one by one: below U+0250 without the dotted capital I.
 LATIN = re.compile("[\\x00-\\u012f\\u0131-\\u024f]*").fullmatch
+#: Marks that end a run of letters (an apostrophe may not).
+MARKS = string.punctuation.replace("'", "")
 #: Windows of a tier that stay unpacked to fill the gaps of longer ones.
 RESERVE = 16
 
@@ -46,9 +49,11 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.lib = Tokenizer.from_file(path)
+        self.lib, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])  # for lower-case Latin words both leave nothing to do
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a run of letters
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
@@ -71,43 +76,39 @@ class WordIds:
         self.used += len(flat)
         self.at.update(zip(words, range(n, n + len(words))))
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _ask(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            ids = self._ids(part)
+            ids = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
             size = np.array([len(x) for x in ids], dtype=np.int64)
             self._add(part, size, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())))
 
     def _ask_letters(self, words: list[str]) -> None:
-        """Words of letters only are one pre-token each, so many can be asked for in one text."""
+        """Lower-case words of letters only are one pre-token each, so many can be asked for in one text."""
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            flat = np.array(list(chain.from_iterable(self._ids([" ".join(part[j : j + 500]) for j in range(0, len(part), 500)]))), dtype=np.uint32)
+            made = self.bare.encode_batch_fast([" ".join(part[j : j + 200]) for j in range(0, len(part), 200)], add_special_tokens=False)
+            flat = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in made] or [np.zeros(0, np.uint32)])
             size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
             if len(size) != len(part):
                 raise ValueError("the vocabulary parts runs of letters")
             self._add(part, size, flat)
 
     def _learn(self, new: set[str]) -> None:
-        """A Latin word followed by a full stop or comma has the ids of the word and of that mark, as the vocabulary
-        parts letters from marks; so far as it can, the library is asked for words of letters only."""
-        rest, built, stems = [], [], []
-        for w in new:
-            if w.isalpha():
-                stems.append(w) if LATIN(w) else rest.append(w)
-            elif w[-1] in ".," and w[:-1].isalpha() and LATIN(w):
-                built.append(w)
-            else:
-                rest.append(w)
-        self._ask(list({*rest, ".", ","} - self.at.keys()))
-        self._ask_letters(list({*stems, *(w[:-1] for w in built)} - self.at.keys()))
+        """A lower-case Latin word followed by marks has the ids of the word and of the marks, as the vocabulary parts
+        letters from marks; so far as it can, the library is asked for words of letters only."""
+        lower = [w for w in new if w.islower() and (w.isascii() or LATIN(w))]
+        stems = [w if w.isalpha() else w.rstrip(MARKS) for w in lower]
+        plain = [s for s in stems if s.isalpha()]
+        built = [(w, s, w[len(s) :]) for w, s in zip(lower, stems) if len(w) > len(s) and s.isalpha()]
+        rest = {*new.difference(lower), *[w for w, s in zip(lower, stems) if not s.isalpha()], *[m for _, _, m in built]}
+        self._ask(list(rest - self.at.keys()))
+        self._ask_letters(list(set(plain) - self.at.keys()))
         if built:
-            both = np.array([(self.at[w[:-1]], self.at[w[-1]]) for w in built], dtype=np.int64).ravel()
+            at = self.at
+            both = np.array([[at[s] for _, s, _ in built], [at[m] for _, _, m in built]], dtype=np.int64).T.ravel()
             size = self.size[both]
-            self._add(built, size.reshape(-1, 2).sum(axis=1), self._gather(both, size))
+            self._add([w for w, _, _ in built], size.reshape(-1, 2).sum(axis=1), self._gather(both, size))
 
     def _gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         stop = np.cumsum(size)
