@@ -8,11 +8,16 @@ exchange. NaN counts as missing: `clean` turns it into null at the scan.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-RUN = Window.partitionBy("run_key").orderBy("idx")
-UP_TO = RUN.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_run() -> WindowSpec:
+    return Window.partitionBy("run_key").orderBy("idx")
+
+
+def up_to() -> WindowSpec:
+    return by_run().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def clean(samples: DataFrame, column: str = "value") -> DataFrame:
@@ -27,7 +32,7 @@ def number_rows(df: DataFrame, run: str, *order: str) -> DataFrame:
 
 def forward_fill(samples: DataFrame, column: str = "value") -> DataFrame:
     """Zero-order hold: a missing value takes the last one before it; none before stays null."""
-    return samples.withColumn(column, F.last(column, ignorenulls=True).over(UP_TO))
+    return samples.withColumn(column, F.last(column, ignorenulls=True).over(up_to()))
 
 
 def decode_changes(grid: DataFrame, changes: DataFrame) -> DataFrame:
@@ -69,9 +74,9 @@ def change_points(samples: DataFrame, tolerance: float) -> DataFrame:
 
 def with_islands(samples: DataFrame, state: str = "state") -> DataFrame:
     """island: number, from 0, of the maximal stretch of one state that a sample lies in."""
-    new = F.coalesce((~F.col(state).eqNullSafe(F.lag(state).over(RUN))).cast("int"), F.lit(1))
-    first = F.when(F.row_number().over(RUN) == 1, 0).otherwise(new)
-    return samples.withColumn("_new", first).withColumn("island", F.sum("_new").over(UP_TO).cast("int")).drop("_new")
+    new = F.coalesce((~F.col(state).eqNullSafe(F.lag(state).over(by_run()))).cast("int"), F.lit(1))
+    first = F.when(F.row_number().over(by_run()) == 1, 0).otherwise(new)
+    return samples.withColumn("_new", first).withColumn("island", F.sum("_new").over(up_to()).cast("int")).drop("_new")
 
 
 def islands(samples: DataFrame, state: str = "state") -> DataFrame:
@@ -85,7 +90,7 @@ def islands(samples: DataFrame, state: str = "state") -> DataFrame:
 
 def dwell(samples: DataFrame, settling: float, times: float = 3.0) -> DataFrame:
     """Stretches with their dwell, samples times the run's median step, and whether it is `times` the settling time."""
-    step = samples.withColumn("dt", F.col("t") - F.lag("t").over(RUN)).groupBy("run_key").agg(F.median("dt").alias("dt"))
+    step = samples.withColumn("dt", F.col("t") - F.lag("t").over(by_run())).groupBy("run_key").agg(F.median("dt").alias("dt"))
     held = islands(samples).join(step, "run_key").withColumn("dwell", F.col("n") * F.coalesce("dt", F.lit(0.0)))
     return held.select("run_key", "island", "state", "n", "dwell", (F.col("dwell") >= times * settling).alias("sufficient"))
 
@@ -112,21 +117,21 @@ def binarize(samples: DataFrame) -> DataFrame:
     """bit: above the middle of the run's range (missing counts as the minimum); a flat run is above 0.5 or not."""
     whole = Window.partitionBy("run_key")
     lo, hi = F.min("value").over(whole), F.max("value").over(whole)
-    firm = F.first("value", ignorenulls=True).over(RUN.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firm = F.first("value", ignorenulls=True).over(by_run().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     bit = F.when(hi - lo < 1e-9, firm > 0.5).otherwise(F.coalesce("value", lo) > (lo + hi) / 2)
     return samples.withColumn("bit", F.coalesce(bit, F.lit(False)).cast("int"))
 
 
 def edges(samples: DataFrame) -> DataFrame:
     """Samples at which the binarized value changed: idx of the new sample and direction."""
-    before = F.lag("bit").over(RUN)
+    before = F.lag("bit").over(by_run())
     return binarize(samples).withColumn("rise", F.col("bit") - before).filter("rise <> 0").select("run_key", "idx", "t", "rise")
 
 
 def edge_windows(samples: DataFrame, width: int, guard: int) -> DataFrame:
     """For each edge the means of `width` samples before and after it, `guard` samples away: frames, not a range join."""
-    before, after = RUN.rowsBetween(-width - guard + 1, -guard), RUN.rowsBetween(guard, guard + width - 1)
-    marked = binarize(samples).withColumn("rise", F.col("bit") - F.lag("bit").over(RUN))
+    before, after = by_run().rowsBetween(-width - guard + 1, -guard), by_run().rowsBetween(guard, guard + width - 1)
+    marked = binarize(samples).withColumn("rise", F.col("bit") - F.lag("bit").over(by_run()))
     marked = marked.withColumn("before", F.avg("value").over(before)).withColumn("after", F.avg("value").over(after))
     return marked.filter("rise <> 0").select("run_key", "idx", "rise", "before", "after", (F.col("after") - F.col("before")).alias("shift"))
 
@@ -144,7 +149,7 @@ def windowed_features(samples: DataFrame, k: int) -> DataFrame:
 def mid_rail_dwell(samples: DataFrame, low: float = 0.15, high: float = 0.85) -> DataFrame:
     """Share of a run's time that its value, scaled to the overall range, spends strictly between the two levels."""
     span = samples.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    weight = F.greatest(F.coalesce(F.lead("t").over(RUN) - F.col("t"), F.lit(0.0)), F.lit(0.0))
+    weight = F.greatest(F.coalesce(F.lead("t").over(by_run()) - F.col("t"), F.lit(0.0)), F.lit(0.0))
     scaled = samples.withColumn("w", weight).join(F.broadcast(span)).withColumn("z", (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))
     inside = F.sum(F.when((F.col("z") > low) & (F.col("z") < high), F.col("w")).otherwise(0.0))
     return scaled.groupBy("run_key").agg((inside / F.sum("w")).alias("mid_share"))
@@ -159,20 +164,20 @@ def classify_digital(samples: DataFrame, mean_below: float = 0.05, max_below: fl
 def gradient(samples: DataFrame) -> DataFrame:
     """Second-order derivative estimate on uneven steps, one-sided at the ends of a run."""
     v, t = F.col("value"), F.col("t")
-    a, b = t - F.lag("t").over(RUN), F.lead("t").over(RUN) - t
-    left, right = (v - F.lag("value").over(RUN)) / a, (F.lead("value").over(RUN) - v) / b
+    a, b = t - F.lag("t").over(by_run()), F.lead("t").over(by_run()) - t
+    left, right = (v - F.lag("value").over(by_run())) / a, (F.lead("value").over(by_run()) - v) / b
     return samples.withColumn("slope", F.when(a.isNull(), right).when(b.isNull(), left).otherwise((left * b + right * a) / (a + b)))
 
 
 def cumulative_trapezoid(samples: DataFrame) -> DataFrame:
     """Running integral of value over t, 0 at the first sample of a run."""
-    area = (F.col("value") + F.lag("value").over(RUN)) / 2 * (F.col("t") - F.lag("t").over(RUN))
-    return samples.withColumn("_a", F.coalesce(area, F.lit(0.0))).withColumn("integral", F.sum("_a").over(UP_TO)).drop("_a")
+    area = (F.col("value") + F.lag("value").over(by_run())) / 2 * (F.col("t") - F.lag("t").over(by_run()))
+    return samples.withColumn("_a", F.coalesce(area, F.lit(0.0))).withColumn("integral", F.sum("_a").over(up_to())).drop("_a")
 
 
 def median3(samples: DataFrame) -> DataFrame:
     """Median of a sample and its neighbours, zeros beyond the ends of a run."""
-    near = F.array(F.coalesce(F.lag("value").over(RUN), F.lit(0.0)), F.col("value"), F.coalesce(F.lead("value").over(RUN), F.lit(0.0)))
+    near = F.array(F.coalesce(F.lag("value").over(by_run()), F.lit(0.0)), F.col("value"), F.coalesce(F.lead("value").over(by_run()), F.lit(0.0)))
     return samples.withColumn("smooth", F.element_at(F.sort_array(near), 2))
 
 
@@ -180,7 +185,7 @@ def noise_floor(samples: DataFrame, parts: int = 12, least: int = 4, lowest: flo
     """Per run the smallest 1.4826 * MAD of full windows of max(least, n / parts) samples; where that is nothing, that
     of the steps over sqrt 2; runs of fewer than `least` samples have their population deviation."""
     whole = Window.partitionBy("run_key")
-    cut = samples.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("dv", F.col("value") - F.lag("value").over(RUN))
+    cut = samples.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("dv", F.col("value") - F.lag("value").over(by_run()))
     size = F.greatest(F.lit(least), F.floor(F.col("n") / parts))
     cut = cut.withColumn("size", size).withColumn("win", F.floor(F.col("idx") / F.col("size")))
     cut = cut.withColumn("mid", F.median("value").over(Window.partitionBy("run_key", "win"))).withColumn("dmid", F.median("dv").over(whole))
@@ -199,7 +204,7 @@ def above_floor(samples: DataFrame, floors: DataFrame, k: float) -> DataFrame:
 def lock_time(samples: DataFrame, locked: Column, hold: int = 10) -> DataFrame:
     """First time from which `hold` samples in a row are locked and a further one follows, else the first locked time,
     else infinity."""
-    ahead = RUN.rowsBetween(0, hold - 1)
+    ahead = by_run().rowsBetween(0, hold - 1)
     n = F.count(F.lit(1)).over(Window.partitionBy("run_key"))
     marked = samples.withColumn("ok", locked.cast("int")).withColumn("all", F.min("ok").over(ahead)).withColumn("n", n)
     firm = F.min(F.when((F.col("all") == 1) & (F.col("idx") + hold < F.col("n")), F.col("t")))
@@ -209,7 +214,7 @@ def lock_time(samples: DataFrame, locked: Column, hold: int = 10) -> DataFrame:
 
 def first_crossing(samples: DataFrame, level: float) -> DataFrame:
     """Per run the first time that the value falls below the level, linearly interpolated; the last time if never."""
-    v, t = F.lag("value").over(RUN), F.lag("t").over(RUN)
+    v, t = F.lag("value").over(by_run()), F.lag("t").over(by_run())
     at = t + (F.col("t") - t) * (v - level) / (v - F.col("value"))
     crossed = samples.withColumn("at", F.when((v >= level) & (F.col("value") < level), at))
     return crossed.groupBy("run_key").agg(F.coalesce(F.min("at"), F.max("t")).alias("crossing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import RUN
+from .sequence import by_run
 
 
 def pattern_states(samples: DataFrame, pattern: str, order: list[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def merge_rare(states: DataFrame, bits: str, share: float = 0.002, least: int =
 
 def transitions(samples: DataFrame, state: str = "state") -> DataFrame:
     """Changes from one sample to the next of a run: count, and share of the first state's samples that have a next."""
-    pairs = samples.select("run_key", F.col(state).alias("src"), F.lead(state).over(RUN).alias("dst")).filter("dst IS NOT NULL")
+    pairs = samples.select("run_key", F.col(state).alias("src"), F.lead(state).over(by_run()).alias("dst")).filter("dst IS NOT NULL")
     out = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     out = out.withColumn("of", F.sum("n").over(Window.partitionBy("src"))).filter("src <> dst")
     return out.select("src", "dst", "n", (F.col("n") / F.col("of")).alias("probability"))
@@ -85,7 +85,7 @@ def transition_sensitivity(samples: DataFrame, reach: int = 3, top: int = 8) ->
     """States entered, by the mean magnitude of the change across `reach` samples on both sides, clipped to the run."""
     n = F.max("idx").over(Window.partitionBy("run_key"))
     ahead, behind = F.least(F.lit(reach), n - F.col("idx")), F.least(F.lit(reach), F.col("idx"))
-    later = F.coalesce(*[F.when(ahead == k, F.lead("value", k).over(RUN)) for k in range(reach + 1)])
-    sooner = F.coalesce(*[F.when(behind == k, F.lag("value", k).over(RUN)) for k in range(reach + 1)])
-    at = samples.withColumn("step", F.abs(later - sooner)).withColumn("_p", F.lag("state").over(RUN)).filter("state <> _p")
+    later = F.coalesce(*[F.when(ahead == k, F.lead("value", k).over(by_run())) for k in range(reach + 1)])
+    sooner = F.coalesce(*[F.when(behind == k, F.lag("value", k).over(by_run())) for k in range(reach + 1)])
+    at = samples.withColumn("step", F.abs(later - sooner)).withColumn("_p", F.lag("state").over(by_run())).filter("state <> _p")
     return at.groupBy("state").agg(F.avg("step").alias("sensitivity"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("sensitivity"), "state").limit(top)
