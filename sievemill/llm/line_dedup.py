@@ -165,7 +165,7 @@ def _drop_local(h1: np.ndarray, h2: np.ndarray, n_shards: int, columns: list[str
             keys = [[line_key(x) for x in lines] for lines in texts]
             if len(verdicts) > 500_000:
                 verdicts.clear()
-            new = list({k for ks in keys for k in ks} - verdicts.keys())
+            new = [k for k in {k for ks in keys for k in ks} if k not in verdicts]
             if new:
                 hashes = [key_hash(k) for k in new]
                 a = np.fromiter((h >> 64 for h in hashes), dtype=np.uint64, count=len(new))

@@ -35,7 +35,7 @@ from .token_counts import pieces
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Characters that every Unicode library lower-cases alike, one by one: below U+0250 without the dotted capital I.
 LATIN = re.compile("[\\x00-\\u012f\\u0131-\\u024f]*").fullmatch
 #: Marks that end a run of letters (an apostrophe may not).
@@ -102,10 +102,10 @@ class WordIds:
         plain = [s for s in stems if s.isalpha()]
         built = [(w, s, w[len(s) :]) for w, s in zip(lower, stems) if len(w) > len(s) and s.isalpha()]
         rest = {*new.difference(lower), *[w for w, s in zip(lower, stems) if not s.isalpha()], *[m for _, _, m in built]}
-        self._ask(list(rest - self.at.keys()))
-        self._ask_letters(list(set(plain) - self.at.keys()))
+        at = self.at
+        self._ask([w for w in rest if w not in at])  # a set less dict keys would walk all the keys
+        self._ask_letters([w for w in set(plain) if w not in at])
         if built:
-            at = self.at
             both = np.array([[at[s] for _, s, _ in built], [at[m] for _, _, m in built]], dtype=np.int64).T.ravel()
             size = self.size[both]
             self._add([w for w, _, _ in built], size.reshape(-1, 2).sum(axis=1), self._gather(both, size))

@@ -124,7 +124,8 @@ class Counter:
         cut = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for words, _ in cut for w in words} - self.known.keys())
+        known = self.known
+        new = [w for w in {w for words, _ in cut for w in words} if w not in known]
         if new:
             self.known.update(zip(new, self.merger.counts([w.encode() for w in new]).tolist()))
         return [sum(map(self.known.__getitem__, words)) + extra for words, extra in cut]
