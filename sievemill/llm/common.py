@@ -61,18 +61,47 @@ def give_back() -> None:
         pass
 
 
-def pandas_map(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
-    """mapInPandas with batches small enough for long texts; a smaller setting of the session stays."""
-    conf = df.sparkSession.conf
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python small enough for long texts; a smaller setting of the session stays."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = (conf.get(key) or "").lower().rstrip("b")
+        now = (spark.conf.get(key) or "").lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(key, str(most))
+            spark.conf.set(key, str(most))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _returning(f):
+    def run(batches):
         try:
             yield from f(batches)
         finally:
             give_back()
 
-    return df.mapInPandas(run, schema)
+    return run
+
+
+def pandas_map(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
+    """mapInPandas in small batches. Nullable integers would pass through floats: hand ids over as strings."""
+    small_batches(df.sparkSession)
+    return df.mapInPandas(_returning(f), schema)
+
+
+def column_map(spark: SparkSession, f: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], returns: str):
+    """f over the batches of one column, as a column function: all other columns stay in the JVM as they are."""
+    small_batches(spark)
+    own = _returning(f)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from own(batches)
+
+    return F.pandas_udf(run, returns)
+
+
+def struct_map(spark: SparkSession, f: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], returns: str):
+    """As column_map, for several values a row."""
+    small_batches(spark)
+    own = _returning(f)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from own(batches)
+
+    return F.pandas_udf(run, returns)

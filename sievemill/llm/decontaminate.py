@@ -25,11 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pandas_map
+from .common import column_map, text_of
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_ITEMS = 20_000
+FIELDS = ("item_id", "item_words", "covered_words", "tiles", "longest_tile")
 
 
 def words_of(text: str) -> list[str]:
@@ -139,29 +140,31 @@ def benchmark_blocks(benchmark: DataFrame, k: int, block_items: int) -> Iterator
 
 
 def _find(block: Benchmark, threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for hit in block.holds(t, threshold)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_words", "covered_words", "tiles", "longest_tile"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[dict(zip(FIELDS, hit)) for hit in block.holds(t, threshold)] for t in texts], dtype=object)
 
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, threshold: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document and benchmark item that it holds."""
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words long, covered_words long, tiles long, longest_tile long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for k, block in enumerate(benchmark_blocks(benchmark, min_words, block_items)):
-        found = docs.select("doc_id", "text").transform(pandas_map, _find(block, threshold), schema)
-        out = found if k == 0 else out.unionByName(found)
+    spark, kind = docs.sparkSession, benchmark.schema["item_id"].dataType.simpleString()
+    fields = f"item_id:{kind}," + ",".join(f"{c}:bigint" for c in FIELDS[1:])
+    out = None
+    for block in benchmark_blocks(benchmark, min_words, block_items):
+        hits = column_map(spark, _find(block, threshold), f"array<struct<{fields}>>")(text_of("text"))
+        found = docs.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.*")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {fields.replace(':', ' ')}")
     return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
 
 def _clean(block: Benchmark, threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[[not (t and block.holds(t, threshold)) for t in pdf["text"]]]
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not block.holds(t, threshold) for t in texts], dtype=bool)
 
     return run
 
@@ -169,5 +172,5 @@ def _clean(block: Benchmark, threshold: float):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, threshold: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents that hold no benchmark item, unchanged."""
     for block in benchmark_blocks(benchmark, min_words, block_items):
-        docs = docs.transform(pandas_map, _clean(block, threshold), docs.schema)
+        docs = docs.filter(column_map(docs.sparkSession, _clean(block, threshold), "boolean")(text_of("text")))
     return docs

@@ -115,13 +115,13 @@ class Index:
 def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         made = [(i, code_of(v)) for i, v in zip(pdf["vec_id"], pdf["embedding"])]
-        made = [(i, c - (1 << 64) if c >> 63 else c) for i, c in made if c is not None and i == i and i is not None]
+        made = [(i, c - (1 << 64) if c >> 63 else c) for i, c in made if c is not None]
         yield pd.DataFrame(made, columns=["vec_id", "code"]).astype("int64")
 
 
 def binary_codes(vectors: DataFrame) -> DataFrame:
     """vec_id and code (64 sign bits in a long)."""
-    return vectors.select("vec_id", "embedding").transform(pandas_map, _codes, "vec_id long, code long")
+    return vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull()).transform(pandas_map, _codes, "vec_id long, code long")
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:

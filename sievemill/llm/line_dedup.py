@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pandas_map
+from .common import materialise, pandas_map, struct_map, text_of
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -154,16 +154,16 @@ def _u64(column) -> np.ndarray:
     return np.array(column, dtype=np.int64).view(np.uint64)
 
 
-def _drop_local(h1: np.ndarray, h2: np.ndarray, n_shards: int, columns: list[str]):
-    """Filters are built once in each Python worker, and the exact keys lie beside them."""
+def _drop_local(h1: np.ndarray, h2: np.ndarray, n_shards: int):
+    """Filters are built once in each task, and the exact keys lie beside them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         filters, exact = ShardedFilter(n_shards, h1, h2), set(zip(h1.tolist(), h2.tolist()))
         verdicts: dict[bytes, bool] = {}
-        for pdf in batches:
-            texts = [(x or "").encode("utf-8", "surrogatepass").split(b"\n") for x in pdf["text"]]
+        for column in batches:
+            texts = [x.encode("utf-8", "surrogatepass").split(b"\n") for x in column]
             keys = [[line_key(x) for x in lines] for lines in texts]
-            if len(verdicts) > 500_000:
+            if len(verdicts) > 300_000:
                 verdicts.clear()
             new = [k for k in {k for ks in keys for k in ks} if k not in verdicts]
             if new:
@@ -173,12 +173,13 @@ def _drop_local(h1: np.ndarray, h2: np.ndarray, n_shards: int, columns: list[str
                 maybe = filters.may_hold(a, b)
                 verdicts.update((k, bool(m) and (h >> 64, h & M64) in exact) for k, m, h in zip(new, maybe, hashes))
             kept = [[x for x, k in zip(lines, ks) if not verdicts[k]] for lines, ks in zip(texts, keys)]
-            pdf = pdf.assign(
-                n_lines=np.array([len(x) for x in texts], dtype=np.int64),
-                n_dropped=np.array([len(x) - len(y) for x, y in zip(texts, kept)], dtype=np.int64),
-                kept_text=[b"\n".join(x).decode("utf-8", "surrogatepass") for x in kept],
+            yield pd.DataFrame(
+                {
+                    "n_lines": np.array([len(x) for x in texts], dtype=np.int64),
+                    "n_dropped": np.array([len(x) - len(y) for x, y in zip(texts, kept)], dtype=np.int64),
+                    "kept_text": [b"\n".join(x).decode("utf-8", "surrogatepass") for x in kept],
+                }
             )
-            yield pdf[columns]
 
     return run
 
@@ -193,36 +194,24 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_row": ids, "pos": np.array(pos, dtype=np.int32), "h1": np.array(h1, dtype=np.int64), "h2": np.array(h2, dtype=np.int64)})
 
 
-def _apply_positions(columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, dropped, kept = [], [], []
-            for text, drop in zip(pdf["text"], pdf["_drop"]):
-                lines = (text or "").split("\n")
-                gone = set() if drop is None else set(np.asarray(drop).tolist())
-                left = [x for p, x in enumerate(lines) if p not in gone]
-                n.append(len(lines)), dropped.append(len(lines) - len(left)), kept.append("\n".join(left))
-            yield pdf.assign(n_lines=np.array(n, dtype=np.int64), n_dropped=np.array(dropped, dtype=np.int64), kept_text=kept)[columns]
-
-    return run
-
-
 def drop_repeated_lines(docs: DataFrame, state: DataFrame, min_docs: int = 10, n_shards: int = 64, broadcast_keys: int = 1_000_000) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text, all lines gone whose key has min_docs references in `state`."""
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_row", "_drop")
+    spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_row", "_drop", "_lines")
     hot = state.filter(F.col("refs") >= min_docs).select("h1", "h2")
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields]
-    extra = ["n_lines long", "n_dropped long", "kept_text string"]
-    columns = [*docs.columns, "n_lines", "n_dropped", "kept_text"]
     found = hot.toPandas() if hot.count() <= broadcast_keys else None  # 16 bytes a key
     if found is not None:
-        return docs.transform(pandas_map, _drop_local(_u64(found["h1"]), _u64(found["h2"]), n_shards, columns), ", ".join(fields + extra))
+        kept = struct_map(spark, _drop_local(_u64(found["h1"]), _u64(found["h2"]), n_shards), "n_lines long, n_dropped long, kept_text string")
+        return docs.withColumn("_lines", kept(text_of("text"))).select(*docs.columns, "_lines.n_lines", "_lines.n_dropped", "_lines.kept_text")
     row = F.sha1(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in ("doc_id", "text")]))
     keyed = docs.withColumn("_row", row)
     lines = keyed.select("_row", "text").dropDuplicates(["_row"]).transform(pandas_map, _explode, "_row string, pos int, h1 long, h2 long")
     gone = lines.join(hot, ["h1", "h2"], "left_semi").groupBy("_row").agg(F.collect_set("pos").alias("_drop"))  # one document's lines
-    joined = keyed.join(gone, "_row", "left").drop("_row")
-    return joined.transform(pandas_map, _apply_positions(columns), ", ".join(fields + extra))
+    joined = keyed.join(gone, "_row", "left").drop("_row").withColumn("_lines", F.split(text_of("text"), "\n", -1))
+    dropped = F.coalesce("_drop", F.array().cast("array<int>"))
+    left = F.filter("_lines", lambda x, i: ~F.array_contains(dropped, i))
+    n = F.size("_lines").cast("long")
+    return joined.withColumn("_left", left).select(*docs.columns, n.alias("n_lines"), (n - F.size("_left")).alias("n_dropped"), F.array_join("_left", "\n").alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, n_shards: int = 64, min_chars: int = 1) -> DataFrame:

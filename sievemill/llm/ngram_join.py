@@ -236,9 +236,8 @@ def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, par
     spark = docs.sparkSession
     split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     parts = max(32, -(-input_partitions(docs) * split // (part_mb << 20)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    about = f"ids array<{kind}>, id_fp array<long>, id_n array<long>"
-    blobs = docs.select("doc_id", "text").transform(pandas_map, _blobs(parts, n_words), f"part int, fp binary, n binary, cnt binary, h binary, {about}")
+    about = "ids array<string>, id_fp array<long>, id_n array<long>"
+    blobs = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _blobs(parts, n_words), f"part int, fp binary, n binary, cnt binary, h binary, {about}")
     shared = blobs.groupBy("part").applyInPandas(_shared(parts), f"part int, fp binary, n binary, h binary, df binary, {about}")
     sets = shared.groupBy("part").applyInPandas(_assemble(percent), f"fp long, n long, size long, prefix array<long>, h binary, df binary, {about}")
     return materialise(sets, "ngram-sets")
@@ -271,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS)
     sets = jaccard_sets(docs, percent, n_words)
     roots = connected(set_links(sets, percent), "ngram-components")
     about = sets.filter(F.col("ids").isNotNull()).select(F.explode(F.arrays_zip("ids", "id_fp", "id_n")).alias("d"))
-    about = about.select(F.col("d.ids").alias("doc_id"), F.col("d.id_fp").alias("fp"), F.col("d.id_n").alias("n_shingles"))
+    about = about.select(F.col("d.ids").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("d.id_fp").alias("fp"), F.col("d.id_n").alias("n_shingles"))
     named = about.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
     lowest = named.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("lowest"))
     named = named.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))

@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import pandas_map, text_of
 from .token_counts import pieces
@@ -235,6 +236,7 @@ def _pack(path: str, tiers: tuple[int, ...], end: int):
 
 def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    return docs.select("doc_id", text_of("text").alias("text")).transform(pandas_map, _pack(path, tiers, end_id), schema)
+    kind = docs.schema["doc_id"].dataType
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+    rows = docs.select(F.col("doc_id").cast("string"), text_of("text").alias("text")).transform(pandas_map, _pack(path, tiers, end_id), schema)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))

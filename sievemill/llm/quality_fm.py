@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pandas_map, text_of
+from .common import column_map, pandas_map, text_of
 
 BITS = 16
 FACTORS = 4
@@ -128,7 +128,7 @@ class Machine:
 
 def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = [(i, y, features(t)) for pdf in batches for i, y, t in zip(pdf["doc_id"], pdf["quality"], pdf["text"])]
-    rows.sort(key=lambda r: (str(r[0]), r[1]))
+    rows.sort(key=lambda r: r[:2])
     if rows:
         yield pd.DataFrame({"model": [Machine.fit([r[2] for r in rows], np.array([r[1] for r in rows], dtype=float)).pack()]})
 
@@ -138,32 +138,33 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     chosen = labels.select("doc_id", "quality").filter((fold_of("doc_id") != 0) & F.col("quality").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    rows = rows.select(F.col("doc_id").cast("string"), "quality", "text")
     found = rows.repartition(1).transform(pandas_map, _fit, "model binary").collect()
     return Machine.unpack(bytes(found[0]["model"])) if found else None
 
 
-def _scored(packed: bytes | None, keep: float | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scored(packed: bytes | None):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = Machine.unpack(packed) if packed else None
-        for pdf in batches:
-            score = np.full(len(pdf), 0.5)
-            for k in range(0, len(pdf) if machine else 0, 256):
-                made = [features(t or "") for t in pdf["text"].iloc[k : k + 256]]
-                score[k : k + 256] = machine.score(made)
-            if keep is None:
-                yield pdf[["doc_id"]].assign(score=score)
-            else:
-                yield pdf[score >= keep]
+        for texts in batches:
+            score = np.full(len(texts), 0.5)
+            for k in range(0, len(texts) if machine else 0, 256):
+                score[k : k + 256] = machine.score([features(t) for t in texts.iloc[k : k + 256]])
+            yield pd.Series(score)
 
     return run
 
 
+def score_of(docs: DataFrame, machine: Machine | None) -> Column:
+    """Score of each document (0.5 without a machine)."""
+    return column_map(docs.sparkSession, _scored(machine and machine.pack()), "double")(text_of("text"))
+
+
 def score_quality(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """doc_id and score of every document (0.5 without a machine)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(pandas_map, _scored(machine and machine.pack(), None), f"doc_id {kind}, score double")
+    """doc_id and score of every document."""
+    return docs.select("doc_id", score_of(docs, machine).alias("score"))
 
 
 def keep_good(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches the threshold, unchanged."""
-    return docs.transform(pandas_map, _scored(machine and machine.pack(), threshold), docs.schema)
+    return docs.filter(score_of(docs, machine) >= threshold)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pandas_map, text_of
+from .common import column_map, text_of
 
 #: Characters of text that are in work at once, and pre-tokens whose counts a worker remembers.
 PIECE_CHARS = 1_000_000
@@ -151,18 +151,16 @@ def pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[list[str]]:
 
 
 def _count(path: str, pattern: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = load_counter(path, pattern)
-        for pdf in batches:
-            n = [x for p in pieces(pdf.pop("text").tolist()) for x in counter.count(p)]
-            yield pdf.assign(n_tokens=np.array(n, dtype=np.int64))
+        for texts in batches:
+            yield pd.Series([x for p in pieces(texts.tolist()) for x in counter.count(p)], dtype="int64")
 
     return run
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
-    rows = docs.select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), text_of("text").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.transform(pandas_map, _count(path, pattern), f"doc_id {kind}, n_bytes long, n_tokens long")
+    n = column_map(docs.sparkSession, _count(path, pattern), "long")(text_of("text"))
+    out = docs.select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), n.alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

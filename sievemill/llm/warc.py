@@ -165,7 +165,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     """Each record as its own gzip member, with a sidecar index NAME.idx; returns the new manifest. An archive is
     one task's work, and archives are dealt out evenly."""
     tasks = max(1, manifest.count())
-    return materialise(manifest.repartition(min(tasks, 4000), "name").transform(pandas_map, _normalise(folder), "name string, records long"), "warc-normalised")
+    return materialise(manifest.repartition(min(tasks, 4000)).transform(pandas_map, _normalise(folder), "name string, records long"), "warc-normalised")
 
 
 def _read(folder: str):
@@ -213,7 +213,7 @@ READ_SCHEMA = "page_id long, refers_to long, payload_bytes long, payload_digest
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     """Records by offset; the payload of a revisit is empty, its size and digest are those of the full payload."""
     tasks = max(1, manifest.count())
-    return manifest.repartition(min(tasks, 4000), "name").transform(pandas_map, _read(folder), READ_SCHEMA)
+    return manifest.repartition(min(tasks, 4000)).transform(pandas_map, _read(folder), READ_SCHEMA)
 
 
 def archive_pages(pages: DataFrame, min_revisit_bytes: int = 1000, roll_bytes: int = 64 << 20) -> DataFrame:
