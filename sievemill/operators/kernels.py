@@ -285,3 +285,80 @@ def identify(series: DataFrame, method: str, order: int) -> DataFrame:
         return [{"k": i, "re": float(x.real), "im": float(x.imag)} for i, x in enumerate(p)]
 
     return per_group(series, "network", "idx", kernel, "k int, re double, im double")
+
+
+def spectrum(x: np.ndarray, y: np.ndarray, fs: float, segment: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and transfer estimate y / x by averaged Hann-windowed segments that overlap by half."""
+    n = min(segment, len(x))
+    if len(x) < 64:
+        raise ValueError("too few samples")
+    w = np.hanning(n + 1)[:-1]
+    sxx, sxy = np.zeros(n // 2 + 1), np.zeros(n // 2 + 1, dtype=complex)
+    for k in range(0, len(x) - n + 1, max(1, n // 2)):
+        a, b = (np.fft.rfft((z[k : k + n] - z[k : k + n].mean()) * w) for z in (x, y))
+        sxx += np.abs(a) ** 2
+        sxy += a.conj() * b
+    return np.fft.rfftfreq(n, 1 / fs), sxy / np.maximum(sxx, 1e-300)
+
+
+class RadialSurrogate:
+    """Gaussian radial basis interpolation of scaled inputs with a small ridge; falls back to a linear fit where the
+    system is singular."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-8):
+        self.mean, self.scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-8, x.std(axis=0), 1.0)
+        self.z, self.y0 = (x - self.mean) / self.scale, y.mean()
+        d = self._d(self.z)
+        self.width = np.median(d[d > 0]) if (d > 0).any() else 1.0
+        try:
+            self.w = np.linalg.solve(np.exp(-d / self.width) + ridge * np.eye(len(x)), y - self.y0)
+        except np.linalg.LinAlgError:
+            self.w = None
+            self.line = np.linalg.lstsq(np.column_stack([np.ones(len(x)), self.z]), y, rcond=None)[0]
+
+    def _d(self, z: np.ndarray) -> np.ndarray:
+        return ((z[:, None, :] - self.z[None, :, :]) ** 2).sum(axis=2)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) / self.scale
+        if self.w is None:
+            return np.column_stack([np.ones(len(z)), z]) @ self.line
+        return self.y0 + np.exp(-self._d(z) / self.width) @ self.w
+
+
+def series_rlc_poles(r: float, l: float, c: float) -> np.ndarray:  # noqa: E741
+    return np.sort_complex(np.roots([l * c, r * c, 1.0]))
+
+
+def pole_sensitivity(params: dict[str, float], poles_of, step: float = 0.01) -> dict[str, np.ndarray]:
+    """Finite differences of matched poles by each parameter, relative step."""
+    base, out = poles_of(**params), {}
+    for k, v in params.items():
+        moved = poles_of(**params | {k: v * (1 + step)})
+        pairs = dict(match_poles(base, moved))
+        out[k] = np.array([(moved[pairs[i]] - base[i]) / (v * step) for i in range(len(base))])
+    return out
+
+
+def impulse_of(poles: np.ndarray, residues: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return (np.exp(np.outer(t, poles)) @ residues).real
+
+
+def sweep(spark, methods: list[str], noises: list[float], seeds: int, n: int = 300, dt: float = 0.02) -> DataFrame:
+    """Pole error of each method on seeded noisy responses, one row a combination; a failure is a row with its text."""
+    grid = spark.createDataFrame([(f"{m}/{x}/{s}", m, x, s) for m in methods for x in noises for s in range(seeds)], "run string, method string, noise double, seed int")
+    truth = np.array([-0.5 + 6j, -0.5 - 6j, -3.0])
+
+    def kernel(pdf: pd.DataFrame) -> dict:
+        row = pdf.iloc[0]
+        rng = np.random.default_rng(int(row["seed"]))
+        t = np.arange(n) * dt
+        y = impulse_of(truth, np.array([1, 1, 1.5]), t)
+        y = y + rng.normal(size=n) * row["noise"] * y.std()
+        found = {"prony": lambda: prony(y, dt, 3)[0], "era": lambda: era(y, dt, 3)}.get(row["method"])
+        if found is None:
+            raise ValueError(f"unsupported method {row['method']}")
+        p = found()
+        return {"pole_error": float(max(min(abs(p - q)) / abs(q) for q in truth))}
+
+    return grid.join(per_group(grid, "run", "run", kernel, "pole_error double"), "run").drop("run")

@@ -130,17 +130,16 @@ def read_netlist(spark: SparkSession, pattern: str) -> DataFrame:
     return parse_files(spark, pattern, netlist_rows, "component string, type string, nets array<string>, model string, params map<string,double>")
 
 
-RESULT = "checker string, item string, status string, measured string, min string, max string, unit string, message string, waveform_anchor_time string"
-REPORT = f"meta map<string,string>, results array<struct<{RESULT.replace(' string', ':string')}>>, all_results array<struct<{RESULT.replace(' string', ':string')}>>"
+RESULT = "checker:string,item:string,status:string,measured:string,min:string,max:string,unit:string,message:string,waveform_anchor_time:string"
+ENVELOPE = f"map<string,struct<meta:map<string,string>,results:array<struct<{RESULT}>>,all_results:array<struct<{RESULT}>>>>"
 
 
 def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
-    """Result items of report files, single (vera_report) or aggregate (vera_aggregate_report, whose items may be under
-    all_results); files that are no JSON are skipped."""
-    schema = f"vera_report struct<{re.sub(r'(^|, )(meta|results|all_results) ', r'\1\2:', REPORT)}>, vera_aggregate_report struct<{re.sub(r'(^|, )(meta|results|all_results) ', r'\1\2:', REPORT)}>, _corrupt_record string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
-    r = raw.select(F.coalesce("vera_report", "vera_aggregate_report").alias("r"))
-    items = r.filter("r IS NOT NULL").select(F.explode(F.coalesce("r.results", "r.all_results")).alias("i"))
+    """Result items of report files: a JSON object whose members, whatever their names, hold results or (aggregate
+    files) all_results; files that are no JSON are skipped."""
+    raw = spark.read.text(pattern, wholetext=True).select(F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE"}).alias("m"))
+    r = raw.filter("m IS NOT NULL").select(F.explode(F.map_values("m")).alias("r"))
+    items = r.select(F.explode(F.coalesce("r.results", "r.all_results")).alias("i"))
     return items.select("i.*").withColumn("measured_value", F.col("measured").try_cast("double"))
 
 

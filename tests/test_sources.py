@@ -81,8 +81,8 @@ def test_netlist(spark, tmp_path):
 
 def test_reports(spark, tmp_path):
     item = {"checker": "adc", "item": "snr", "status": "FAIL", "measured": "61.5"}
-    (tmp_path / "a.json").write_text(json.dumps({"vera_report": {"meta": {"ip": "x"}, "results": [item]}}, indent=1))
-    (tmp_path / "b.json").write_text(json.dumps({"vera_aggregate_report": {"all_results": [item, item | {"status": "PASS", "measured": "n/a"}]}}))
+    (tmp_path / "a.json").write_text(json.dumps({"report": {"meta": {"ip": "x"}, "results": [item]}}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"aggregate_report": {"all_results": [item, item | {"status": "PASS", "measured": "n/a"}]}}))
     (tmp_path / "c.json").write_text("{broken")
     got = formats.read_reports(spark, f"{tmp_path}/*.json").collect()
     assert sorted((r["status"], r["measured_value"]) for r in got if r["status"] == "FAIL") == [("FAIL", 61.5)] * 2 and len(got) == 3
