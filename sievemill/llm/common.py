@@ -61,11 +61,17 @@ def give_back() -> None:
         pass
 
 
+def size_in_bytes(text: str) -> int:
+    """A Spark size setting: bytes, or a number with k, m, g or t and an optional b."""
+    t = text.strip().lower().removesuffix("b")
+    unit = "kmgt".find(t[-1:]) + 1 if t[-1:] else 0
+    return int(float(t[:-1] if unit else t) * 1024**unit)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches for Python small enough for long texts; a smaller setting of the session stays."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = (spark.conf.get(key) or "").lower().rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        if not 0 < size_in_bytes(spark.conf.get(key)) <= most:
             spark.conf.set(key, str(most))
 
 

@@ -6,8 +6,8 @@ reversible: what a document loses is always decided by the present counts, never
 reaches the threshold are "hot"; a cuckoo filter per shard answers "may this line be hot" with about two bytes a
 key, and the exact table settles every line that the filters let through.
 
-Filters and hot keys are broadcast only while they are below `broadcast_keys`; beyond it the candidate lines are
-joined with the sharded hot table, and each document gets back the positions of its dropped lines.
+Filters and hot keys are broadcast only while they are below `broadcast_keys`; beyond it the lines are joined with the
+hot keys of the exact table, and each document gets back the positions of its dropped lines.
 
 Defined cases: null or empty text is one empty line; empty keys are never dropped unless min_chars is 0; a document
 that loses all lines keeps the empty text; repeated rows count as documents of their own; extra columns are kept.

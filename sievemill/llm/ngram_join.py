@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_partitions, materialise, pandas_map
+from .common import input_partitions, materialise, pandas_map, size_in_bytes
 from .components import connected
 
 N_WORDS = 5
@@ -234,7 +234,7 @@ def _links(percent: int):
 def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, part_mb: int = 8) -> DataFrame:
     """The written table of sets that may have a link (fp, n, size, prefix, h, df) and of documents (ids, id_fp, id_n)."""
     spark = docs.sparkSession
-    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     parts = max(32, -(-input_partitions(docs) * split // (part_mb << 20)))
     about = "ids array<string>, id_fp array<long>, id_n array<long>"
     blobs = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _blobs(parts, n_words), f"part int, fp binary, n binary, cnt binary, h binary, {about}")

@@ -113,6 +113,13 @@ def test_main_text_of_snippets(html, text):
     assert html_wrapper.Extractor(None).text(html) == text
 
 
+def test_deep_and_unclosed_pages(spark):
+    deep = "<div>" * 3000 + "<p>far down</p><script>no</script>" + "</div>" * 3000 + "<p>end"
+    made = [(i, "http://d.example/", h) for i, h in enumerate([deep, "<div>" * 5000 + "x", "<p>" * 3000 + "y", "<ul><li>" * 2000 + "z", "<!-- open", "<" * 3000, "<script>never closed"])]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(spark.createDataFrame(made, PAGES)).collect()}
+    assert [got[i] for i in range(4)] == ["far down\nend", "x", "y", "z"] and got[6] == ""
+
+
 def test_constant_nodes_become_template(spark):
     """Without telling tags, only the host's other pages show what is template."""
     made = [(i, f"http://same.example/{i}", f"<div><div>Best site ever</div><section><p>story {i} goes on</p><p>and {i * 7} ends</p></section><div>All about us</div></div>") for i in range(30)]
