@@ -61,12 +61,15 @@ def change_points(samples: DataFrame, tolerance: float) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        value, keep, last = pdf["value"].to_numpy(), [], None
-        for x in value:
-            keep.append(last is None or abs(x - last) > tolerance)
-            last = x if keep[-1] else last
-        keep[-1] = True
-        return pdf[keep]
+        value, kept = pdf["value"].tolist(), [0]
+        last = value[0]
+        for i, x in enumerate(value):
+            if abs(x - last) > tolerance:
+                kept.append(i)
+                last = x
+        if kept[-1] != len(value) - 1:
+            kept.append(len(value) - 1)
+        return pdf.iloc[kept]
 
     kind = dict(samples.dtypes)
     return samples.select("run_key", "idx", "value").groupBy("run_key").applyInPandas(walk, f"run_key {kind['run_key']}, idx {kind['idx']}, value double")
