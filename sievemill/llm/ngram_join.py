@@ -21,7 +21,8 @@ never become a component's id unless it has no other; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,43 +59,72 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _blobs(parts: int, n_words: int):
+BLOB = ["part", "fp", "n", "cnt", "h", "ids", "id_fp", "id_n"]
+
+
+def _deal(sets: list[tuple], docs: list[tuple], key: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """Packed rows by key. sets: arrays (fp, n, cnt, h), cnt hashes of h for each fp; docs: (id, fp, n)."""
+    fp, n, cnt, h = (np.concatenate([x[k] for x in sets] or [np.zeros(0, np.uint64)]) for k in range(4))
+    cnt = cnt.astype(np.int64)
+    of, part = np.repeat(np.arange(len(fp)), cnt), key(h)
+    low = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part  # sets are in order, so this sort by radix is enough
+    order = np.argsort(low, kind="stable")
+    h, of, part = h[order], of[order], part[order]
+    id_fp = np.array([x[1] for x in docs], dtype=np.uint64)
+    own = key(id_fp)
+    rows = []
+    for p in np.union1d(part, own).tolist():
+        s = slice(*np.searchsorted(part, [p, p + 1]))
+        who, count = np.unique(of[s], return_counts=True)
+        mine = np.flatnonzero(own == p)
+        rows.append((p, fp[who].tobytes(), n[who].astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), h[s].tobytes(), [docs[i][0] for i in mine], id_fp[mine].view(np.int64), np.array([docs[i][2] for i in mine], dtype=np.int64)))
+    return pd.DataFrame(rows, columns=BLOB)
+
+
+def _blobs(key: Callable[[np.ndarray], np.ndarray], n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        size = 0
+        sets, docs, size = [], [], 0
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
                 h = shingles(text, n_words)
-                held.append((doc, h, xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0))
+                fp, n = xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0, np.array([len(h)], dtype=np.int64)
+                docs.append((doc, fp, len(h)))
+                sets.append((np.array([fp], dtype=np.uint64), n, n, h))
                 size += len(h) + 50
                 if size >= FLUSH:
-                    yield _flush(held, parts)
-                    held, size = [], 0
-        if held:
-            yield _flush(held, parts)
+                    yield _deal(sets, docs, key)
+                    sets, docs, size = [], [], 0
+        if docs:
+            yield _deal(sets, docs, key)
 
     return run
 
 
-def _flush(held: list[tuple], parts: int) -> pd.DataFrame:
-    """One row for each hash range: the sets in it, and the documents whose fingerprint falls to it."""
-    fp = np.array([x[2] for x in held], dtype=np.uint64)
-    n = np.array([len(x[1]) for x in held], dtype=np.int64)
-    h = np.concatenate([x[1] for x in held])
-    of = np.repeat(np.arange(len(held)), n)
-    part = (h % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part * len(held) + of, kind="stable")
-    h, of, part = h[order], of[order], part[order]
-    cut = np.searchsorted(part, np.arange(parts + 1))
-    own = (fp % np.uint64(parts)).astype(np.int64)
-    rows = []
-    for p in range(parts):
-        s = slice(cut[p], cut[p + 1])
-        who, count = np.unique(of[s], return_counts=True)
-        mine = np.flatnonzero(own == p)
-        if len(who) or len(mine):
-            rows.append((p, fp[who].tobytes(), n[who].tobytes(), count.astype(np.int64).tobytes(), h[s].tobytes(), [held[i][0] for i in mine], fp[mine].view(np.int64), n[mine]))
-    return pd.DataFrame(rows, columns=["part", "fp", "n", "cnt", "h", "ids", "id_fp", "id_n"])
+def _finer(key: Callable[[np.ndarray], np.ndarray]):
+    """Deals packed rows out again by a finer key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets, docs, size = [], [], 0
+        for pdf in batches:
+            for fp, n, cnt, h, ids, id_fp, id_n in zip(*(pdf[c] for c in BLOB[1:])):
+                sets.append((np.frombuffer(fp, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(cnt, np.int64), np.frombuffer(h, np.uint64)))
+                docs += zip(ids, np.asarray(id_fp, dtype=np.int64).view(np.uint64).tolist(), id_n)
+                size += len(h) // 8
+                if size >= FLUSH:
+                    yield _deal(sets, docs, key)
+                    sets, docs, size = [], [], 0
+        if size or docs:
+            yield _deal(sets, docs, key)
+
+    return run
+
+
+def part_of(parts: int, coarse: int | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    def key(h: np.ndarray) -> np.ndarray:
+        p = (h % np.uint64(parts)).astype(np.int64)
+        return p % coarse if coarse else p
+
+    return key
 
 
 def _read(pdf: pd.DataFrame, column: str, kind) -> np.ndarray:
@@ -231,13 +261,20 @@ def _links(percent: int):
     return run
 
 
-def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, part_mb: int = 8) -> DataFrame:
-    """The written table of sets that may have a link (fp, n, size, prefix, h, df) and of documents (ids, id_fp, id_n)."""
+def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, part_mb: int = 8, fan_out: int = 1024) -> DataFrame:
+    """The written table of sets that may have a link (fp, n, size, prefix, h, df) and of documents (ids, id_fp, id_n).
+
+    Hash ranges are sized by the input, so that each fits a task; with more of them than fan_out, hashes are dealt to
+    coarse ranges first and from there to the fine ones, so that packed rows stay large however large the corpus."""
     spark = docs.sparkSession
     split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     parts = max(32, -(-input_partitions(docs) * split // (part_mb << 20)))
+    coarse = math.isqrt(parts) + 1 if parts > fan_out else None
     about = "ids array<string>, id_fp array<long>, id_n array<long>"
-    blobs = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _blobs(parts, n_words), f"part int, fp binary, n binary, cnt binary, h binary, {about}")
+    packed = f"part int, fp binary, n binary, cnt binary, h binary, {about}"
+    blobs = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _blobs(part_of(parts, coarse), n_words), packed)
+    if coarse:
+        blobs = blobs.repartition(coarse, "part").transform(pandas_map, _finer(part_of(parts)), packed)
     shared = blobs.groupBy("part").applyInPandas(_shared(parts), f"part int, fp binary, n binary, h binary, df binary, {about}")
     sets = shared.groupBy("part").applyInPandas(_assemble(percent), f"fp long, n long, size long, prefix array<long>, h binary, df binary, {about}")
     return materialise(sets, "ngram-sets")

@@ -111,6 +111,11 @@ def test_near_duplicates(docs, odd_docs, no_docs):
     assert ngram_join.near_duplicates(no_docs).collect() == []
 
 
+def test_coarse_ranges_change_nothing(docs):
+    as_rows = lambda df: sorted(map(str, df.select("fp", "n", "size", "prefix", "h", "df").filter("fp IS NOT NULL").collect()))
+    assert as_rows(ngram_join.jaccard_sets(docs, fan_out=8)) == as_rows(ngram_join.jaccard_sets(docs))
+
+
 def test_near_duplicates_in_one_hot_group_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TASK_SETS", 20)
     rng = random.Random(5)
