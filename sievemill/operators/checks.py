@@ -145,8 +145,8 @@ def corner_outliers(rows: DataFrame, least_group: int = 3, majority: float = 0.5
     more than `drop`. Groups are runs of three corners or more; if no run has so many, all corners are one group."""
     n = F.count(F.lit(1)).over(Window.partitionBy("run"))
     sized = rows.withColumn("_n", n)
-    largest = F.max("_n").over(Window.partitionBy())
-    g = sized.withColumn("grp", F.when(largest < least_group, F.lit("*")).when(F.col("_n") >= least_group, F.col("run").cast("string"))).filter("grp IS NOT NULL")
+    largest = sized.agg(F.max("_n").alias("_big"))  # one row
+    g = sized.join(F.broadcast(largest)).withColumn("grp", F.when(F.col("_big") < least_group, F.lit("*")).when(F.col("_n") >= least_group, F.col("run").cast("string"))).filter("grp IS NOT NULL")
     stats = g.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.percentile("coverage", F.lit(0.25)).alias("q1"), F.percentile("coverage", F.lit(0.75)).alias("q3"), F.median("coverage").alias("mid"))
     modes = g.groupBy("grp", "states").agg(F.count(F.lit(1)).alias("c"))
     mode = modes.groupBy("grp").agg(F.max_by("states", "c").alias("mode"), F.max("c").alias("c"))  # a strict majority has no ties

@@ -25,9 +25,11 @@ def clean(samples: DataFrame, column: str = "value") -> DataFrame:
 
 
 def number_rows(df: DataFrame, run: str, *order: str) -> DataFrame:
-    """run_key and idx from 0 in the given order."""
+    """run_key and idx from 0 in the given order. The name is given after the window, so that Spark knows the result as
+    partitioned by run_key and later windows need no exchange."""
     w = Window.partitionBy(run).orderBy(*order)
-    return df.withColumn("run_key", F.col(run)).withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    numbered = df.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    return numbered.withColumnRenamed(run, "run_key")
 
 
 def forward_fill(samples: DataFrame, column: str = "value") -> DataFrame:
