@@ -309,7 +309,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS)
     about = sets.filter(F.col("ids").isNotNull()).select(F.explode(F.arrays_zip("ids", "id_fp", "id_n")).alias("d"))
     about = about.select(F.col("d.ids").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("d.id_fp").alias("fp"), F.col("d.id_n").alias("n_shingles"))
     named = about.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
-    lowest = named.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("lowest"))
+    lowest = named.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    lowest = materialise(lowest, "ngram-lowest")  # a table of its own, so that Spark can split a class of very many documents in the join
     named = named.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
     return named.join(lowest, "class", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
 
