@@ -161,16 +161,6 @@ def s_to_z(re: Column, im: Column, z0: float = 50.0) -> Column:
     return F.struct((z0 * (1 - re * re - im * im) / d).alias("re"), (z0 * 2 * im / d).alias("im"))
 
 
-def mos_region(vgs: Column, vds: Column, vth: Column) -> Column:
-    return F.when(vgs <= vth, "cutoff").when(vds >= vgs - vth, "saturation").otherwise("triode")
-
-
-def mos_current(vgs: Column, vds: Column, vth: Column, beta: Column) -> Column:
-    """Square-law drain current by region."""
-    ov = vgs - vth
-    return F.when(vgs <= vth, 0.0).when(vds >= ov, beta / 2 * ov * ov).otherwise(beta * (ov * vds - vds * vds / 2))
-
-
 def chunk_text(text: Column, size: int = 8000, overlap: int = 500) -> Column:
     """Chunks of at most `size` characters that overlap, ending at the last blank line of their second half if there is
     one; the end of the text ends the last chunk."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievemill.functions import physics as ph
 from sievemill.functions import scalar as fn
 from sievemill.operators import coverage as cov
 from sievemill.operators import graph as g
@@ -299,11 +300,35 @@ def scalar_parsing(spark, sf):
     )
 
 
-@C.add("SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 0.5, 0) * 0.5 AS restored, CASE WHEN l_quantity <= 10 THEN 'cutoff' WHEN l_tax * 500 >= l_quantity - 10 THEN 'saturation' ELSE 'triode' END AS region, round(50 * (1 - l_discount * l_discount - l_tax * l_tax) / ((1 - l_discount) * (1 - l_discount) + l_tax * l_tax), 6) AS z_re FROM lineitem")
+@C.add("SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 0.5, 0) * 0.5 AS restored, CASE WHEN l_quantity - 10 <= -0.1 THEN 'off' WHEN l_quantity < 10 THEN 'subthreshold' WHEN l_tax * 500 < l_quantity - 10 THEN 'linear' ELSE 'saturation' END AS region, round(50 * (1 - l_discount * l_discount - l_tax * l_tax) / ((1 - l_discount) * (1 - l_discount) + l_tax * l_tax), 6) AS z_re FROM lineitem")
 def scalar_math(spark, sf):
     li = table(spark, sf, "lineitem")
     qz = fn.quantize(F.col("l_extendedprice"), F.lit(0.5), F.lit(0.0))
-    return li.select("l_orderkey", "l_linenumber", fn.dequantize(qz, F.lit(0.5), F.lit(0.0)).alias("restored"), fn.mos_region(F.col("l_quantity"), F.col("l_tax") * 500, F.lit(10.0)).alias("region"), F.round(fn.s_to_z(F.col("l_discount"), F.col("l_tax"))["re"], 6).alias("z_re"))
+    return li.select("l_orderkey", "l_linenumber", fn.dequantize(qz, F.lit(0.5), F.lit(0.0)).alias("restored"), ph.region(F.col("l_quantity"), F.col("l_tax") * 500, F.lit(10.0)).alias("region"), F.round(fn.s_to_z(F.col("l_discount"), F.col("l_tax"))["re"], 6).alias("z_re"))
+
+
+@C.add(
+    """SELECT p_partkey, round(0.5 * 2 * greatest(p_size / 20.0 - 0.5, 0) * greatest(p_size / 20.0 - 0.5, 0), 6) AS ids, round(10 * log10(greatest(1 + p_size / 1000.0 * 50 * (2.0 / 3), 1)), 6) AS nf, round(1 / (2 * CASE WHEN p_type = 'SMALL' THEN 20.0 ELSE 150.0 END * sqrt(pi() * greatest(p_size * 1e-12, 1e-12))), 4) AS rth,
+ round((50.0 - p_size) / 50.0, 6) AS em, round(greatest(0, least(1, (p_size / 20.0 - greatest(p_size / 40.0 - 0.5, 0.05)) / 1.8)), 6) AS hci, round(least(exp(-0.5 / (8.617e-5 * (250 + p_size))) * power(10 * 3.15e7, 0.25) * (p_size / 20.0) / 0.1, 1), 6) AS nbti,
+ round(p_size * 1e-6 / (7 * 1e-15) / 1e6, 4) AS slew, round(0.2 * p_size * 1e-15 * 1.44 * 100e6 * 1e6, 6) AS dyn, p_size BETWEEN 20 AND 160 AS ok FROM part"""
+)
+def device_physics(spark, sf):
+    p, x = table(spark, sf, "part"), F.col("p_size")
+    one = F.lit(1.0)
+    return rounded(
+        p.select(
+            "p_partkey",
+            ph.saturation_current(x / 20, F.lit(0.5), F.lit(2.0), one, one, one).alias("ids"),
+            ph.noise_figure(F.lit(50.0), x / 1000).alias("nf"),
+            F.round(ph.thermal_resistance(x.cast("double"), F.when(F.col("p_type") == "SMALL", "soi").otherwise("?")), 4).alias("rth"),
+            ph.migration_margin(x.cast("double"), F.lit(50.0)).alias("em"),
+            ph.hot_carrier_risk(x / 20, x / 40, F.lit(0.5), F.lit(1.8)).alias("hci"),
+            ph.bias_instability(x / 20, 250.0 + x).alias("nbti"),
+            F.round(ph.slew_rate(x.cast("double"), F.lit(7.0)), 4).alias("slew"),
+            ph.switching_power(F.lit(0.2), x.cast("double"), F.lit(1.2), F.lit(100.0)).alias("dyn"),
+            ph.plausible(F.lit("cmrr_dB"), x.cast("double")).alias("ok"),
+        )
+    )
 
 
 QUERIES, ORACLES = C.queries, C.oracles
