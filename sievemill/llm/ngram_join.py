@@ -37,6 +37,8 @@ N_WORDS = 5
 #: Hashes that a task gathers before it sends blobs; elements and sets of one trie task.
 FLUSH = 1_500_000
 TASK_ELEMENTS, TASK_SETS = 1_000_000, 800
+#: Rows of ids and small numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -291,11 +293,14 @@ def set_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     member = materialise(member.select("fp", "root", "n", "size", "h", "df"), "ngram-members")
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("w"))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("w") / TASK_ELEMENTS, F.col("m") / TASK_SETS)).cast("int"))
-    total = sizes.agg(F.sum("w")).first()[0] or 0
+    sizes = materialise(sizes, "ngram-sizes")
+    about = sizes.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    total, few = about["w"] or 0, about["n"] <= BROADCAST_ROWS
+    sizes = sizes.select("root", "blocks")
     spread = int(max(12, total // (TASK_ELEMENTS // 4)))
     whole = F.col("blocks") == 1
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    placed = member.join(sizes.select("root", "blocks"), "root").withColumn("block", F.when(whole, 0).otherwise(block))
+    placed = member.join(F.broadcast(sizes) if few else sizes, "root")  # few groups: the members stay where they are.withColumn("block", F.when(whole, 0).otherwise(block))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     task = F.when(whole, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(spread)))).otherwise(F.concat_ws("-", "root", "i", "j"))
@@ -315,7 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS)
     return named.join(lowest, "class", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, broadcast_ids: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, broadcast_ids: int = BROADCAST_ROWS) -> DataFrame:
     """docs without those whose component has a smaller doc_id; unchanged otherwise. The ids to drop are broadcast
     only while they are few; beyond that both sides are shuffled by id."""
     gone = near_duplicates(docs, percent, n_words).filter("component_id < doc_id").select("doc_id").distinct()
