@@ -300,7 +300,8 @@ def set_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     spread = int(max(12, total // (TASK_ELEMENTS // 4)))
     whole = F.col("blocks") == 1
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    placed = member.join(F.broadcast(sizes) if few else sizes, "root")  # few groups: the members stay where they are.withColumn("block", F.when(whole, 0).otherwise(block))
+    placed = member.join(F.broadcast(sizes) if few else sizes, "root")  # with few groups the members stay where they are
+    placed = placed.withColumn("block", F.when(whole, 0).otherwise(block))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     task = F.when(whole, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(spread)))).otherwise(F.concat_ws("-", "root", "i", "j"))
