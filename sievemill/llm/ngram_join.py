@@ -1,9 +1,12 @@
 """N-gram Jaccard join by prefix trees, exact, and the near-duplicate components that its links make.
 
-1. One pass over the texts makes each document's set of shingle hashes. The sets go out in packed blobs, dealt by hash
-   range; equal sets have one fingerprint and count as one from here on.
+1. One pass over the texts writes each document's fingerprint and number of shingles as a plain table, and the hashes
+   that very many sets hold. A second pass sends the sets of shingle hashes out in packed blobs, dealt by hash range.
+   Equal sets have one fingerprint: a task sends one of them only, and the ranges drop those of other tasks. Very common
+   hashes are dealt by hash and fingerprint, over all ranges.
 2. Each range counts, for every hash, the sets that hold it, and sends on only hashes held by two sets or more: the
-   others can be in no intersection, so for them the number alone matters.
+   others can be in no intersection, so for them the number alone matters. Very common hashes have the number of the
+   first pass, a lower bound; any order that is the same for all sets keeps the join exact.
 3. In the global order (rarest first, then by hash) two sets of the needed similarity share a hash of their prefixes.
    Most sets have a prefix of unshared hashes and are done. The others meet in groups: those connected by shared
    prefix hashes.
@@ -37,6 +40,10 @@ N_WORDS = 5
 #: Hashes that a task gathers before it sends blobs; elements and sets of one trie task.
 FLUSH = 1_500_000
 TASK_ELEMENTS, TASK_SETS = 1_000_000, 800
+#: A hash is very common if so many sets of a flush hold it, one in so many of them, and a quarter of a range's worth in all.
+HOT_SETS, HOT_SHARE = 64, 128
+#: Fingerprints that a task remembers, so that it sends equal sets once.
+REMEMBERED = 1_000_000
 #: Rows of ids and small numbers that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,69 +68,120 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-BLOB = ["part", "fp", "n", "cnt", "h", "ids", "id_fp", "id_n"]
+BLOB = ["part", "fp", "n", "cnt", "h"]
+Key = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Hot = tuple[np.ndarray, np.ndarray]
+NO_HOT: Hot = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _deal(sets: list[tuple], docs: list[tuple], key: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
-    """Packed rows by key. sets: arrays (fp, n, cnt, h), cnt hashes of h for each fp; docs: (id, fp, n)."""
+def _distinct(batches: Iterator[pd.DataFrame], n_words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], list[int], list[bool]]]:
+    """Each batch with its documents' sets, their fingerprints, and whether the task meets the set for the first time."""
+    seen: set[int] = set()
+    for pdf in batches:
+        sets = [shingles(t, n_words) for t in pdf["text"]]
+        fps, new = [xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], []
+        for h, fp in zip(sets, fps):
+            new.append(len(h) > 0 and fp not in seen)
+            if new[-1]:
+                seen.add(fp)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        yield pdf, sets, fps, new
+
+
+def _survey(n_words: int):
+    """(doc_id, fp, n, null, null) of each document; (null, null, null, h, times) of hashes that many sets of a flush hold."""
+
+    def common(held: list[np.ndarray]) -> pd.DataFrame:
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        many = times >= max(HOT_SETS, len(held) // HOT_SHARE)
+        return pd.DataFrame({"doc_id": None, "fp": pd.array([None] * many.sum(), dtype="Int64"), "n": pd.array([None] * many.sum(), dtype="Int64"), "h": h[many].view(np.int64), "times": times[many]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf, sets, fps, new in _distinct(batches, n_words):
+            none = pd.array([None] * len(pdf), dtype="Int64")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(fps, dtype=np.uint64).view(np.int64), "n": [len(h) for h in sets], "h": none, "times": none})
+            for h, is_new in zip(sets, new):
+                if is_new:
+                    held.append(h)
+                    size += len(h) + 50
+                    if size >= FLUSH:
+                        yield common(held)
+                        held, size = [], 0
+        if held:
+            yield common(held)
+
+    return run
+
+
+def _deal(sets: list[tuple], key: Key) -> pd.DataFrame:
+    """Packed rows by key. sets: arrays (fp, n, cnt, h), cnt hashes of h for each fp."""
     fp, n, cnt, h = (np.concatenate([x[k] for x in sets] or [np.zeros(0, np.uint64)]) for k in range(4))
     cnt = cnt.astype(np.int64)
-    of, part = np.repeat(np.arange(len(fp)), cnt), key(h)
+    of = np.repeat(np.arange(len(fp)), cnt)
+    part = key(h, fp[of])
     low = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part  # sets are in order, so this sort by radix is enough
     order = np.argsort(low, kind="stable")
     h, of, part = h[order], of[order], part[order]
-    id_fp = np.array([x[1] for x in docs], dtype=np.uint64)
-    own = key(id_fp)
     rows = []
-    for p in np.union1d(part, own).tolist():
+    for p in np.unique(part).tolist():
         s = slice(*np.searchsorted(part, [p, p + 1]))
         who, count = np.unique(of[s], return_counts=True)
-        mine = np.flatnonzero(own == p)
-        rows.append((p, fp[who].tobytes(), n[who].astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), h[s].tobytes(), [docs[i][0] for i in mine], id_fp[mine].view(np.int64), np.array([docs[i][2] for i in mine], dtype=np.int64)))
+        rows.append((p, fp[who].tobytes(), n[who].astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), h[s].tobytes()))
     return pd.DataFrame(rows, columns=BLOB)
 
 
-def _blobs(key: Callable[[np.ndarray], np.ndarray], n_words: int):
+def _blobs(key: Key, n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, docs, size = [], [], 0
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
-                h = shingles(text, n_words)
-                fp, n = xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0, np.array([len(h)], dtype=np.int64)
-                docs.append((doc, fp, len(h)))
+        sets, size = [], 0
+        for _, found, fps, new in _distinct(batches, n_words):
+            for h, fp, is_new in zip(found, fps, new):
+                if not is_new:
+                    continue
+                n = np.array([len(h)], dtype=np.int64)
                 sets.append((np.array([fp], dtype=np.uint64), n, n, h))
                 size += len(h) + 50
                 if size >= FLUSH:
-                    yield _deal(sets, docs, key)
-                    sets, docs, size = [], [], 0
-        if docs:
-            yield _deal(sets, docs, key)
+                    yield _deal(sets, key)
+                    sets, size = [], 0
+        if sets:
+            yield _deal(sets, key)
 
     return run
 
 
-def _finer(key: Callable[[np.ndarray], np.ndarray]):
+def _finer(key: Key):
     """Deals packed rows out again by a finer key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, docs, size = [], [], 0
+        sets, size = [], 0
         for pdf in batches:
-            for fp, n, cnt, h, ids, id_fp, id_n in zip(*(pdf[c] for c in BLOB[1:])):
+            for fp, n, cnt, h in zip(*(pdf[c] for c in BLOB[1:])):
                 sets.append((np.frombuffer(fp, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(cnt, np.int64), np.frombuffer(h, np.uint64)))
-                docs += zip(ids, np.asarray(id_fp, dtype=np.int64).view(np.uint64).tolist(), id_n)
                 size += len(h) // 8
                 if size >= FLUSH:
-                    yield _deal(sets, docs, key)
-                    sets, docs, size = [], [], 0
-        if size or docs:
-            yield _deal(sets, docs, key)
+                    yield _deal(sets, key)
+                    sets, size = [], 0
+        if sets:
+            yield _deal(sets, key)
 
     return run
 
 
-def part_of(parts: int, coarse: int | None = None) -> Callable[[np.ndarray], np.ndarray]:
-    def key(h: np.ndarray) -> np.ndarray:
+def _times(h: np.ndarray, hot: Hot) -> np.ndarray:
+    """How often the very common ones among the hashes were met; 0 for the others."""
+    if not len(hot[0]):
+        return np.zeros(len(h), dtype=np.int64)
+    at = np.minimum(np.searchsorted(hot[0], h), len(hot[0]) - 1)
+    return np.where(hot[0][at] == h, hot[1][at], 0)
+
+
+def part_of(parts: int, coarse: int | None = None, hot: Hot = NO_HOT) -> Key:
+    def key(h: np.ndarray, fp: np.ndarray) -> np.ndarray:
         p = (h % np.uint64(parts)).astype(np.int64)
+        salted = np.flatnonzero(_times(h, hot))
+        p[salted] = ((h[salted] ^ fp[salted]) * MIX >> np.uint64(32)) % np.uint64(parts)
         return p % coarse if coarse else p
 
     return key
@@ -133,7 +191,7 @@ def _read(pdf: pd.DataFrame, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(pdf[column].dropna()), dtype=kind)
 
 
-def _shared(parts: int):
+def _shared(parts: int, hot: Hot = NO_HOT):
     """Hashes of one range that two sets or more hold, with that number, dealt out again by fingerprint."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,6 +202,7 @@ def _shared(parts: int):
         twice = np.zeros(len(s), dtype=bool)
         twice[1:] = s[1:] == s[:-1]
         twice[:-1] |= twice[1:]
+        twice |= _times(s, hot) > 0
         order = order[twice]
         h, fp, n = h[order], fp[order], n[order]
         order = np.lexsort((fp, h))
@@ -153,20 +212,21 @@ def _shared(parts: int):
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
         size = np.diff(np.r_[start, len(h)])
         df = np.repeat(size, size)
+        often = _times(h, hot)
+        df = np.where(often > 0, often, df)
         keep = df > 1
         h, fp, n, df = h[keep], fp[keep], n[keep], df[keep]
         to = (fp % np.uint64(parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(parts + 1))
-        rows = [(p, *(x[order[cut[p] : cut[p + 1]]].tobytes() for x in (fp, n, h, df)), None, None, None) for p in range(parts) if cut[p] < cut[p + 1]]
-        rows += [(int(p), None, None, None, None, i, f, k) for p, i, f, k in zip(pdf["part"], pdf["ids"], pdf["id_fp"], pdf["id_n"]) if len(i)]
-        return pd.DataFrame(rows, columns=["part", "fp", "n", "h", "df", "ids", "id_fp", "id_n"])
+        rows = [(p, *(x[order[cut[p] : cut[p + 1]]].tobytes() for x in (fp, n, h, df))) for p in range(parts) if cut[p] < cut[p + 1]]
+        return pd.DataFrame(rows, columns=["part", "fp", "n", "h", "df"])
 
     return run
 
 
 def _assemble(percent: int):
-    """Sets whose prefix reaches into their shared hashes, in global order; rows of documents pass through."""
+    """Sets whose prefix reaches into their shared hashes, in global order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, n, h, df = (_read(pdf, c, k) for c, k in (("fp", np.uint64), ("n", np.int64), ("h", np.uint64), ("df", np.int64)))
@@ -178,12 +238,8 @@ def _assemble(percent: int):
             size, shared = int(n[a]), b - a
             prefix = size - -(-percent * size // 100) + 1 - (size - shared)
             if prefix > 0:
-                rows.append((int(fp[a].view(np.int64)), size, shared, h[a : a + prefix].view(np.int64), h[a:b].tobytes(), df[a:b].tobytes(), None, None, None))
-        rows += [(None, None, None, None, None, None, i, f, k) for i, f, k in zip(pdf["ids"], pdf["id_fp"], pdf["id_n"]) if i is not None and len(i)]
-        names = ["fp", "n", "size", "prefix", "h", "df", "ids", "id_fp", "id_n"]
-        columns = zip(names, zip(*rows)) if rows else ((c, []) for c in names)
-        # Int64, as a column of integers and nulls would pass through floats
-        return pd.DataFrame({c: pd.array(x, dtype="Int64") if c in names[:3] else pd.Series(x, dtype=object) for c, x in columns})
+                rows.append((int(fp[a].view(np.int64)), size, shared, h[a : a + prefix].view(np.int64), h[a:b].tobytes(), df[a:b].tobytes()))
+        return pd.DataFrame(rows, columns=["fp", "n", "size", "prefix", "h", "df"])
 
     return run
 
@@ -263,28 +319,43 @@ def _links(percent: int):
     return run
 
 
-def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, part_mb: int = 8, fan_out: int = 1024) -> DataFrame:
-    """The written table of sets that may have a link (fp, n, size, prefix, h, df) and of documents (ids, id_fp, id_n).
+def ranges(docs: DataFrame, part_mb: int) -> int:
+    """Hash ranges, sized by the input, so that each fits a task."""
+    split = size_in_bytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(32, -(-input_partitions(docs) * split // (part_mb << 20)))
+
+
+def survey(docs: DataFrame, n_words: int = N_WORDS, part_mb: int = 8) -> tuple[DataFrame, Hot]:
+    """The written table (doc_id as a string, fp, n) of all documents, and the very common hashes with their counts: of
+    those at most four a range, as their postings would fill a quarter of it."""
+    rows = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _survey(n_words), "doc_id string, fp long, n long, h long, times long")
+    found = materialise(rows, "ngram-documents")
+    documents = found.filter(F.col("n").isNotNull()).select("doc_id", "fp", "n")
+    total = documents.agg(F.sum("n")).first()[0] or 0
+    often = found.filter(F.col("h").isNotNull()).groupBy("h").agg(F.sum("times").alias("times"))
+    often = sorted((r["h"] % (1 << 64), r["times"]) for r in often.filter(F.col("times") >= total // (4 * ranges(docs, part_mb))).collect())
+    return documents, (np.array([h for h, _ in often], dtype=np.uint64), np.array([t for _, t in often], dtype=np.int64))
+
+
+def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, part_mb: int = 8, fan_out: int = 1024, hot: Hot = NO_HOT) -> DataFrame:
+    """The written table of distinct sets that may have a link: fp, n, size, prefix, h, df. hot: the hashes that survey
+    found very common.
 
-    Hash ranges are sized by the input, so that each fits a task; with more of them than fan_out, hashes are dealt to
-    coarse ranges first and from there to the fine ones, so that packed rows stay large however large the corpus."""
-    spark = docs.sparkSession
-    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    parts = max(32, -(-input_partitions(docs) * split // (part_mb << 20)))
+    With more hash ranges than fan_out, hashes are dealt to coarse ranges first and from there to the fine ones, so
+    that packed rows stay large however large the corpus."""
+    parts = ranges(docs, part_mb)
     coarse = math.isqrt(parts) + 1 if parts > fan_out else None
-    about = "ids array<string>, id_fp array<long>, id_n array<long>"
-    packed = f"part int, fp binary, n binary, cnt binary, h binary, {about}"
-    blobs = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _blobs(part_of(parts, coarse), n_words), packed)
+    packed = "part int, fp binary, n binary, cnt binary, h binary"
+    blobs = docs.select("text").transform(pandas_map, _blobs(part_of(parts, coarse, hot), n_words), packed)
     if coarse:
-        blobs = blobs.repartition(coarse, "part").transform(pandas_map, _finer(part_of(parts)), packed)
-    shared = blobs.groupBy("part").applyInPandas(_shared(parts), f"part int, fp binary, n binary, h binary, df binary, {about}")
-    sets = shared.groupBy("part").applyInPandas(_assemble(percent), f"fp long, n long, size long, prefix array<long>, h binary, df binary, {about}")
+        blobs = blobs.repartition(coarse, "part").transform(pandas_map, _finer(part_of(parts, hot=hot)), packed)
+    shared = blobs.groupBy("part").applyInPandas(_shared(parts, hot), "part int, fp binary, n binary, h binary, df binary")
+    sets = shared.groupBy("part").applyInPandas(_assemble(percent), "fp long, n long, size long, prefix array<long>, h binary, df binary")
     return materialise(sets, "ngram-sets")
 
 
 def set_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b): fingerprints of linked sets, enough of them to connect whatever all links connect."""
-    sets = sets.filter(F.col("fp").isNotNull())
     postings = sets.select("fp", F.explode("prefix").alias("token"))
     centre = postings.groupBy("token").agg(F.min("fp").alias("c"), F.max("fp").alias("d")).filter("c < d").select("token", "c")
     meet = postings.join(centre, "token").filter("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
@@ -310,15 +381,14 @@ def set_links(sets: DataFrame, percent: int = 80) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    sets = jaccard_sets(docs, percent, n_words)
-    roots = connected(set_links(sets, percent), "ngram-components")
-    about = sets.filter(F.col("ids").isNotNull()).select(F.explode(F.arrays_zip("ids", "id_fp", "id_n")).alias("d"))
-    about = about.select(F.col("d.ids").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("d.id_fp").alias("fp"), F.col("d.id_n").alias("n_shingles"))
-    named = about.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
-    lowest = named.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    documents, hot = survey(docs, n_words)
+    roots = connected(set_links(jaccard_sets(docs, percent, n_words, hot=hot), percent), "ngram-components")
+    about = documents.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "fp", F.col("n").alias("n_shingles"))
+    empty = about.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = about.filter("n_shingles > 0").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
+    lowest = named.groupBy("class").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     lowest = materialise(lowest, "ngram-lowest")  # a table of its own, so that Spark can split a class of very many documents in the join
-    named = named.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
-    return named.join(lowest, "class", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    return named.join(lowest, "class", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id")).unionByName(empty)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, broadcast_ids: int = BROADCAST_ROWS) -> DataFrame:

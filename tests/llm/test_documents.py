@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -130,6 +131,28 @@ def test_near_duplicates_in_one_hot_group_over_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_copies_and_common_hashes_are_dealt_evenly(spark, monkeypatch):
+    """No group of a range holds the ids or sets of all copies, nor all postings of a very common hash."""
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 20)
+    rng = random.Random(8)
+    texts = ["one two three"] * 300 + [None] * 150 + [""] * 150 + ["all rights are reserved here " + " ".join(f"e{rng.randrange(10**6)}" for _ in range(6)) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    batches = [pd.DataFrame({"doc_id": [str(i) for i, _ in rows], "text": [t for _, t in rows]})]
+    seen = pd.concat(ngram_join._survey(5)(iter(batches)))
+    often = seen[seen["h"].notna()]
+    hot = (np.array(often["h"].tolist(), dtype=np.int64).view(np.uint64), np.array(often["times"].tolist(), dtype=np.int64))
+    assert hot[1].tolist() == [400] and seen["n"].notna().sum() == 1000
+    blobs = pd.concat(ngram_join._blobs(ngram_join.part_of(8, hot=hot), 5)(iter(batches)))
+    assert set(blobs.columns) == {"part", "fp", "n", "cnt", "h"}
+    copies = ngram_join.shingles("one two three").tobytes()
+    assert b"".join(blobs["h"]).count(copies) == 1
+    held = [sum(np.frombuffer(h, np.uint64).tolist().count(int(hot[0][0])) for h in g["h"]) for _, g in blobs.groupby("part")]
+    assert sum(held) == 400 and max(held) < 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(ngram_join.survey(df)[1][0]) == 1
+    assert Counter(tuple(r) for r in ngram_join.near_duplicates(df).collect()) == brute_components(rows)
+
+
 def test_trie_links_find_the_components():
     rng = np.random.default_rng(1)
     for _ in range(40):
