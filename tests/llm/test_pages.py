@@ -129,6 +129,29 @@ def test_constant_nodes_become_template(spark):
     assert got[100] == "Best site ever\nown 0"
 
 
+def made_pages(spark, htmls, host="same.example"):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)], PAGES).repartition(5)
+
+
+def texts_of(pages):
+    return {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(pages).collect()}
+
+
+def test_template_by_share_of_pages_and_among_siblings(spark):
+    menu = lambda i: "menu edited" if i == 3 else "menu"
+    got = texts_of(made_pages(spark, [f"<div>{menu(i)}</div><div>story {i}</div><div>about us</div>" for i in range(40)]))
+    assert all(got[i] == (f"menu edited\nstory {i}" if i == 3 else f"story {i}") for i in range(40))
+    got = texts_of(made_pages(spark, [f"<article><h2>Why</h2><p>one {i}</p><p>two {i}</p><p>Write to us</p></article>" for i in range(20)]))
+    assert all(got[i] == f"Why\none {i}\ntwo {i}" for i in range(20))
+
+
+def test_template_of_one_layout_among_three_and_copies(spark):
+    got = texts_of(made_pages(spark, [f"<div class='layout{'xyz'[i % 3]}'><div>Best site {i % 3}</div><div>story {i}</div></div>" for i in range(60)]))
+    assert all(got[i] == f"story {i}" for i in range(60))
+    got = texts_of(made_pages(spark, ["<article><p>one and the same</p><p>article</p></article>"] * 60))
+    assert set(got.values()) == {"one and the same\narticle"}
+
+
 def test_simple_tree_matching():
     tree = lambda html: html_wrapper.shape_of(html_wrapper.parse(html))
     a, b = tree("<div><h1>a</h1><p>b</p><ul><li>c</li></ul></div>"), tree("<div><p>x</p><section>y</section><ul><li>z</li><li>w</li></ul></div>")
