@@ -160,6 +160,16 @@ def test_simple_tree_matching():
     assert [k.label for k in both.kids[0].kids] == ["h1", "p", "section", "ul"] and both.pages == 2
 
 
+def test_wide_pages_keep_their_slots(spark):
+    shape = lambda label, kids=(): html_wrapper.Shape(label, list(kids), 1, 0)
+    a = [shape("x"), *(shape(f"l{i}") for i in range(3000)), shape("y")]
+    b = [shape("z"), *(shape(f"l{i}") for i in (1, 700, 2500, 2999)), shape("w")]
+    assert html_wrapper.pairing(a, b, {}) == [(2, 1), (701, 2), (2501, 3), (3000, 4)]
+    wide = lambda i: "".join(f"<div class='k{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}'><p>own {i} {j}</p></div><section><p>edge</p></section>" for j in range(150 + i))
+    got = texts_of(made_pages(spark, [wide(i) for i in range(12)]))
+    assert all(got[i].split("\n") == [f"own {i} {j}" for j in range(150 + i)] for i in range(12))
+
+
 # --- decontamination
 
 
