@@ -129,6 +129,23 @@ def test_constant_nodes_become_template(spark):
     assert got[100] == "Best site ever\nown 0"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>T</title><body><article><p>a</p></article></body></html>", "a"),
+        ("<head><meta charset=utf-8><script>x</script><style>y</style><div>a</div><p>b", "a\nb"),
+        ("<html><head><title>T</title>bare text<p>b</p>", "bare text\nb"),
+        ("<head><template><p>no</p></template><title>T</title></head><body><p>b</p>", "b"),
+        ("<body><form id='aspnetForm'><nav>n</nav><article><p>a</p><form>f</form></article></form></body>", "a"),
+        ("<form class='search-page'><div><main><p>a</p></main></div></form>", "a"),
+        ("<body><form method=post><div>one</div><p>two<select><option>o</select></p></form><div>x</div></body>", "one\ntwo\nx"),
+        ("<div>a page of some length</div><form>find</form>", "a page of some length"),
+    ],
+)
+def test_unclosed_heads_and_forms_around_pages(html, text):
+    assert html_wrapper.Extractor(None).text(html) == text
+
+
 def made_pages(spark, htmls, host="same.example"):
     return spark.createDataFrame([(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)], PAGES).repartition(5)
 
