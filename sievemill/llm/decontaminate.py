@@ -1,13 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words (lower-cased runs of letters, digits and underscores) are numbered by the benchmark's own vocabulary. Rolling
+Words (lower-cased runs of letters, digits and underscores; in scripts without blanks each character) are numbered by the benchmark's own vocabulary. Rolling
 Karp-Rabin hashes of every window of `min_words` words of a document are looked up among those of the benchmark; these
 shared seeds join documents with items. For each joined pair, seeds on one diagonal grow to maximal matches, and the
 longest match that overlaps no earlier tile is marked, again and again, until none of min_words words is left. A
 document holds an item if its tiles cover at least `threshold` of the item's words, in whatever order they stand.
 
-The benchmark is read in blocks of at most `block_items` items, each sent to all tasks, so memory is bounded however
-many items there are; the documents are scanned once a block and never shuffled.
+The benchmark is read in blocks of about `block_items` items, each sent to all tasks; all texts of one item_id are in
+one block. With several blocks the hits of one are written before the next is read, so driver and tasks hold one block
+at a time; the documents are scanned once a block.
 
 Defined cases: null or empty texts match nothing; items of fewer than min_words words never match; a document that
 holds several items, or one several times, gives one row an item; repeated rows give rows each; for items that share
@@ -25,11 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_map, text_of
+from .common import column_map, materialise, text_of
 
-WORD = re.compile(r"\w+")
+# Thai to Khmer, kana, Han ideographs, as Unicode's blocks have them.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_ITEMS = 20_000
+#: Digests of documents that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 FIELDS = ("item_id", "item_words", "covered_words", "tiles", "longest_tile")
 
 
@@ -129,13 +134,15 @@ def tile(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, k: int
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, k: int, block_items: int) -> Iterator[Benchmark]:
-    """Blocks of at most about block_items items, read one after another."""
-    rows = benchmark.select("item_id", "text")
-    n = rows.count()
-    parts = -(-n // block_items)
+def block_count(benchmark: DataFrame, block_items: int) -> int:
+    return -(-benchmark.count() // block_items)
+
+
+def benchmark_blocks(benchmark: DataFrame, k: int, parts: int) -> Iterator[Benchmark]:
+    """Blocks by item_id, read one after another."""
+    rows = benchmark.select("item_id", "text").distinct()
     for b in range(parts):
-        own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == b)
+        own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == b)
         yield Benchmark([(x["item_id"], x["text"]) for x in own.sort("item_id", "text").collect()], k)
 
 
@@ -152,9 +159,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, thresh
     spark, kind = docs.sparkSession, benchmark.schema["item_id"].dataType.simpleString()
     fields = f"item_id:{kind}," + ",".join(f"{c}:bigint" for c in FIELDS[1:])
     out = None
-    for block in benchmark_blocks(benchmark, min_words, block_items):
+    parts = block_count(benchmark, block_items)
+    for block in benchmark_blocks(benchmark, min_words, parts):
         hits = column_map(spark, _find(block, threshold), f"array<struct<{fields}>>")(text_of("text"))
         found = docs.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.*")
+        found = found if parts == 1 else materialise(found, "leaks")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {fields.replace(':', ' ')}")
@@ -170,7 +179,18 @@ def _clean(block: Benchmark, threshold: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, threshold: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents that hold no benchmark item, unchanged."""
-    for block in benchmark_blocks(benchmark, min_words, block_items):
-        docs = docs.filter(column_map(docs.sparkSession, _clean(block, threshold), "boolean")(text_of("text")))
-    return docs
+    """The documents that hold no benchmark item, unchanged. With several blocks, the digests of texts that hold items
+    are written block by block, and documents with such a text go."""
+    parts, spark = block_count(benchmark, block_items), docs.sparkSession
+    digest = F.sha2(text_of("text"), 256)
+    gone = None
+    for block in benchmark_blocks(benchmark, min_words, parts):
+        clean = column_map(spark, _clean(block, threshold), "boolean")(text_of("text"))
+        if parts == 1:
+            return docs.filter(clean)
+        found = materialise(docs.filter(~clean).select(digest.alias("_digest")).distinct(), "leaking")
+        gone = found if gone is None else gone.unionByName(found)
+    if gone is None:
+        return docs
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti").select(docs.columns)

@@ -220,6 +220,21 @@ def test_leaks_of_planted_passages(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).collect() == [] and decontaminate.find_leaks(d.limit(0), b).collect() == []
 
 
+def test_leaks_of_items_with_many_texts_and_without_blanks(spark):
+    rng = random.Random(9)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+    texts = [[sentence() for _ in range(4)] for _ in range(6)]
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(30))
+    items = [(i, t) for i, own in enumerate(texts) for t in own] + [(50, han)]
+    docs = [(i, " ".join(["before", *own, "after"])) for i, own in enumerate(texts)] + [(50, "前" + han + "。后"), (51, None), (52, sentence())]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (3, 20_000):
+        got = decontaminate.find_leaks(d, b, block_items=block).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [(i, i, 1.0) for i in (*range(6), 50)]
+        left = decontaminate.drop_leaks(d, b, block_items=block)
+        assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {51, 52}
+
+
 def brute_tiles(item, doc, k):
     """Greedy string tiling by the book: the longest unmarked match, first in item then in document, over and over."""
     a, b, out = [False] * len(item), [False] * len(doc), []
