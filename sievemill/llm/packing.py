@@ -58,6 +58,7 @@ class WordIds:
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a run of letters
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.special = [a.content for a in self.lib.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -115,12 +116,22 @@ class WordIds:
         stop = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1])]
 
+    def _lower(self, text: str) -> str:
+        """The text as the vocabulary sees it: in lower case, unless that makes special strings that the text has not,
+        as those are matched with their case. Only Latin texts, others are left to the library."""
+        if not LATIN(text):
+            return text
+        low = text.lower()
+        if any(low.count(x) != text.count(x) for x in self.special):
+            return text
+        return low
+
     def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """Ids of each text and the closing id. The vocabulary ignores case, so Latin texts are lower-cased first,
         which makes fewer distinct words."""
         if len(self.at) > REMEMBERED:
             self._clear()
-        cut = [(t.lower() if LATIN(t) else t).replace("\n", " ").split(" ") for t in texts]
+        cut = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
         words = list(chain.from_iterable(cut))
         at = np.fromiter(map(self.at.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         if len(miss := np.flatnonzero(at < 0)):

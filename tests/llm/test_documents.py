@@ -292,6 +292,12 @@ def test_word_ids_of_random_strings():
     assert got == [e.ids + [1] for e in w.lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_strings_keep_their_case():
+    texts = ["a <|EndOfText|> B", "<|ENDOFTEXT|><|endoftext|> Mixed", "One<|StartOfText|>Two É", "plain <|endoftext|>X"]
+    w = packing.WordIds(WORDS)
+    assert [x.tolist() for x in w.encode(texts, 1)] == [e.ids + [1] for e in w.lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_step_groups_are_equal(docs):
     got = packing.pack_documents(docs, WORDS).filter("step_group >= 0").groupBy("step_group", "sequence_id").sum("length").collect()
     total = defaultdict(int)
