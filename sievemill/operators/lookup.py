@@ -70,10 +70,11 @@ def dedupe_runs(runs: DataFrame) -> DataFrame:
 
 
 def merge_on_grid(parts: DataFrame) -> DataFrame:
-    """parts (part, idx, t, signal, value) of one run merged to the first part's grid: a signal that occurs in several
-    parts is taken from the last; raises where the grids differ."""
-    grids = parts.select("part", "idx", "t").distinct().groupBy("idx").agg(F.countDistinct("t").alias("k"), F.countDistinct("part").alias("p"))
-    whole = grids.agg(F.max("p").alias("p"), F.min("p").alias("q"), F.max("k").alias("k")).first()
-    if whole["k"] and (whole["k"] > 1 or whole["p"] != whole["q"]):
+    """parts (part, idx, t, signal, value) of one run, or of many with a run_key, merged to the grid of each run's first
+    part: a signal that occurs in several parts is taken from the last; raises where the grids of a run differ."""
+    run = [c for c in parts.columns if c == "run_key"]
+    grids = parts.select(*run, "part", "idx", "t").distinct().groupBy(*run, "idx").agg(F.countDistinct("t").alias("k"), F.countDistinct("part").alias("p"))
+    whole = grids.groupBy(*run).agg(F.max("p").alias("p"), F.min("p").alias("q"), F.max("k").alias("k"))
+    if whole.filter("k > 1 OR p <> q").limit(1).count():
         raise ValueError("the parts of a run must share one time grid")
-    return parts.groupBy("idx", "signal").agg(F.max_by("t", "part").alias("t"), F.max_by("value", "part").alias("value"))
+    return parts.groupBy(*run, "idx", "signal").agg(F.max_by("t", "part").alias("t"), F.max_by("value", "part").alias("value"))

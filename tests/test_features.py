@@ -60,3 +60,15 @@ def test_recommendations(spark):
     assert [(r["item"], round(r["score"], 6)) for r in got] == [("p", 1.3)]
     pred = spark.createDataFrame([(1, 0.1), (1, 0.3), (2, 0.5)], "candidate int, std double")
     assert f.next_sample(pred).first()["candidate"] == 2
+
+
+def test_merge_on_grid_over_all_runs(spark):
+    """Runs of different grids and numbers of parts are merged each on its own."""
+    from sievemill.operators import lookup
+
+    made = [(r, p, i, float(i * r), "v", float(100 * r + 10 * p + i)) for r in (1, 2, 3) for p in range(r) for i in range(2 + r)]
+    frame = lambda rows: spark.createDataFrame(rows, "run_key long, part int, idx long, t double, signal string, value double")
+    got = {(x["run_key"], x["idx"]): (x["t"], x["value"]) for x in lookup.merge_on_grid(frame(made)).collect()}
+    assert got == {(r, i): (float(i * r), float(100 * r + 10 * (r - 1) + i)) for r in (1, 2, 3) for i in range(2 + r)}
+    with pytest.raises(ValueError):
+        lookup.merge_on_grid(frame([*made, (3, 3, 0, 0.5, "v", 1.0)]))
