@@ -187,6 +187,58 @@ def test_wide_pages_keep_their_slots(spark):
     assert all(got[i].split("\n") == [f"own {i} {j}" for j in range(150 + i)] for i in range(12))
 
 
+def test_alignment_is_exact_on_long_lists():
+    """Against the plain table of simple tree matching, with and without equal ends."""
+
+    def brute(a, b):
+        if a.label.rstrip("+") != b.label.rstrip("+"):
+            return 0
+        table = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + brute(x, y))
+        return 1 + table[-1][-1]
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.randrange(7))] if depth else []
+        return html_wrapper.Shape(rng.choice("abc") + rng.choice(["", "+"]), kids, 1)
+
+    for _ in range(150):
+        a, b = html_wrapper.Shape("r", [tree(2) for _ in range(rng.randrange(12))], 1), html_wrapper.Shape("r", [tree(2) for _ in range(rng.randrange(12))], 1)
+        assert html_wrapper.match(a, b, {}) == brute(a, b)
+        assert len(html_wrapper.preorder(html_wrapper.merged(a, b))) == len(html_wrapper.preorder(a)) + len(html_wrapper.preorder(b)) - brute(a, b)
+
+
+def test_deep_and_wide_pages_are_aligned(spark):
+    """No bound on depth or width: an article under 3000 divs is found, and 10,000 children are aligned."""
+    story = lambda i: f"<article><p>story {i}</p><p>Write to us</p></article><div>outside</div>"
+    got = texts_of(made_pages(spark, ["<div>" * 3000 + story(i) + "</div>" * 3000 for i in range(12)]))
+    assert got == {i: f"story {i}" for i in range(12)}
+    wide = lambda i: "<article>" + "".join(f"<h2>h {i} {j}</h2><p>t {i} {j}</p>" for j in range(5000)) + ("<figure>f</figure>" if i % 2 else "") + "<p>edge</p>" * 2 + "</article>"
+    got = texts_of(made_pages(spark, [wide(i) for i in range(9)]))
+    assert all(got[i].split("\n") == [x for j in range(5000) for x in (f"h {i} {j}", f"t {i} {j}")] + ["f"] * (i % 2) for i in range(9))
+
+
+def test_optional_blocks_are_told_by_their_place(spark):
+    """A block with one text that only some pages have is template by its place in the wrapper, not by its labels."""
+    page = lambda i: f"<div><p>story {i} is told</p></div><section><p>more on {i}</p></section>" + ("<div><p>Join our club</p></div>" if i % 4 == 0 else "")
+    got = texts_of(made_pages(spark, [page(i) for i in range(60)]))
+    assert all(got[i] == f"story {i} is told\nmore on {i}" for i in range(60))
+
+
+def test_region_without_telling_tags(spark, sf_dir):
+    """Without article, main, class, id and role the wrapper finds the text of nearly all generated pages."""
+    pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()
+    bare = lambda html: re.sub(r"</?(article|main)\b[^>]*>|\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]*)", "", html or "")
+    made = spark.createDataFrame([(r["page_id"], r["url"], bare(r["html"])) for r in pages], PAGES)
+    got, alone = texts_of(made), {r["page_id"]: html_wrapper.Extractor(None).text(bare(r["html"])) for r in pages}
+    right = [got[r["page_id"]] == plain(r["html"]) for r in pages]
+    assert np.mean(right) >= 0.95
+    assert sum(got[i] != alone[i] for i in got) > 0.9 * len(got)  # the wrapper changed them
+
+
 # --- decontamination
 
 
