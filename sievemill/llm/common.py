@@ -43,6 +43,14 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def input_partitions(df: DataFrame) -> int:
     """Number of tasks that will scan df: a size measure that costs no job."""
     return max(1, df.rdd.getNumPartitions())

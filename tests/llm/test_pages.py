@@ -313,6 +313,53 @@ def test_tiles_are_greedy():
         assert sorted(decontaminate.tile(item, doc, i, j, 3)) == brute_tiles(item.tolist(), doc.tolist(), 3)
 
 
+def test_leaks_against_brute_force(spark):
+    """Every document against every item by the book; repeated rows, shared ids, long texts, clashing columns."""
+    rng = random.Random(12)
+    item_words = lambda n: [rng.choice("abcdefghijkl") * rng.randrange(1, 3) for _ in range(n)]
+    items = [(i // 2, " ".join(item_words(rng.randrange(1, 30)))) for i in range(24)] + [(40, "a b"), (None, " ".join(item_words(12)))]
+    docs = []
+    for i in range(60):
+        words = item_words(rng.randrange(0, 60))
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(items)[1].split()
+            cut = rng.randrange(len(own) + 1)
+            words[rng.randrange(len(words) + 1) :] = own[cut:] + item_words(2) + own[:cut]
+        docs.append((i, " ".join(words)))
+    docs += [docs[0], (None, items[3][1]), (70, " ".join(["ab"] * 3000 + items[5][1].split() * 400))]
+    for short in (False, True):
+        want = {}
+        for doc, text in docs:
+            for item, passage in items:
+                a, b = passage.split(), text.split()
+                tiles = [x for x in brute_tiles(a, b, min(5, len(a)) if short else 5)] if len(b) < 500 else None
+                if tiles is None:
+                    continue
+                if len(a) < 5:
+                    tiles = tiles[:1]
+                if tiles and sum(tiles) >= 0.5 * len(a):
+                    want[doc, item] = max(want.get((doc, item), 0), sum(tiles) / len(a))
+        df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS hit", "1 AS coverage", "'y' AS _digest")
+        b = spark.createDataFrame(items, "item_id long, text string")
+        for block in (5, 20_000):
+            got = [r for r in decontaminate.find_leaks(df, b, block_items=block, short_items=short).collect() if r["doc_id"] != 70]
+            assert {(r["doc_id"], r["item_id"]): round(r["coverage"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+            assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter({k: 1 + (k[0] == 0) for k in want})
+            left = decontaminate.drop_leaks(df, b, block_items=block, short_items=short)
+            assert left.columns == df.columns and all(r["_digest"] == "y" for r in left.collect())
+            assert Counter(r["doc_id"] for r in left.collect()) == Counter(d for d, _ in docs if d not in {d for d, _ in want} and d != 70)
+
+
+def test_repeated_words_cost_linear_memory():
+    import tracemalloc
+
+    block = decontaminate.Benchmark([(1, "same " * 2000), (2, "one two three four five six seven")], 5)
+    tracemalloc.start()
+    got = block.holds("same " * 20_000, 0.5)
+    assert got == [(1, 2000, 2000, 1, 2000)] and tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
 # --- top-k search
 
 
