@@ -252,6 +252,48 @@ def test_cuckoo_filter_insert_and_delete():
     assert f.may_hold(keys[2500:]).all() and f.may_hold(keys[:2500]).mean() < 0.001
 
 
+def test_filters_follow_insertions_and_deletions(docs):
+    """Filters and output after inserting and deleting documents are those of never having had them."""
+    first, second = docs.filter("doc_id % 3 > 0"), docs.filter("doc_id % 3 = 0")
+    held = lambda index: {(r["shard"], x) for r in index.filters.collect() for x in _entries(line_dedup.CuckooFilter.load(bytes(r["filter"])))}
+    kept = lambda index: Counter(tuple(r) for r in line_dedup.drop_lines(first, index).select("doc_id", "n_dropped", "kept_text").collect())
+    start = line_dedup.new_index(first, 3)
+    more = line_dedup.insert_documents(start, second)
+    back = line_dedup.delete_documents(more, second)
+    all_docs = line_dedup.new_index(docs, 3)
+    assert len(held(more)) > len(held(start)) and held(back) == held(start)
+    assert kept(more) == kept(all_docs) != kept(start) == kept(back)
+
+
+def _entries(f):
+    for b, s in zip(*np.nonzero(f.t)):
+        yield int(f.t[b, s])
+    yield from (fp for _, fp in f.stash)
+
+
+def test_filters_of_many_keys():
+    """More keys than one broadcast group used to hold; a full filter keeps what it cannot place."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64, 1_200_000, dtype=np.uint64))
+    f = line_dedup.CuckooFilter.load(line_dedup.CuckooFilter.of(keys).dump())
+    assert f.may_hold(keys).all() and not f.may_hold(rng.integers(0, 2**64, 200_000, dtype=np.uint64)).any()
+    small = line_dedup.CuckooFilter(8)
+    for k in keys[:60].tolist():
+        small.add(k)
+    again = line_dedup.CuckooFilter.load(small.dump())
+    assert again.stash and again.may_hold(keys[:60]).all()
+
+
+def test_exceptions_settle_what_filters_let_through(spark):
+    """A filter with strangers in it lets their lines through; the exact table keeps them."""
+    rows = [(i, f"shared line\nown line {i}\nother {i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = line_dedup.new_index(df, 10)
+    index.filters = line_dedup.build_filters(index.refs)  # of all keys, hot or not
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.drop_lines(df, index).collect()}
+    assert got == {i: f"own line {i}\nother {i % 7}" for i in range(60)}
+
+
 # --- packing
 
 
