@@ -13,9 +13,11 @@ def connected(edges: DataFrame, name: str = "labels") -> DataFrame:
 
     In a round every vertex hooks to its smallest neighbour, if smaller, and takes the hook of that vertex. The edges
     are then drawn between hooks, equal ones once, and those within a hook vanish, so the graph shrinks from round to
-    round; each is written to the shared folder. The hooks of all rounds, one after another, lead to the roots."""
+    round; each is written to the shared folder. The hooks of all rounds, one after another, lead to the roots; they are
+    written every few rounds. Vertices should be named at random, as fingerprints are: then a round takes away a fixed
+    share of the vertices, whereas names that rise along a long path would take rounds in proportion to its length."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), f"{name}-edges")
-    roots = None
+    roots, rounds = None, 0
     while roots is None or both.limit(1).count():
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("root"))
@@ -28,4 +30,7 @@ def connected(edges: DataFrame, name: str = "labels") -> DataFrame:
         else:
             later = hook.select(F.col("v").alias("root"), F.col("root").alias("_r"))
             roots = roots.join(later, "root", "left").select("v", F.coalesce("_r", "root").alias("root"))
+        rounds += 1
+        if rounds % 4 == 0:
+            roots = materialise(roots, name)
     return materialise(roots, name)

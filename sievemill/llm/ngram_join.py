@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix trees, exact, and the near-duplicate components that its links make.
 
 1. One pass over the texts writes each document's fingerprint and number of shingles as a plain table, and the hashes
-   that very many sets hold. A second pass sends the sets of shingle hashes out in packed blobs, dealt by hash range.
+   that very many sets hold. A second pass sends the sets of shingle hashes out in packed blobs, one hash range a task.
    Equal sets have one fingerprint: a task sends one of them only, and the ranges drop those of other tasks. Very common
    hashes are dealt by hash and fingerprint, over all ranges.
 2. Each range counts, for every hash, the sets that hold it, and sends on only hashes held by two sets or more: the
@@ -12,10 +12,14 @@
    prefix hashes.
 4. In a group, the ordered sets are stored in a trie. All sets traverse it together, sharing the partial overlaps of
    common paths, and leave a subtree once the overlap and the remaining lengths cannot reach what is needed, or once
-   leaf and set are connected already. Large groups are cut into blocks and each pair of blocks is a task.
-5. The links of each task (a spanning forest of them) are joined to components.
+   leaf and set are connected already.
+5. Large groups are cut into blocks of sets of like length and, so far as it goes, the same rarest prefix hash. Each
+   block has its trie first. Then a set is sent on only to those blocks that hold one of its prefix hashes in a set of
+   like length which is not connected with it yet, so what is copied follows the hashes that sets really share.
+6. The links of each task (a spanning forest of them) are joined to components.
 
-Hashes and fingerprints have 64 bits. Documents and links never pass through the driver.
+A set is known by a fingerprint of 128 bits, a shingle by a hash of 64 bits: within two sets of a million shingles each
+the chance of an accidental common one is one in ten million. Documents and links never pass through the driver.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; texts of fewer than five
 words have one shingle, the whole sequence; rows that share a doc_id are one vertex each and report that id; null ids
@@ -38,7 +42,7 @@ from .components import connected
 
 N_WORDS = 5
 #: Hashes that a task gathers before it sends blobs; elements and sets of one trie task.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 TASK_ELEMENTS, TASK_SETS = 1_000_000, 800
 #: A hash is very common if so many sets of a flush hold it, one in so many of them, and a quarter of a range's worth in all.
 HOT_SETS, HOT_SHARE = 64, 128
@@ -47,6 +51,8 @@ REMEMBERED = 1_000_000
 #: Rows of ids and small numbers that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Hash ranges at least.
+LEAST_RANGES = 12
 
 
 def shingles(text: str | None, n_words: int = N_WORDS) -> np.ndarray:
@@ -74,12 +80,21 @@ Hot = tuple[np.ndarray, np.ndarray]
 NO_HOT: Hot = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _distinct(batches: Iterator[pd.DataFrame], n_words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], list[int], list[bool]]]:
+def fingerprint(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def as_pairs(raw: bytes) -> np.ndarray:
+    """Fingerprints as rows of two numbers."""
+    return np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
+
+
+def _distinct(batches: Iterator[pd.DataFrame], n_words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], list[bytes], list[bool]]]:
     """Each batch with its documents' sets, their fingerprints, and whether the task meets the set for the first time."""
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for pdf in batches:
         sets = [shingles(t, n_words) for t in pdf["text"]]
-        fps, new = [xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], []
+        fps, new = [fingerprint(h) for h in sets], []
         for h, fp in zip(sets, fps):
             new.append(len(h) > 0 and fp not in seen)
             if new[-1]:
@@ -95,13 +110,13 @@ def _survey(n_words: int):
     def common(held: list[np.ndarray]) -> pd.DataFrame:
         h, times = np.unique(np.concatenate(held), return_counts=True)
         many = times >= max(HOT_SETS, len(held) // HOT_SHARE)
-        return pd.DataFrame({"doc_id": None, "fp": pd.array([None] * many.sum(), dtype="Int64"), "n": pd.array([None] * many.sum(), dtype="Int64"), "h": h[many].view(np.int64), "times": times[many]})
+        return pd.DataFrame({"doc_id": None, "fp": None, "n": pd.array([None] * many.sum(), dtype="Int64"), "h": h[many].view(np.int64), "times": times[many]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf, sets, fps, new in _distinct(batches, n_words):
             none = pd.array([None] * len(pdf), dtype="Int64")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(fps, dtype=np.uint64).view(np.int64), "n": [len(h) for h in sets], "h": none, "times": none})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps, "n": [len(h) for h in sets], "h": none, "times": none})
             for h, is_new in zip(sets, new):
                 if is_new:
                     held.append(h)
@@ -117,10 +132,9 @@ def _survey(n_words: int):
 
 def _deal(sets: list[tuple], key: Key) -> pd.DataFrame:
     """Packed rows by key. sets: arrays (fp, n, cnt, h), cnt hashes of h for each fp."""
-    fp, n, cnt, h = (np.concatenate([x[k] for x in sets] or [np.zeros(0, np.uint64)]) for k in range(4))
-    cnt = cnt.astype(np.int64)
-    of = np.repeat(np.arange(len(fp)), cnt)
-    part = key(h, fp[of])
+    fp, n, cnt, h = (np.concatenate([x[k] for x in sets]) for k in range(4))
+    of = np.repeat(np.arange(len(fp), dtype=np.int32), cnt)
+    part = key(h, fp[:, 0][of])
     low = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part  # sets are in order, so this sort by radix is enough
     order = np.argsort(low, kind="stable")
     h, of, part = h[order], of[order], part[order]
@@ -128,7 +142,7 @@ def _deal(sets: list[tuple], key: Key) -> pd.DataFrame:
     for p in np.unique(part).tolist():
         s = slice(*np.searchsorted(part, [p, p + 1]))
         who, count = np.unique(of[s], return_counts=True)
-        rows.append((p, fp[who].tobytes(), n[who].astype(np.int64).tobytes(), count.astype(np.int64).tobytes(), h[s].tobytes()))
+        rows.append((p, fp[who].tobytes(), n[who].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), h[s].tobytes()))
     return pd.DataFrame(rows, columns=BLOB)
 
 
@@ -139,8 +153,8 @@ def _blobs(key: Key, n_words: int):
             for h, fp, is_new in zip(found, fps, new):
                 if not is_new:
                     continue
-                n = np.array([len(h)], dtype=np.int64)
-                sets.append((np.array([fp], dtype=np.uint64), n, n, h))
+                n = np.array([len(h)], dtype=np.int32)
+                sets.append((as_pairs(fp), n, n, h))
                 size += len(h) + 50
                 if size >= FLUSH:
                     yield _deal(sets, key)
@@ -158,7 +172,7 @@ def _finer(key: Key):
         sets, size = [], 0
         for pdf in batches:
             for fp, n, cnt, h in zip(*(pdf[c] for c in BLOB[1:])):
-                sets.append((np.frombuffer(fp, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(cnt, np.int64), np.frombuffer(h, np.uint64)))
+                sets.append((as_pairs(fp), np.frombuffer(n, np.int32), np.frombuffer(cnt, np.int32), np.frombuffer(h, np.uint64)))
                 size += len(h) // 8
                 if size >= FLUSH:
                     yield _deal(sets, key)
@@ -191,12 +205,39 @@ def _read(pdf: pd.DataFrame, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(pdf[column].dropna()), dtype=kind)
 
 
+def _whole(f: Callable[[pd.DataFrame], pd.DataFrame]):
+    """f over all rows of a task at once: a task has one range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if held:
+            yield f(pd.concat(held))
+
+    return run
+
+
+def _by_set(parts: int, fp: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """Postings packed by the range of their set's fingerprint."""
+    to = (fp[:, 0] % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to, columns = to[order], [x[order] for x in (fp, *columns)]
+    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
+    cut = [*first.tolist(), len(to)]
+    rows = [(int(to[a]), *(x[a:b].tobytes() for x in columns)) for a, b in zip(cut, cut[1:])]
+    return pd.DataFrame(rows, columns=["part", "fp", "n", "h", "df"])
+
+
+def _postings(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    return as_pairs(b"".join(pdf["fp"])), *(_read(pdf, c, k) for c, k in (("n", np.int32), ("h", np.uint64), ("df", np.int32)))
+
+
 def _shared(parts: int, hot: Hot = NO_HOT):
     """Hashes of one range that two sets or more hold, with that number, dealt out again by fingerprint."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cnt = _read(pdf, "cnt", np.int64)
-        h, fp, n = _read(pdf, "h", np.uint64), np.repeat(_read(pdf, "fp", np.uint64), cnt), np.repeat(_read(pdf, "n", np.int64), cnt)
+        cnt = _read(pdf, "cnt", np.int32)
+        of = np.repeat(np.arange(len(cnt), dtype=np.int32), cnt)
+        h, fps, sizes = _read(pdf, "h", np.uint64), as_pairs(b"".join(pdf["fp"])), _read(pdf, "n", np.int32)
         order = np.argsort(h, kind="stable")
         s = h[order]
         twice = np.zeros(len(s), dtype=bool)
@@ -204,10 +245,11 @@ def _shared(parts: int, hot: Hot = NO_HOT):
         twice[:-1] |= twice[1:]
         twice |= _times(s, hot) > 0
         order = order[twice]
+        h, of = h[order], of[order]
+        fp, n = fps[of], sizes[of]
+        order = np.lexsort((fp[:, 1], fp[:, 0], h))
         h, fp, n = h[order], fp[order], n[order]
-        order = np.lexsort((fp, h))
-        h, fp, n = h[order], fp[order], n[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])][: len(h)]
+        new = np.r_[True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1]).any(axis=1)][: len(h)]
         h, fp, n = h[new], fp[new], n[new]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
         size = np.diff(np.r_[start, len(h)])
@@ -215,12 +257,18 @@ def _shared(parts: int, hot: Hot = NO_HOT):
         often = _times(h, hot)
         df = np.where(often > 0, often, df)
         keep = df > 1
-        h, fp, n, df = h[keep], fp[keep], n[keep], df[keep]
-        to = (fp % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(parts + 1))
-        rows = [(p, *(x[order[cut[p] : cut[p + 1]]].tobytes() for x in (fp, n, h, df))) for p in range(parts) if cut[p] < cut[p + 1]]
-        return pd.DataFrame(rows, columns=["part", "fp", "n", "h", "df"])
+        return _by_set(parts, fp[keep], n[keep], h[keep], np.minimum(df[keep], 2**31 - 1).astype(np.int32))
+
+    return run
+
+
+def _finer_sets(parts: int):
+    """Deals packed postings out again by a finer range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield _by_set(parts, *_postings(pdf))
 
     return run
 
@@ -229,24 +277,25 @@ def _assemble(percent: int):
     """Sets whose prefix reaches into their shared hashes, in global order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, n, h, df = (_read(pdf, c, k) for c, k in (("fp", np.uint64), ("n", np.int64), ("h", np.uint64), ("df", np.int64)))
-        order = np.lexsort((h, df, fp))
+        fp, n, h, df = _postings(pdf)
+        order = np.lexsort((h, df, fp[:, 1], fp[:, 0]))
         fp, n, h, df = fp[order], n[order], h[order], df[order]
-        start = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]][: len(fp)])
+        start = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]).any(axis=1)][: len(fp)])
         rows = []
         for a, b in zip(start.tolist(), [*start[1:].tolist(), len(fp)]):
             size, shared = int(n[a]), b - a
             prefix = size - -(-percent * size // 100) + 1 - (size - shared)
             if prefix > 0:
-                rows.append((int(fp[a].view(np.int64)), size, shared, h[a : a + prefix].view(np.int64), h[a:b].tobytes(), df[a:b].tobytes()))
+                rows.append((fp[a].tobytes(), size, shared, h[a : a + prefix].view(np.int64), h[a:b].tobytes(), df[a:b].tobytes()))
         return pd.DataFrame(rows, columns=["fp", "n", "size", "prefix", "h", "df"])
 
     return run
 
 
-def trie_links(sets: list[np.ndarray], n: np.ndarray, percent: int, stored: np.ndarray | None = None, cells: int = 64 << 20) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], n: np.ndarray, percent: int, stored: np.ndarray | None = None, cells: int = 64 << 20, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets of ranks, each in rising order; n: full sizes, with unshared hashes.
-    stored: if given, only pairs of one stored and one other set are of interest."""
+    stored: if given, only pairs of one stored and one other set are of interest; joined: labels of sets that are
+    connected already."""
     m = len(sets)
     order = sorted(range(m), key=lambda i: sets[i].astype(">u4").tobytes())
     sets, n, back = [sets[i] for i in order], np.asarray(n, dtype=np.int64)[order], np.array(order)
@@ -257,7 +306,7 @@ def trie_links(sets: list[np.ndarray], n: np.ndarray, percent: int, stored: np.n
         k = min(size[i], size[i + 1])
         differ = sets[i][:k] != sets[i + 1][:k]
         common[i] = int(differ.argmax()) if differ.any() else k
-    label, links = np.arange(m), []
+    label, links = np.arange(m) if joined is None else np.asarray(joined)[order].copy(), []
     width = int(max((s[-1] for s in sets if len(s)), default=-1)) + 1
     step = max(1, cells // max(1, width))
     for first in range(0, m, step):
@@ -297,24 +346,36 @@ def trie_links(sets: list[np.ndarray], n: np.ndarray, percent: int, stored: np.n
     return links
 
 
+def _group_links(own: pd.DataFrame, percent: int, stored: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+    fp = own["fp"].tolist()
+    h = [np.frombuffer(x, dtype=np.uint64) for x in own["h"]]
+    df = [np.frombuffer(x, dtype=np.int32) for x in own["df"]]
+    alike, at = np.unique(np.concatenate(h), return_inverse=True)
+    count = np.zeros(len(alike), dtype=np.int64)
+    count[at] = np.concatenate(df)
+    rank = np.empty(len(alike), dtype=np.int64)
+    rank[np.lexsort((alike, count))] = np.arange(len(alike))
+    ranks = np.split(rank[at], np.cumsum([len(x) for x in h])[:-1])
+    joined = pd.factorize(own["comp"])[0] if "comp" in own else None
+    return [(fp[a], fp[b]) for a, b in trie_links(ranks, own["n"].to_numpy(), percent, stored, joined=joined)]
+
+
 def _links(percent: int):
+    """Links of whole groups, several a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([x for _, own in pdf.groupby("root", sort=True) for x in _group_links(own, percent)], columns=["a", "b"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links of one block, or between two."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in pdf.groupby("root", sort=True):
-            fp = own["fp"].tolist()
-            h = [np.frombuffer(x, dtype=np.uint64) for x in own["h"]]
-            df = [np.frombuffer(x, dtype=np.int64) for x in own["df"]]
-            flat = np.concatenate(h)
-            alike, at = np.unique(flat, return_inverse=True)
-            count = np.zeros(len(alike), dtype=np.int64)
-            count[at] = np.concatenate(df)
-            rank = np.empty(len(alike), dtype=np.int64)
-            rank[np.lexsort((alike, count))] = np.arange(len(alike))
-            ranks = np.split(rank[at], np.cumsum([len(x) for x in h])[:-1])
-            i, j, block = int(own["i"].iloc[0]), int(own["j"].iloc[0]), own["block"].to_numpy()
-            found = trie_links(ranks, own["n"].to_numpy(), percent, None if i == j else block == i)
-            out += [(fp[a], fp[b]) for a, b in found]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        blocks = pdf["block"].to_numpy()
+        stored = blocks == blocks.min() if len(set(blocks)) > 1 else None
+        return pd.DataFrame(_group_links(pdf, percent, stored), columns=["a", "b"])
 
     return run
 
@@ -322,13 +383,13 @@ def _links(percent: int):
 def ranges(docs: DataFrame, part_mb: int) -> int:
     """Hash ranges, sized by the input, so that each fits a task."""
     split = size_in_bytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(32, -(-input_partitions(docs) * split // (part_mb << 20)))
+    return max(LEAST_RANGES, -(-input_partitions(docs) * split // (part_mb << 20)))
 
 
 def survey(docs: DataFrame, n_words: int = N_WORDS, part_mb: int = 8) -> tuple[DataFrame, Hot]:
     """The written table (doc_id as a string, fp, n) of all documents, and the very common hashes with their counts: of
     those at most four a range, as their postings would fill a quarter of it."""
-    rows = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _survey(n_words), "doc_id string, fp long, n long, h long, times long")
+    rows = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _survey(n_words), "doc_id string, fp binary, n long, h long, times long")
     found = materialise(rows, "ngram-documents")
     documents = found.filter(F.col("n").isNotNull()).select("doc_id", "fp", "n")
     total = documents.agg(F.sum("n")).first()[0] or 0
@@ -345,38 +406,78 @@ def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, par
     that packed rows stay large however large the corpus."""
     parts = ranges(docs, part_mb)
     coarse = math.isqrt(parts) + 1 if parts > fan_out else None
-    packed = "part int, fp binary, n binary, cnt binary, h binary"
+    packed, posted = "part int, fp binary, n binary, cnt binary, h binary", "part int, fp binary, n binary, h binary, df binary"
     blobs = docs.select("text").transform(pandas_map, _blobs(part_of(parts, coarse, hot), n_words), packed)
     if coarse:
-        blobs = blobs.repartition(coarse, "part").transform(pandas_map, _finer(part_of(parts, hot=hot)), packed)
-    shared = blobs.groupBy("part").applyInPandas(_shared(parts, hot), "part int, fp binary, n binary, h binary, df binary")
-    sets = shared.groupBy("part").applyInPandas(_assemble(percent), "fp long, n long, size long, prefix array<long>, h binary, df binary")
+        blobs = blobs.repartitionById(coarse, "part").transform(pandas_map, _finer(part_of(parts, hot=hot)), packed)
+    shared = blobs.repartitionById(parts, "part").transform(pandas_map, _whole(_shared(coarse or parts, hot)), posted)
+    if coarse:
+        shared = shared.repartitionById(coarse, "part").transform(pandas_map, _finer_sets(parts), posted)
+    sets = shared.repartitionById(parts, "part").transform(pandas_map, _whole(_assemble(percent)), "fp binary, n long, size long, prefix array<long>, h binary, df binary")
     return materialise(sets, "ngram-sets")
 
 
+LINKS = "a binary, b binary"
+
+
 def set_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b): fingerprints of linked sets, enough of them to connect whatever all links connect."""
     postings = sets.select("fp", F.explode("prefix").alias("token"))
     centre = postings.groupBy("token").agg(F.min("fp").alias("c"), F.max("fp").alias("d")).filter("c < d").select("token", "c")
     meet = postings.join(centre, "token").filter("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
     groups = connected(meet, "ngram-groups")
-    member = sets.drop("prefix").join(groups.withColumnRenamed("v", "fp"), "fp")
-    member = materialise(member.select("fp", "root", "n", "size", "h", "df"), "ngram-members")
-    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("w"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("w") / TASK_ELEMENTS, F.col("m") / TASK_SETS)).cast("int"))
+    member = sets.join(groups.withColumnRenamed("v", "fp"), "fp")
+    member = materialise(member.select("fp", "root", "n", "size", F.col("prefix")[0].alias("first"), "h", "df"), "ngram-members")
+    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("w")).withColumn("blocks", block_count())
     sizes = materialise(sizes, "ngram-sizes")
-    about = sizes.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    about = sizes.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.max("blocks").alias("blocks")).first()
     total, few = about["w"] or 0, about["n"] <= BROADCAST_ROWS
     sizes = sizes.select("root", "blocks")
-    spread = int(max(12, total // (TASK_ELEMENTS // 4)))
-    whole = F.col("blocks") == 1
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     placed = member.join(F.broadcast(sizes) if few else sizes, "root")  # with few groups the members stay where they are
-    placed = placed.withColumn("block", F.when(whole, 0).otherwise(block))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    task = F.when(whole, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(spread)))).otherwise(F.concat_ws("-", "root", "i", "j"))
-    return materialise(placed.withColumn("task", task).groupBy("task").applyInPandas(_links(percent), "a long, b long"), "ngram-links")
+    spread = int(max(12, total // (TASK_ELEMENTS // 4)))
+    small = placed.filter("blocks = 1").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(spread)))
+    links = small.select("task", "root", "fp", "n", "h", "df").groupBy("task").applyInPandas(_links(percent), LINKS)
+    if (about["blocks"] or 1) > 1:
+        links = links.unionByName(large_links(placed.filter("blocks > 1"), sets, percent))
+    return materialise(links, "ngram-links")
+
+
+def block_count():
+    """Blocks that m sets of w elements are cut into."""
+    return F.ceil(F.greatest(F.col("w") / TASK_ELEMENTS, F.col("m") / TASK_SETS)).cast("int")
+
+
+def in_blocks(large: DataFrame, percent: int) -> DataFrame:
+    """large with the band of each set's length and its block: sets of one band whose first prefix hashes fall together,
+    parted further by fingerprint where these are too many. Linked sets lie in the same band or neighbouring ones."""
+    cell = ["root", "band", "cell"]
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int")
+    large = large.withColumn("band", band).withColumn("cell", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")).drop("blocks")
+    counts = large.groupBy(cell).agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("w")).select(*cell, block_count().alias("pieces"))
+    piece = F.pmod(F.xxhash64("fp"), F.col("pieces"))
+    return large.join(counts, cell).withColumn("block", F.concat_ws("-", F.hex("root"), "band", "cell", piece)).drop("cell", "pieces", "first")
+
+
+def meetings(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, other): the other blocks that hold one of the set's prefix hashes in a set of a neighbouring band which is not
+    in its component. placed: fp, band, block, comp."""
+    tokens = placed.join(sets.select("fp", "prefix"), "fp").select("fp", "band", "block", "comp", F.explode("prefix").alias("token"))
+    cells = tokens.groupBy("token", F.col("band").alias("at"), F.col("block").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    near = (F.col("block") != F.col("other")) & (F.abs(F.col("band") - F.col("at")) <= 1) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp")))
+    return tokens.join(cells, "token").filter(near).select("fp", "other").distinct()
+
+
+def large_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within blocks first, then those between blocks that join what is not connected yet."""
+    placed = materialise(in_blocks(large, percent), "ngram-blocks")
+    inside = materialise(placed.groupBy("block").applyInPandas(_block_links(percent), LINKS), "ngram-inside")
+    comps = connected(inside, "ngram-inside")
+    light = placed.select("fp", "band", "block").join(comps.select(F.col("v").alias("fp"), F.col("root").alias("comp")), "fp", "left")
+    light = materialise(light.withColumn("comp", F.coalesce("comp", "fp")), "ngram-light")
+    sent = materialise(meetings(light, sets), "ngram-meetings")
+    pairs = placed.drop("band").join(light.select("fp", "comp"), "fp").join(sent, "fp")
+    pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "root")
+    return inside.unionByName(pairs.groupBy("i", "j").applyInPandas(_block_links(percent), LINKS))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS) -> DataFrame:

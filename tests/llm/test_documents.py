@@ -131,6 +131,26 @@ def test_near_duplicates_in_one_hot_group_over_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_chained_group_is_not_paired_block_by_block(spark, monkeypatch):
+    """A long chain of near copies and sets that share one very common hash: each set is sent only where it can meet."""
+    monkeypatch.setattr(ngram_join, "TASK_SETS", 40)
+    rng = random.Random(11)
+    words = [f"c{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(600)]  # neighbours overlap by 53 of 59 shingles
+    rows += [(1000 + i, "all rights are reserved here " + " ".join(f"e{rng.randrange(10**6)}" for _ in range(3))) for i in range(300)]
+    rows += [(2000 + i, "one short text for all of them" + f" z{i}" * (i % 2)) for i in range(60)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == brute_components(rows)
+    sent = []
+    real = ngram_join.meetings
+    monkeypatch.setattr(ngram_join, "meetings", lambda placed, sets: sent.append((placed.count(), real(placed, sets).count(), placed.select("block").distinct().count())) or real(placed, sets))
+    ngram_join.near_duplicates(docs).count()
+    n, copies, blocks = sent[0]
+    assert n >= 600 and blocks >= 15 and copies < 0.6 * n * blocks, sent
+
+
 def test_copies_and_common_hashes_are_dealt_evenly(spark, monkeypatch):
     """No group of a range holds the ids or sets of all copies, nor all postings of a very common hash."""
     monkeypatch.setattr(ngram_join, "HOT_SETS", 20)
