@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and the session is local, as
+    in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="sievemill-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -30,12 +35,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the tables are that materialise wrote.
+WRITTEN: dict[int, str] = {}
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, so a lost
     executor costs a re-read and rows made by non-deterministic task attempts stay fixed."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    WRITTEN[id(out)] = path
+    weakref.finalize(out, WRITTEN.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that materialise wrote and that no later step reads."""
+    for df in tables:
+        if df is not None and (path := WRITTEN.pop(id(df), None)):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(column: str | Column = "text") -> Column:

@@ -17,6 +17,7 @@ fewer than k rows give fewer results; repeated ids count once, with each distinc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -132,11 +133,17 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 PACKED = "part int, ids binary, codes binary"
 
 
+@lru_cache(maxsize=1)
+def index_of(codes: bytes, ids: bytes, k: int) -> Index:
+    """Kept by a worker for the next block of queries to the same shard."""
+    return Index(np.frombuffer(codes, dtype="<u8"), np.frombuffer(ids, dtype="<i8"), k)
+
+
 def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for ids, codes, qids, qcodes in zip(pdf["ids"], pdf["codes"], pdf["qids"], pdf["qcodes"]):
-                index = Index(np.frombuffer(codes, dtype="<u8"), np.frombuffer(ids, dtype="<i8"), k)
+                index = index_of(bytes(codes), bytes(ids), k)
                 out = []
                 for i, c in zip(np.frombuffer(qids, dtype="<i8").tolist(), np.frombuffer(qcodes, dtype="<u8").tolist()):
                     out += [(i, c - (1 << 64) if c >> 63 else c, n, d) for d, n in index.search(c, i)]

@@ -37,6 +37,8 @@ MAX_KICKS = 500
 M64 = (1 << 64) - 1
 #: Hot keys of a shard at most, when shards are chosen; stashed keys of a filter that is made anew.
 SHARD_KEYS, CROWDED = 2_000_000, 64
+#: Keys that a task remembers, so that it hashes them once.
+REMEMBERED = 100_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -280,7 +282,7 @@ def _let_through(n_shards: int, shared):
         filters, seen = ShardedFilter(n_shards, shared.value), set()
         for pdf in batches:
             new = list({k for t in pdf["text"] for k in _keys(t)} - seen)
-            if len(seen) > 300_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             seen.update(new)
             h1, h2 = _hash_columns(new)
@@ -299,7 +301,7 @@ def _drop(n_shards: int, shared, exceptions):
         for column, before in batches:
             texts = [x.encode("utf-8", "surrogatepass").split(b"\n") for x in column]
             keys = [[line_key(x) for x in lines] for lines in texts]
-            if len(verdicts) > 300_000:
+            if len(verdicts) > REMEMBERED:
                 verdicts.clear()
             new = [k for k in {k for ks in keys for k in ks} if k not in verdicts]
             if new:

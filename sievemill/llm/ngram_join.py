@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_partitions, materialise, pandas_map, size_in_bytes
+from .common import discard, input_partitions, materialise, pandas_map, size_in_bytes
 from .components import connected
 
 N_WORDS = 5
@@ -439,7 +439,9 @@ def set_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     links = small.select("task", "root", "fp", "n", "h", "df").groupBy("task").applyInPandas(_links(percent), LINKS)
     if (about["blocks"] or 1) > 1:
         links = links.unionByName(large_links(placed.filter("blocks > 1"), sets, percent))
-    return materialise(links, "ngram-links")
+    links = materialise(links, "ngram-links")
+    discard(member, groups)
+    return links
 
 
 def block_count():
@@ -483,7 +485,11 @@ def large_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     documents, hot = survey(docs, n_words)
-    roots = connected(set_links(jaccard_sets(docs, percent, n_words, hot=hot), percent), "ngram-components")
+    sets = jaccard_sets(docs, percent, n_words, hot=hot)
+    links = set_links(sets, percent)
+    discard(sets)
+    roots = connected(links, "ngram-components")
+    discard(links)
     about = documents.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "fp", F.col("n").alias("n_shingles"))
     empty = about.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     named = about.filter("n_shingles > 0").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))

@@ -8,7 +8,7 @@ bytes, words and lines. The machine is fitted in one task on at most `sample_row
 memory of that task rests on), chosen by a hash of their ids, and scores every document.
 
 Defined cases: null and empty texts have no word features and get the score of their statistics; null labels are left
-out; documents with several labels use each; extra columns are ignored by `score` and kept by `keep_good`.
+out; documents with several labels use each; of several texts with one id the one with the smallest hash is learnt from; extra columns are ignored by `score` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -138,6 +138,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     chosen = labels.select("doc_id", "quality").filter((fold_of("doc_id") != 0) & F.col("quality").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text for an id, however often it stands in docs
     rows = rows.select(F.col("doc_id").cast("string"), "quality", "text")
     found = rows.repartition(1).transform(pandas_map, _fit, "model binary").collect()
     return Machine.unpack(bytes(found[0]["model"])) if found else None

@@ -28,7 +28,7 @@ def op4_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    found = warc.archive_pages(table(spark, sf_dir, "pages"), with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -6,7 +6,7 @@ Rows with equal text form a group, and a group is placed as one item in the shar
 The greedy step must not see the corpus. It gets items of three kinds, all bounded in number by parameters:
 groups of at least 1 / (n_shards * fine) of some total (at most 3 * n_shards * fine of them); all other groups,
 bundled by a hash of their text into `bundles` items; and the chunks of those groups that exceed a whole shard
-(at most 3 * n_shards such groups, cut by a hash of doc_id into `chunks` pieces), as no placement could balance
+(at most 3 * n_shards such groups, their rows dealt into `chunks` pieces), as no placement could balance
 them whole. So shard totals differ by about the size of the last item placed.
 
 Defined cases: null text counts as empty (size 1, crc 0); no rows give no rows; equal rows go to one shard unless
@@ -23,8 +23,8 @@ from .common import materialise, text_of
 
 
 def word_count(text: Column) -> Column:
-    """Space-separated words, the default token measure."""
-    return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Words between blanks of any kind, the default token measure."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def place(items: np.ndarray, n_shards: int) -> np.ndarray:
@@ -51,6 +51,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, fine: int = 1024, bundle
             F.crc32(t.cast("binary")).alias("text_crc32"),
             tokens(t).alias("tokens"),
             F.md5(t.cast("binary")).alias("g"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
@@ -64,7 +65,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, fine: int = 1024, bundle
     is_big = F.col("share") >= 1.0 / (n_shards * fine)
     big = groups.filter(is_big).orderBy("g").collect()  # at most 3 * n_shards * fine rows
     oversized = [x["g"] for x in big if x["share"] > 1.0 / n_shards]
-    chunk = F.when(F.col("g").isin(oversized), F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).otherwise(0).cast("int") if oversized else F.lit(0)
+    chunk = F.when(F.col("g").isin(oversized), F.pmod(F.xxhash64("row"), F.lit(chunks))).otherwise(0).cast("int") if oversized else F.lit(0)
     slim = slim.withColumn("chunk", chunk)
     cut = slim.filter(F.col("g").isin(oversized)).groupBy("g", "chunk").agg(*measures).orderBy("g", "chunk").collect() if oversized else []
     bundle = F.pmod(F.xxhash64("g"), F.lit(bundles)).cast("int")
@@ -80,13 +81,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, fine: int = 1024, bundle
         .join(F.broadcast(of_group), ["g", "chunk"], "left")
         .join(F.broadcast(of_bundle), "bundle", "left")
         .withColumn("shard", F.coalesce("of_group", "of_bundle"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, rows // (block_rows * n_shards)))))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "chunk"), F.lit(max(1, rows // (block_rows * n_shards)))))
     )
     # A slot is the number of rows in earlier blocks of the shard plus the place in the block.
     cells = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "row")
     return (
         placed.withColumn("place", F.row_number().over(inside) - 1)
         .join(cells, ["shard", "block"])

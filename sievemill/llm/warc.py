@@ -9,7 +9,7 @@ leaves at worst files that no manifest mentions.
 
 Payloads of at least `min_revisit_bytes` that are equal are stored once: the row with the largest page_id is the
 response and the others are revisit records that refer to it. Defined cases: null html is an empty payload; a null
-url leaves the target header out; rows equal in page_id and payload are written once each.
+url leaves the target header out; ids may be of any type that casts to text and back; rows equal in page_id and payload are written once each.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -39,7 +40,13 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def record_id(page_id) -> str:
-    return f"<urn:page:{page_id}>"
+    """Ids of any type; null has a name of its own."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def id_of(record: str | None) -> str | None:
+    found = re.fullmatch(r"<urn:page:(.*)>", record or "")
+    return unquote(found[1]) if found else None
 
 
 def build_record(page_id, url, payload: bytes, digest: str, owner) -> bytes:
@@ -113,7 +120,7 @@ def _write(folder: str, roll_bytes: int):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, z, size, n = store.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
-                raw = build_record(_int(page_id), url, bytes(payload), digest, _int(owner))
+                raw = build_record(page_id, url, bytes(payload), digest, owner)
                 out.write(z.compress(raw))
                 size, n = size + len(raw), n + 1
                 if size >= roll_bytes:
@@ -127,10 +134,6 @@ def _write(folder: str, roll_bytes: int):
     return run
 
 
-def _int(x):
-    return None if x is None or x != x else int(x)
-
-
 def write_archives(labelled: DataFrame, folder: str, roll_bytes: int = 64 << 20) -> DataFrame:
     """Monolithic archives of about roll_bytes; returns the manifest (name, records)."""
     store, base = open_fs(folder)
@@ -168,12 +171,12 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     return materialise(manifest.repartition(min(tasks, 4000)).transform(pandas_map, _normalise(folder), "name string, records long"), "warc-normalised")
 
 
-def _read(folder: str):
+def _read(folder: str, with_payload: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = open_fs(folder)
         for pdf in batches:
             for name in pdf["name"]:
-                rows = []
+                rows, held = [], 0
                 with store.open_input_stream(f"{base}/{name}.idx") as f:
                     index = [json.loads(x) for x in f.read().splitlines()]
                 with store.open_input_file(f"{base}/{name}") as f:
@@ -190,34 +193,35 @@ def _read(folder: str):
                             size = len(payload)
                         else:
                             size = int(http["content-length"])
-                        ids = [head.get(k, "")[10:-1] for k in ("warc-record-id", "warc-refers-to")]
-                        rows.append((*(int(i) if i.lstrip("-").isdigit() else None for i in ids), size, named, head["warc-type"], head.get("warc-target-uri"), payload))
-                        if len(rows) >= 500:
-                            yield _frame(rows)
-                            rows = []
-                yield _frame(rows)
+                        ids = [id_of(head.get(k)) for k in ("warc-record-id", "warc-refers-to")]
+                        rows.append((*ids, size, named, head["warc-type"], head.get("warc-target-uri"), *[payload][:with_payload]))
+                        held += len(payload) * with_payload + 200
+                        if held >= READ_BYTES:
+                            yield pd.DataFrame(rows, columns=COLUMNS[: len(rows[0])])
+                            rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=COLUMNS[: len(rows[0])])
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "refers_to", "payload_bytes", "payload_digest", "record_type", "target_uri", "payload"])
-    for c, x in (("page_id", 0), ("refers_to", 1)):  # integers and nulls must not pass through floats
-        out[c] = pd.array([r[x] for r in rows], dtype="Int64")
-    return out.astype({"payload_bytes": "int64"})
-
-
-READ_SCHEMA = "page_id long, refers_to long, payload_bytes long, payload_digest string, record_type string, target_uri string, payload binary"
+COLUMNS = ["page_id", "refers_to", "payload_bytes", "payload_digest", "record_type", "target_uri", "payload"]
+KINDS = ["string", "string", "long", "string", "string", "string", "binary"]
+#: Bytes of records that a reader gathers before it hands them on.
+READ_BYTES = 4 << 20
 
 
-def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """Records by offset; the payload of a revisit is empty, its size and digest are those of the full payload."""
+def read_records(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+    """Records by offset, ids as text; the payload of a revisit is empty, its size and digest are those of the full
+    payload. Payloads are checked against their digests whether they are handed on or not."""
     tasks = max(1, manifest.count())
-    return manifest.repartition(min(tasks, 4000)).transform(pandas_map, _read(folder), READ_SCHEMA)
+    schema = ", ".join(f"{c} {k}" for c, k in list(zip(COLUMNS, KINDS))[: 6 + with_payload])
+    return manifest.repartition(min(tasks, 4000)).transform(pandas_map, _read(folder, with_payload), schema)
 
 
-def archive_pages(pages: DataFrame, min_revisit_bytes: int = 1000, roll_bytes: int = 64 << 20) -> DataFrame:
+def archive_pages(pages: DataFrame, min_revisit_bytes: int = 1000, roll_bytes: int = 64 << 20, with_payload: bool = True) -> DataFrame:
     """Write, normalise and read back."""
     folder = new_path(pages.sparkSession, "warc")
     raw = write_archives(label_records(pages, min_revisit_bytes), folder, roll_bytes)
-    return read_records(normalise(raw, folder), folder)
+    found, kind = read_records(normalise(raw, folder), folder, with_payload), pages.schema["page_id"].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in COLUMNS[:2]})

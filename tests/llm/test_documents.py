@@ -48,6 +48,27 @@ def test_sharding_cuts_a_group_larger_than_a_shard(spark):
     check_shards(df.collect(), sharding.shard_documents(df).collect(), slack=6000)
 
 
+def test_sharding_balances_tokens_and_rows(spark):
+    """Few long words in one half, many short ones in the other: bytes, tokens and rows are near equal in each shard."""
+    rng = random.Random(2)
+    texts = [" ".join("x" * 40 + str(rng.random()) for _ in range(20)) if i % 2 else "\n".join(f"{rng.randrange(99)}" for _ in range(rng.randrange(300))) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shard = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df).collect()}
+    sums = np.zeros((8, 3))
+    for i, t in enumerate(texts):
+        sums[shard[i]] += [len(t) + 1, len(t.split()), 1]
+    assert ((sums.max(axis=0) - sums.min(axis=0)) / sums.mean(axis=0) < 0.05).all(), sums
+    words = spark.createDataFrame([(t,) for t in ("", " \t\n", "a  b\x0bc\td", "é\u2003f")], "t string").select(sharding.word_count(sharding.F.col("t"))).collect()
+    assert [r[0] for r in words] == [0, 0, 4, 1]
+
+
+def test_sharding_cuts_rows_of_one_id(spark):
+    """A group larger than a shard is cut even where all its rows are equal."""
+    rows = [(1, "one and the same")] * 4000 + [(i, f"own {i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_shards(df.collect(), sharding.shard_documents(df).collect(), slack=6000)
+
+
 def test_sharding_odd(odd_docs, no_docs):
     check_shards(odd_docs.collect(), sharding.shard_documents(odd_docs).collect())
     assert sharding.shard_documents(no_docs).collect() == []
@@ -391,6 +412,19 @@ def test_machine_sums_pairs_in_linear_time():
     assert abs(m.margin(rows)[0] - (0.3 + m.w[at] @ x + pairs)) < 1e-3
 
 
+def test_repeated_ids_are_learnt_once(spark):
+    docs = spark.createDataFrame([(1, f"good text {i}") for i in range(500)] + [(i, f"bad text {i}") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 30)], "doc_id long, quality int")
+    seen = []
+    real, quality_fm._fit = quality_fm._fit, lambda batches: iter([pd.DataFrame({"model": [str(sum(map(len, batches))).encode()]})])
+    try:
+        quality_fm.Machine.unpack, kept = staticmethod(seen.append), quality_fm.Machine.unpack
+        quality_fm.fit_quality(docs, labels)
+    finally:
+        quality_fm._fit, quality_fm.Machine.unpack = real, kept
+    assert int(seen[0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 30))
+
+
 def test_quality_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (6, 0), (7, 1), (None, 0), (4, None)], "doc_id long, quality int")
     machine = quality_fm.fit_quality(odd_docs, labels)

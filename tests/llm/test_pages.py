@@ -49,6 +49,14 @@ def test_archives(spark, odd_pages):
     assert warc.archive_pages(odd_pages.limit(0)).collect() == []
 
 
+def test_archives_of_named_pages_and_long_payloads(spark):
+    long = "<p>" + "y" * 9_000_000 + "</p>"
+    made = [("a b/%", "http://h/", BIG), ("é", None, BIG), (None, None, "s"), ("long", "http://h/", long), ("None", "http://h/", "t")]
+    got = warc.archive_pages(spark.createDataFrame(made, "page_id string, url string, html string")).collect()
+    assert {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got} == {("a b/%", "revisit", "é", 1507), ("é", "response", None, 1507), (None, "response", None, 1), ("long", "response", None, len(long)), ("None", "response", None, 1)}
+    assert {bytes(r["payload"]).decode() for r in got if r["page_id"] == "long"} == {long}
+
+
 def test_normalised_members_and_index(spark, odd_pages):
     folder = new_path(spark, "warc-test")
     raw = warc.write_archives(warc.label_records(odd_pages).coalesce(1), folder)
