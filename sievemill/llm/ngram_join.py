@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, input_partitions, materialise, pandas_map, size_in_bytes
+from .common import discard, materialise, pandas_map
 from .components import connected
 
 N_WORDS = 5
@@ -53,6 +53,8 @@ BROADCAST_ROWS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Hash ranges at least.
 LEAST_RANGES = 12
+#: Hashes of a range: 24 MB and about as much again of fingerprints.
+RANGE_HASHES = 3_000_000
 
 
 def shingles(text: str | None, n_words: int = N_WORDS) -> np.ndarray:
@@ -280,14 +282,17 @@ def _assemble(percent: int):
         fp, n, h, df = _postings(pdf)
         order = np.lexsort((h, df, fp[:, 1], fp[:, 0]))
         fp, n, h, df = fp[order], n[order], h[order], df[order]
-        start = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]).any(axis=1)][: len(fp)])
+        new = np.r_[True, (fp[1:] != fp[:-1]).any(axis=1)][: len(fp)]
+        start = np.flatnonzero(new)
+        second = new & np.r_[False, fp[1:, 0] == fp[:-1, 0]][: len(fp)]  # of two sets whose first halves agree; one range has both
+        name = np.where(second, fp[:, 0] ^ (fp[:, 1] * MIX), fp[:, 0])
         rows = []
         for a, b in zip(start.tolist(), [*start[1:].tolist(), len(fp)]):
             size, shared = int(n[a]), b - a
             prefix = size - -(-percent * size // 100) + 1 - (size - shared)
             if prefix > 0:
-                rows.append((fp[a].tobytes(), size, shared, h[a : a + prefix].view(np.int64), h[a:b].tobytes(), df[a:b].tobytes()))
-        return pd.DataFrame(rows, columns=["fp", "n", "size", "prefix", "h", "df"])
+                rows.append((int(name[a].view(np.int64)), fp[a].tobytes(), size, shared, h[a : a + prefix].view(np.int64), h[a:b].tobytes(), df[a:b].tobytes()))
+        return pd.DataFrame(rows, columns=["fp", "key", "n", "size", "prefix", "h", "df"])
 
     return run
 
@@ -346,7 +351,7 @@ def trie_links(sets: list[np.ndarray], n: np.ndarray, percent: int, stored: np.n
     return links
 
 
-def _group_links(own: pd.DataFrame, percent: int, stored: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+def _group_links(own: pd.DataFrame, percent: int, stored: np.ndarray | None = None) -> list[tuple[int, int]]:
     fp = own["fp"].tolist()
     h = [np.frombuffer(x, dtype=np.uint64) for x in own["h"]]
     df = [np.frombuffer(x, dtype=np.int32) for x in own["df"]]
@@ -380,31 +385,30 @@ def _block_links(percent: int):
     return run
 
 
-def ranges(docs: DataFrame, part_mb: int) -> int:
-    """Hash ranges, sized by the input, so that each fits a task."""
-    split = size_in_bytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(LEAST_RANGES, -(-input_partitions(docs) * split // (part_mb << 20)))
+def ranges(hashes: int) -> int:
+    """Hash ranges, so that each fits a task."""
+    return max(LEAST_RANGES, -(-hashes // RANGE_HASHES))
 
 
-def survey(docs: DataFrame, n_words: int = N_WORDS, part_mb: int = 8) -> tuple[DataFrame, Hot]:
-    """The written table (doc_id as a string, fp, n) of all documents, and the very common hashes with their counts: of
-    those at most four a range, as their postings would fill a quarter of it."""
+def survey(docs: DataFrame, n_words: int = N_WORDS) -> tuple[DataFrame, Hot, int]:
+    """The written table (doc_id as a string, fp, n) of all documents, the very common hashes with their counts, and the
+    number of all hashes. Of very common ones there are at most four a range, as their postings would fill a quarter."""
     rows = docs.select(F.col("doc_id").cast("string"), "text").transform(pandas_map, _survey(n_words), "doc_id string, fp binary, n long, h long, times long")
     found = materialise(rows, "ngram-documents")
     documents = found.filter(F.col("n").isNotNull()).select("doc_id", "fp", "n")
     total = documents.agg(F.sum("n")).first()[0] or 0
     often = found.filter(F.col("h").isNotNull()).groupBy("h").agg(F.sum("times").alias("times"))
-    often = sorted((r["h"] % (1 << 64), r["times"]) for r in often.filter(F.col("times") >= total // (4 * ranges(docs, part_mb))).collect())
-    return documents, (np.array([h for h, _ in often], dtype=np.uint64), np.array([t for _, t in often], dtype=np.int64))
+    often = sorted((r["h"] % (1 << 64), r["times"]) for r in often.filter(F.col("times") >= total // (4 * ranges(total))).collect())
+    return documents, (np.array([h for h, _ in often], dtype=np.uint64), np.array([t for _, t in often], dtype=np.int64)), total
 
 
-def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, part_mb: int = 8, fan_out: int = 1024, hot: Hot = NO_HOT) -> DataFrame:
-    """The written table of distinct sets that may have a link: fp, n, size, prefix, h, df. hot: the hashes that survey
-    found very common.
+def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, fan_out: int = 1024, hot: Hot = NO_HOT, hashes: int = 0) -> DataFrame:
+    """The written table of distinct sets that may have a link: fp, n, size, prefix, h, df. hot and hashes: what survey
+    found.
 
     With more hash ranges than fan_out, hashes are dealt to coarse ranges first and from there to the fine ones, so
     that packed rows stay large however large the corpus."""
-    parts = ranges(docs, part_mb)
+    parts = ranges(hashes)
     coarse = math.isqrt(parts) + 1 if parts > fan_out else None
     packed, posted = "part int, fp binary, n binary, cnt binary, h binary", "part int, fp binary, n binary, h binary, df binary"
     blobs = docs.select("text").transform(pandas_map, _blobs(part_of(parts, coarse, hot), n_words), packed)
@@ -413,11 +417,11 @@ def jaccard_sets(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS, par
     shared = blobs.repartitionById(parts, "part").transform(pandas_map, _whole(_shared(coarse or parts, hot)), posted)
     if coarse:
         shared = shared.repartitionById(coarse, "part").transform(pandas_map, _finer_sets(parts), posted)
-    sets = shared.repartitionById(parts, "part").transform(pandas_map, _whole(_assemble(percent)), "fp binary, n long, size long, prefix array<long>, h binary, df binary")
-    return materialise(sets, "ngram-sets")
+    sets = shared.repartitionById(parts, "part").transform(pandas_map, _whole(_assemble(percent)), "fp long, key binary, n long, size long, prefix array<long>, h binary, df binary")
+    return materialise(sets, "ngram-sets")  # fp: the first half of the fingerprint, a number as a name; key: all of it
 
 
-LINKS = "a binary, b binary"
+LINKS = "a long, b long"
 
 
 def set_links(sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -484,15 +488,15 @@ def large_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = N_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    documents, hot = survey(docs, n_words)
-    sets = jaccard_sets(docs, percent, n_words, hot=hot)
+    documents, hot, hashes = survey(docs, n_words)
+    sets = jaccard_sets(docs, percent, n_words, hot=hot, hashes=hashes)
     links = set_links(sets, percent)
-    discard(sets)
     roots = connected(links, "ngram-components")
-    discard(links)
-    about = documents.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "fp", F.col("n").alias("n_shingles"))
+    classes = materialise(roots.withColumnRenamed("v", "fp").join(sets.select("fp", "key"), "fp").select("key", "root"), "ngram-classes")
+    discard(sets, links, roots)
+    about = documents.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("fp").alias("key"), F.col("n").alias("n_shingles"))
     empty = about.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    named = about.filter("n_shingles > 0").join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
+    named = about.filter("n_shingles > 0").join(classes, "key", "left").withColumn("class", F.coalesce(F.col("root").cast("string"), F.hex("key")))
     lowest = named.groupBy("class").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     lowest = materialise(lowest, "ngram-lowest")  # a table of its own, so that Spark can split a class of very many documents in the join
     return named.join(lowest, "class", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id")).unionByName(empty)
