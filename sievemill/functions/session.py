@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set, as in local tests."""
+    """The session's checkpoint folder; a temporary one only where none is set and the session is local, as in tests."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievemill-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -22,3 +26,22 @@ def cut(df: DataFrame) -> DataFrame:
     """df from files that every executor can read again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df with its place, from 0, in the given order: sorted by ranges and counted range by range, so no task sees all
+    rows. The order should be total."""
+    place = F.monotonically_increasing_id()  # range number times 2^33 and the place in the range
+    done = cut(df.orderBy(*order).withColumn("_place", place))
+    rank = F.shiftright("_place", 33)
+    sizes = done.groupBy(rank.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_start"))
+    return done.withColumn("_range", rank).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
+
+
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be sent to all tasks; raises for more rows than that is meant for."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a dimension of at most {most} rows is needed here")
+    return F.broadcast(df)

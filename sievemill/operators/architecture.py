@@ -25,7 +25,7 @@ def losses(blocks: DataFrame, links: DataFrame, specs: DataFrame, expected: Data
     """The nine losses of each design, 0 at best: budgets used, frequencies missed, expected links and standards
     missing, risky frequency steps, digital links into analog blocks, repeated kinds, and blocks without supply."""
     s = specs.select("design", "power_budget", "area_budget", "target_frequency", "standards")
-    own = blocks.join(F.broadcast(s.select("design", "target_frequency")), "design")
+    own = blocks.join(s.select("design", "target_frequency"), "design")
     clocked = F.col("kind").isin("digital", "mixed")
     gap = F.least(F.greatest((F.col("target_frequency") - F.col("frequency")) / F.col("target_frequency"), F.lit(0.0)), F.lit(1.0))
     totals = own.groupBy("design").agg(
@@ -49,7 +49,7 @@ def losses(blocks: DataFrame, links: DataFrame, specs: DataFrame, expected: Data
     fed = links.filter((F.col("src") == supply) & (F.col("domain") == "power") & (F.col("dst") != supply)).select("design", F.col("dst").alias("node")).distinct()
     powered = blocks.join(fed, ["design", "node"], "left_semi").groupBy("design").agg(F.count(F.lit(1)).alias("_fed"))
 
-    pairs = F.broadcast(expected).join(a, "src").join(b.select("design", "dst"), ["design", "dst"]).select("design", "src", "dst")
+    pairs = expected.join(a, "src").join(b.select("design", "dst"), ["design", "dst"]).select("design", "src", "dst")
     there = pairs.join(links.select("design", "src", "dst", F.lit(1).alias("_l")).distinct(), ["design", "src", "dst"], "left")
     connected = there.groupBy("design").agg(share(F.count_if(F.col("_l").isNull()), F.count(F.lit(1))).alias("connectivity"))
 

@@ -67,7 +67,7 @@ def corner_worst(rows: DataFrame, spec: DataFrame) -> DataFrame:
     whether all pass, and the failing corners in order. A missing bound is never violated."""
     inf = F.lit(float("inf"))
     margin = F.least(F.coalesce(F.col("measured") - F.col("min"), inf), F.coalesce(F.col("max") - F.col("measured"), inf))
-    judged = rows.join(F.broadcast(spec), "param").withColumn("margin", margin)
+    judged = rows.join(spec, "param").withColumn("margin", margin)
     fails = F.sort_array(F.collect_list(F.when(F.col("margin") < 0, F.col("corner"))))  # one entry a corner
     return judged.groupBy("param").agg(F.min("margin").alias("worst_margin"), F.min_by("corner", F.struct("margin", "corner")).alias("worst_corner"), F.bool_and(F.col("margin") >= 0).alias("passed"), fails.alias("failing"))
 
@@ -76,7 +76,7 @@ def monte_carlo(rows: DataFrame, spec: DataFrame) -> DataFrame:
     """Per parameter: mean, population sigma, Cpk and normal yield. With one bound or no spread there is no Cpk, and
     without one the check does not pass."""
     agg = rows.groupBy("param").agg(F.avg("measured").alias("mean"), F.stddev_pop("measured").alias("sigma"), F.count("measured").alias("n"))
-    j = agg.join(F.broadcast(spec), "param")
+    j = agg.join(spec, "param")
     both = F.col("min").isNotNull() & F.col("max").isNotNull() & (F.col("sigma") > 0)
     up, down = (F.col("max") - F.col("mean")) / F.col("sigma"), (F.col("mean") - F.col("min")) / F.col("sigma")
     cpk = F.when(both, F.least(up, down) / 3)

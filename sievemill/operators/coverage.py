@@ -80,7 +80,7 @@ def missing(expected: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 def output_gaps(signatures: DataFrame, rules: DataFrame) -> DataFrame:
     """States whose mean output bit contradicts the value that their role asks for: signatures (state, role, output,
     mean), rules (role, output, expected 0 or 1)."""
-    j = signatures.join(F.broadcast(rules), ["role", "output"])
+    j = signatures.join(rules, ["role", "output"])
     return j.filter((F.col("mean") >= 0.5).cast("int") != F.col("expected"))
 
 
@@ -95,7 +95,7 @@ def gap_report(missing_states: DataFrame, missing_moves: DataFrame, short: DataF
 def ip_profiles(instances: DataFrame, built_in: DataFrame, overrides: DataFrame, generic: str = "generic") -> DataFrame:
     """states of each instance's type: an override beats the built-in profile; an unknown type gets two states and a notice."""
     o, b = overrides.select("ip_type", F.col("states").alias("_o")), built_in.select("ip_type", F.col("states").alias("_b"))
-    j = instances.join(F.broadcast(o), "ip_type", "left").join(F.broadcast(b), "ip_type", "left")
+    j = instances.join(o, "ip_type", "left").join(b, "ip_type", "left")
     unknown = F.col("_o").isNull() & F.col("_b").isNull()
     return j.select(*instances.columns, F.coalesce("_o", "_b", F.array(F.lit("OFF"), F.lit("ON"))).alias("states"), F.when(unknown, F.concat(F.lit(f"no profile, using {generic}: "), F.coalesce("ip_type", F.lit("?")))).alias("notice"))
 

@@ -139,13 +139,16 @@ def mixture_states(df: DataFrame, features: list[str], most: int = 8, seed: int
 
     from pyspark.ml.clustering import GaussianMixture
 
-    rows = _vector(df, features).cache()
-    n, d, best = rows.count(), len(features), None
-    for k in range(2, most + 1):
-        m = GaussianMixture(k=k, seed=seed, featuresCol="_x", predictionCol="component", probabilityCol="_p").fit(rows)
-        bic = -2 * m.summary.logLikelihood + log(n) * (k - 1 + k * d + k * d * (d + 1) / 2)
-        if best is None or bic < best[0]:
-            best = (bic, k, m)
+    rows = _vector(df, features).persist()
+    try:
+        n, d, best = rows.count(), len(features), None
+        for k in range(2, most + 1):
+            m = GaussianMixture(k=k, seed=seed, featuresCol="_x", predictionCol="component", probabilityCol="_p").fit(rows)
+            bic = -2 * m.summary.logLikelihood + log(n) * (k - 1 + k * d + k * d * (d + 1) / 2)
+            if best is None or bic < best[0]:
+                best = (bic, k, m)
+    finally:
+        rows.unpersist()
     return best[1], best[2].transform(rows).drop("_x", "_p")
 
 

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.functions.session import cut
+from sievemill.functions.session import cut, numbered
 
 
-def layers(edges: DataFrame, start, most: int = 1000) -> DataFrame:
-    """node and hops from the start, by breadth-first search: a round joins the newest layer only, so it costs the
-    edges it touches, and is checkpointed."""
-    edges = edges.select("src", "dst").distinct()
+def layers(edges: DataFrame, start, stride: int = 16) -> DataFrame:
+    """node and hops from the start, by breadth-first search until nothing new is reached. A round goes 1, 2, 4 and at
+    most `stride` hops on from the newest layer, keeps what was not seen before, and is checkpointed."""
+    edges = cut(edges.select("src", "dst").distinct())
     seen = front = edges.sparkSession.createDataFrame([(start, 0)], f"node {dict(edges.dtypes)['src']}, hops int")
-    for k in range(1, most + 1):
-        new = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = cut(new.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
+    k, step = 0, 1
+    while True:
+        at, found = front.select("node"), None
+        for hop in range(k + 1, k + step + 1):
+            at = edges.join(at.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
+            at = at.join(seen, "node", "left_anti")
+            new = at.withColumn("hops", F.lit(hop))
+            found = new if found is None else found.unionByName(new)
+        found = cut(found.groupBy("node").agg(F.min("hops").alias("hops")))
+        k, step = k + step, min(2 * step, stride)
+        front = found.filter(F.col("hops") == k)
+        seen = cut(seen.unionByName(found)) if found.limit(1).count() else seen
         if not front.limit(1).count():
-            break
-        seen = seen.union(front)
-    return seen
+            return seen
 
 
 def reachable(edges: DataFrame, start) -> DataFrame:
@@ -33,15 +40,17 @@ def longest_path(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     """Latency of each node after so many relaxations of all edges: the largest sum of node latencies on a path into it
     (edges `src, dst`, nodes `node, latency`); a cycle grows until the rounds end."""
     best = nodes.select("node", F.col("latency").alias("total"))
-    for _ in range(rounds):
+    for k in range(rounds):
         into = edges.join(best.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("total").alias("before"))
         best = nodes.join(into, "node", "left").select("node", (F.col("latency") + F.coalesce("before", F.lit(0.0))).alias("total"))
+        if k % 8 == 7:
+            best = cut(best)
     return best
 
 
 def net_edges(components: DataFrame) -> DataFrame:
     """Pairs of components on a common net, from (component, nets): one edge for each net they share."""
-    on = components.select("component", F.explode(F.array_distinct("nets")).alias("net"))
+    on = components.select("component", F.explode(F.array_distinct("nets")).alias("net")).distinct()
     a, b = on.select(F.col("component").alias("a"), "net"), on.select(F.col("component").alias("b"), "net")
     return a.join(b, "net").filter("a < b").select("net", "a", "b")
 
@@ -56,7 +65,7 @@ def cross_domain(edges: DataFrame, nodes: DataFrame, ratio: float = 4.0) -> Data
     """Edges between nodes of different domains whose frequencies differ by more than the ratio."""
     s = nodes.select(F.col("node").alias("src"), F.col("domain").alias("sd"), F.col("freq").alias("sf"))
     d = nodes.select(F.col("node").alias("dst"), F.col("domain").alias("dd"), F.col("freq").alias("df"))
-    j = edges.join(F.broadcast(s), "src").join(F.broadcast(d), "dst").withColumn("ratio", F.greatest("sf", "df") / F.least("sf", "df"))
+    j = edges.join(s, "src").join(d, "dst").withColumn("ratio", F.greatest("sf", "df") / F.least("sf", "df"))
     return j.filter((F.col("sd") != F.col("dd")) & (F.col("ratio") > ratio)).select("src", "dst", "ratio")
 
 
@@ -77,7 +86,40 @@ def mean_aggregate(edges: DataFrame, features: DataFrame) -> DataFrame:
 def cosine_top_k(items: DataFrame, query: list[float], k: int, eps: float = 1e-8) -> DataFrame:
     """The k items (i, iv) nearest to one vector by cosine (eps is added to each norm), ties by id: a scan and a top-k."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)) + eps
     iv = F.transform("iv", lambda x: x.cast("double"))
-    dot = F.aggregate(F.zip_with(q, iv, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return items.select("i", (dot / (norm(q) * norm(iv))).alias("sim")).orderBy(F.desc("sim"), "i").limit(k)
+    return items.select("i", _cosine(q, iv, eps).alias("sim")).orderBy(F.desc("sim"), "i").limit(k)
+
+
+def _cosine(a: Column, b: Column, eps: float) -> Column:
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)) + eps
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (norm(a) * norm(b))
+
+
+def cosine_neighbours(items: DataFrame, queries: DataFrame, k: int, eps: float = 1e-8, block: int = 2000) -> DataFrame:
+    """query, rank, i, sim: the k items (i, iv) nearest to each query (i, iv), ties by id. Queries come in blocks of a
+    bounded number, each held against all items by matrix products in a scan that keeps k rows a query and batch."""
+    import numpy as np
+    import pandas as pd
+
+    ids = numbered(queries.select("i", "iv"), "_k", "i")
+    out = None
+    for b in range(-(-ids.count() // block)):
+        own = ids.filter((F.col("_k") >= b * block) & (F.col("_k") < (b + 1) * block)).collect()  # one block of vectors
+        q, names = np.array([r["iv"] for r in own], dtype=float), np.array([r["i"] for r in own], dtype=np.int64)
+
+        def best(batches, q=q, names=names):
+            q_norm = np.sqrt((q * q).sum(axis=1)) + eps
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v, i = np.array(pdf["iv"].tolist(), dtype=float), pdf["i"].to_numpy()
+                sim = np.round((q @ v.T) / (q_norm[:, None] * (np.sqrt((v * v).sum(axis=1)) + eps)), 12)  # equal vectors tie
+                n = min(k, len(i))
+                least = np.partition(sim, len(i) - n, axis=1)[:, len(i) - n]
+                a, c = np.nonzero(sim >= least[:, None])
+                yield pd.DataFrame({"query": names[a], "i": i[c], "sim": sim[a, c]})
+
+        part = items.select("i", "iv").mapInPandas(best, "query long, i long, sim double")
+        out = part if out is None else out.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "i"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "i", "sim")

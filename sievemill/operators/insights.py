@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.functions.session import bounded
+
 from .sequence import by_run, edges
 
 
@@ -134,10 +136,10 @@ def reference_compare(left: DataFrame, right: DataFrame, by: list[str]) -> DataF
 def silicon_match(chips: DataFrame, sims: DataFrame) -> DataFrame:
     """Simulated value of each measured spec: by name, else the first simulated name that holds it or lies in it. The
     simulated names are a dimension."""
-    exact = chips.join(F.broadcast(sims.select("spec", F.col("sim").alias("_e"))), "spec", "left")
+    exact = chips.join(sims.select("spec", F.col("sim").alias("_e")), "spec", "left")
     s, o = F.lower("spec"), F.lower("other")
-    names = chips.select("spec").distinct().join(F.broadcast(sims.select(F.col("spec").alias("other"), "sim")), s.contains(o) | o.contains(s))
+    names = chips.select("spec").distinct().join(bounded(sims.select(F.col("spec").alias("other"), "sim")), s.contains(o) | o.contains(s))
     loose = names.groupBy("spec").agg(F.min_by("sim", "other").alias("_l"))
-    return exact.join(F.broadcast(loose), "spec", "left").withColumn("sim", F.coalesce("_e", "_l")).drop("_e", "_l")
+    return exact.join(loose, "spec", "left").withColumn("sim", F.coalesce("_e", "_l")).drop("_e", "_l")
 
 

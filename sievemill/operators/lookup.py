@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.functions.session import bounded
+
 
 def map_names(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """rows (run, name, kind) renamed by mapping (name, kind, run_scope, target, pos): an entry of the run beats one
@@ -12,7 +14,7 @@ def map_names(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     last = mapping.groupBy("name", "kind", "run_scope").agg(F.max_by("target", "pos").alias("target"))
     scoped = last.filter("run_scope IS NOT NULL").select("name", "kind", F.col("run_scope").alias("run"), F.col("target").alias("_s"))
     general = last.filter("run_scope IS NULL").select("name", "kind", F.col("target").alias("_g"))
-    out = rows.join(F.broadcast(scoped), ["run", "name", "kind"], "left").join(F.broadcast(general), ["name", "kind"], "left")
+    out = rows.join(scoped, ["run", "name", "kind"], "left").join(general, ["name", "kind"], "left")
     return out.withColumn("target", F.coalesce("_s", "_g", "name")).drop("_s", "_g")
 
 
@@ -25,30 +27,58 @@ def suggest(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each name the first candidate that contains it or ends with it, ignoring case; both sides are dimensions."""
     n, c = F.lower("name"), F.lower("candidate")
     rank = F.when(c == n, 0).when(c.endswith(n), 1).otherwise(2)
-    hit = names.join(F.broadcast(candidates), c.contains(n), "inner")
+    hit = names.join(bounded(candidates), c.contains(n), "inner")
     return hit.groupBy("name").agg(F.min_by("candidate", F.struct(rank, "candidate")).alias("suggested"))
 
 
 def nearest(rows: DataFrame, grid: DataFrame, v_scale: float, t_scale: float, penalty: float = 10.0) -> DataFrame:
     """For each row (id, v, t, process) the grid point (corner, gv, gt, gprocess) at the smallest scaled squared
-    distance, a different process costing `penalty`; the first corner of equals. The grid is a dimension."""
-    d = ((F.col("v") - F.col("gv")) / v_scale) ** 2 + ((F.col("t") - F.col("gt")) / t_scale) ** 2 + F.when(F.col("process") == F.col("gprocess"), 0.0).otherwise(penalty)
-    return rows.join(F.broadcast(grid)).groupBy("id").agg(F.min_by("corner", F.struct(d, "corner")).alias("corner"), F.min(d).alias("distance"))
+    distance, a different process costing `penalty`; the first corner of equals. The grid, a dimension, is one array,
+    and each row takes its minimum over it: no shuffle."""
 
+    def far(g: Column) -> Column:
+        d = ((F.col("v") - g["gv"]) / v_scale) ** 2 + ((F.col("t") - g["gt"]) / t_scale) ** 2 + F.when(F.col("process") == g["gprocess"], 0.0).otherwise(penalty)
+        return F.struct(d.alias("distance"), g["corner"].alias("corner"))
 
-def bilinear(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """Interpolates grid (gx, gy, gz) at rows (id, x, y) from the four neighbours; null outside the hull or where a
-    neighbour is missing (callers fall back to `nearest`)."""
-    xs, ys = grid.select("gx").distinct(), grid.select("gy").distinct()
-    bx = rows.join(F.broadcast(xs)).groupBy("id", "x", "y").agg(F.max(F.when(F.col("gx") <= F.col("x"), F.col("gx"))).alias("x0"), F.min(F.when(F.col("gx") >= F.col("x"), F.col("gx"))).alias("x1"))
-    by = bx.join(F.broadcast(ys)).groupBy("id", "x", "y", "x0", "x1").agg(F.max(F.when(F.col("gy") <= F.col("y"), F.col("gy"))).alias("y0"), F.min(F.when(F.col("gy") >= F.col("y"), F.col("gy"))).alias("y1"))
+    best = F.array_min(F.transform("_grid", far))
+    found = rows.join(in_one_row(grid, "_grid")).select("id", best.alias("_best"))
+    return found.select("id", "_best.corner", "_best.distance").filter("corner IS NOT NULL")
+
+
+def in_one_row(dimension: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """A dimension as one array in one row; raises for more rows than an array is meant for."""
+    if dimension.limit(most + 1).count() > most:
+        raise ValueError(f"a dimension of at most {most} rows is needed here")
+    return F.broadcast(dimension.agg(F.collect_list(F.struct(*dimension.columns)).alias(name)))
+
+
+def _interpolated(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """rows with z, by the four grid points around (x, y)."""
+    by = rows.join(in_one_row(grid.select("gx").distinct(), "_xs")).join(in_one_row(grid.select("gy").distinct(), "_ys"))
+    for c in "xy":
+        at, own = F.col(c), F.col(f"_{c}s.g{c}")
+        by = by.withColumn(f"{c}0", F.array_max(F.filter(own, lambda g: g <= at))).withColumn(f"{c}1", F.array_min(F.filter(own, lambda g: g >= at)))  # noqa: B023
+    by = by.drop("_xs", "_ys")
     for k in ("00", "01", "10", "11"):
         corner = grid.select(F.col("gx").alias(f"x{k[0]}"), F.col("gy").alias(f"y{k[1]}"), F.col("gz").alias(f"z{k}"))
-        by = by.join(F.broadcast(corner), [f"x{k[0]}", f"y{k[1]}"], "left")
+        by = by.join(corner, [f"x{k[0]}", f"y{k[1]}"], "left")
     fx = F.when(F.col("x1") > F.col("x0"), (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(0.0)
     fy = F.when(F.col("y1") > F.col("y0"), (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))).otherwise(0.0)
     z = (1 - fx) * ((1 - fy) * F.col("z00") + fy * F.col("z01")) + fx * ((1 - fy) * F.col("z10") + fy * F.col("z11"))
-    return by.select("id", z.alias("z"))
+    return by.select(*rows.columns, z.alias("z"))
+
+
+def bilinear(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Interpolates grid (gx, gy, gz) at rows (id, x, y) from the four neighbours; null outside the hull or where a
+    neighbour is missing. The grid is a dimension."""
+    return _interpolated(rows, grid).select("id", "z")
+
+
+def bilinear_or_nearest(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """bilinear, and the value of the nearest grid point, the smallest (gx, gy) of equals, where that gives null."""
+    far = lambda g: F.struct(((F.col("x") - g["gx"]) ** 2 + (F.col("y") - g["gy"]) ** 2).alias("d"), g["gx"].alias("gx"), g["gy"].alias("gy"), g["gz"].alias("gz"))
+    near = rows.join(in_one_row(grid.select("gx", "gy", "gz"), "_grid")).withColumn("_near", F.array_min(F.transform("_grid", far))["gz"]).drop("_grid")
+    return _interpolated(near, grid).select("id", F.coalesce("z", "_near").alias("z"), F.col("z").isNull().alias("fallback"))
 
 
 def same_family(detail: Column, reference: Column) -> Column:
@@ -60,7 +90,7 @@ def same_family(detail: Column, reference: Column) -> Column:
 def family_split(expected: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Expected names covered by a seen one of their family, and those missing; both are dimensions."""
     test = same_family(F.col("seen"), F.col("expected"))
-    return expected.join(F.broadcast(seen), test, "left_semi"), expected.join(F.broadcast(seen), test, "left_anti")
+    return expected.join(bounded(seen), test, "left_semi"), expected.join(bounded(seen), test, "left_anti")
 
 
 def dedupe_runs(runs: DataFrame) -> DataFrame:

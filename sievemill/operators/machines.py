@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.functions.session import bounded
+
 from .sequence import classify_digital
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -30,14 +32,14 @@ def active(state: Column, value: Column, peak: Column, off_names: list[str], sha
 
 def named_states(samples: DataFrame, defined: DataFrame) -> DataFrame:
     """Samples with the name of their state; an unknown id is called STATE_<id>."""
-    return samples.join(F.broadcast(defined.select("state_id", "name")), "state_id", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("STATE_"), F.col("state_id"))))
+    return samples.join(defined.select("state_id", "name"), "state_id", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("STATE_"), F.col("state_id"))))
 
 
 def with_fallback_key(runs: DataFrame, sequences: DataFrame) -> DataFrame:
     """The sequence of run@corner or, without one, of the run."""
     full = sequences.select(F.col("key").alias("_k1"), F.col("sequence").alias("_s1"))
     run = sequences.select(F.col("key").alias("_k2"), F.col("sequence").alias("_s2"))
-    j = runs.join(F.broadcast(full), F.concat_ws("@", "run", "corner") == F.col("_k1"), "left").join(F.broadcast(run), F.col("run") == F.col("_k2"), "left")
+    j = runs.join(full, F.concat_ws("@", "run", "corner") == F.col("_k1"), "left").join(run, F.col("run") == F.col("_k2"), "left")
     return j.withColumn("sequence", F.coalesce("_s1", "_s2")).drop("_k1", "_k2", "_s1", "_s2")
 
 
@@ -66,7 +68,7 @@ def state_space_size(bits: int, masked: int = 0) -> int:
 def unmet_interfaces(required: DataFrame, offered: DataFrame) -> DataFrame:
     """Required standards that no offered name holds or lies in, whatever the case; both are dimensions."""
     r, o = F.lower("standard"), F.lower("interface")
-    return required.join(F.broadcast(offered), r.contains(o) | o.contains(r), "left_anti")
+    return required.join(bounded(offered), r.contains(o) | o.contains(r), "left_anti")
 
 
 def graph_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:

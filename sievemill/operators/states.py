@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.functions.session import numbered
+
 from .sequence import by_run
 
 
 def pattern_states(samples: DataFrame, pattern: str, order: list[str]) -> DataFrame:
     """state_id by first appearance of each pattern, and how many samples show it."""
     firsts = samples.groupBy(pattern).agg(F.min(F.struct(*order)).alias("_f"), F.count(F.lit(1)).alias("n"))
-    return firsts.withColumn("state_id", (F.row_number().over(Window.orderBy("_f")) - 1).cast("int")).select("state_id", pattern, "n")
+    return numbered(firsts, "state_id", "_f").select(F.col("state_id").cast("int").alias("state_id"), pattern, "n")
 
 
 def merge_rare(states: DataFrame, bits: str, share: float = 0.002, least: int = 3) -> DataFrame:
     """Each rare pattern (fewer than max(least, bround(share * total)) samples) goes to the frequent one at the
-    smallest Hamming distance, the first seen of equals. `states` has one row a pattern, a dimension-sized table."""
-    total = F.sum("n").over(Window.partitionBy())
-    marked = states.withColumn("rare", F.col("n") < F.greatest(F.lit(least), F.bround(total * share)))
-    kept = marked.filter("not rare").select(F.col("state_id").alias("to_id"), F.col(bits).alias("_b"))
-    far = F.bit_count(F.col(bits).bitwiseXOR(F.col("_b")))
-    near = marked.filter("rare").join(F.broadcast(kept)).groupBy("state_id").agg(F.min(F.struct(far.alias("far"), "to_id")).alias("m"))
-    return marked.join(near, "state_id", "left").select("state_id", bits, "n", F.coalesce("m.to_id", "state_id").alias("merged_id"))
+    smallest Hamming distance, the first seen of equals. The frequent ones, at most 1 / share or 1.5 / share for few
+    samples, are one array, of which each rare pattern takes the minimum."""
+    total = F.broadcast(states.agg(F.sum("n").alias("_total")))  # one row
+    marked = states.join(total).withColumn("rare", F.col("n") < F.greatest(F.lit(least), F.bround(F.col("_total") * share))).drop("_total")
+    kept = F.broadcast(marked.filter("not rare").agg(F.collect_list(F.struct("state_id", bits)).alias("_kept")))  # one row
+    far = lambda k: F.struct(F.bit_count(F.col(bits).bitwiseXOR(k[bits])).alias("far"), k["state_id"].alias("to_id"))
+    best = F.when(F.col("rare"), F.array_min(F.transform("_kept", far))["to_id"])
+    return marked.join(kept).select("state_id", bits, "n", F.coalesce(best, "state_id").alias("merged_id"))
 
 
 def transitions(samples: DataFrame, state: str = "state") -> DataFrame:
@@ -58,6 +61,21 @@ def validate(defined: DataFrame, moves: DataFrame, start: str, exempt: list[str]
     )
 
 
+def ambiguous_guards(moves: DataFrame) -> DataFrame:
+    """Guards (src, guard, dst) that stand at more than one way out of a state: there the machine is not deterministic."""
+    return moves.groupBy("src", "guard").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1")
+
+
+def machine_report(defined: DataFrame, moves: DataFrame, start: str, exempt: list[str], seen: DataFrame) -> DataFrame:
+    """One row: states, how many are reachable and complete, ambiguous guards, and the share of states seen in samples."""
+    v = validate(defined, moves, start, exempt)
+    hit = defined.select("state").join(seen.select("state").distinct(), "state", "left_semi").agg(F.count(F.lit(1)).alias("_h"))
+    ways = ambiguous_guards(moves).agg(F.count(F.lit(1)).alias("ambiguous"))
+    totals = v.agg(F.count(F.lit(1)).alias("states"), F.count_if("reachable").alias("reachable"), F.count_if("complete").alias("complete"))
+    one = totals.join(F.broadcast(ways)).join(F.broadcast(hit))  # one row each
+    return one.withColumn("deterministic", F.col("ambiguous") == 0).withColumn("seen_pct", 100.0 * F.col("_h") / F.greatest("states", F.lit(1))).drop("_h")
+
+
 def changed_bits_guard(before: str = "before", after: str = "after"):
     """Guard text of a transition between two maps of bits: `k == v` for the keys that changed, in key order."""
     changed = F.map_filter(F.col(after), lambda k, v: ~v.eqNullSafe(F.try_element_at(F.col(before), k)))

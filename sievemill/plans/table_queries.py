@@ -47,14 +47,16 @@ def name_suggestions(spark, sf):
 
 
 @C.add(
-    """WITH g AS (SELECT s_suppkey AS corner, s_acctbal AS gv, CAST(s_nationkey AS DOUBLE) AS gt, CAST(s_suppkey % 3 AS INTEGER) AS gp FROM supplier WHERE s_suppkey < 40),
+    """WITH g AS (SELECT s_nationkey * 3 + s_suppkey % 3 AS corner, max(s_acctbal) AS gv, CAST(s_nationkey AS DOUBLE) AS gt, CAST(s_suppkey % 3 AS INTEGER) AS gp FROM supplier GROUP BY s_nationkey, s_suppkey % 3),
  r AS (SELECT c_custkey AS id, c_acctbal AS v, CAST(c_nationkey AS DOUBLE) AS t, CAST(c_custkey % 3 AS INTEGER) AS p FROM customer),
  d AS (SELECT id, corner, ((v - gv) / 1000) * ((v - gv) / 1000) + ((t - gt) / 5) * ((t - gt) / 5) + CASE WHEN p = gp THEN 0 ELSE 10 END AS d FROM r, g)
  SELECT id, arg_min(corner, (d, corner)) AS corner, round(min(d), 6) AS distance FROM d GROUP BY id"""
 )
 def nearest_corner(spark, sf):
-    """A fixed set of 40 grid corners at every scale: the grid is a dimension."""
-    grid = table(spark, sf, "supplier").filter("s_suppkey < 40").select(F.col("s_suppkey").alias("corner"), F.col("s_acctbal").alias("gv"), F.col("s_nationkey").cast("double").alias("gt"), (F.col("s_suppkey") % 3).cast("int").alias("gprocess"))
+    """A grid corner for each nation and process of all suppliers."""
+    process = (F.col("s_suppkey") % 3).cast("int")
+    grid = table(spark, sf, "supplier").groupBy("s_nationkey", process.alias("gprocess")).agg(F.max("s_acctbal").alias("gv"))
+    grid = grid.select((F.col("s_nationkey") * 3 + F.col("gprocess")).cast("long").alias("corner"), "gv", F.col("s_nationkey").cast("double").alias("gt"), "gprocess")
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.col("c_nationkey").cast("double").alias("t"), (F.col("c_custkey") % 3).cast("int").alias("process"))
     return rounded(lk.nearest(rows, grid, 1000.0, 5.0))
 
@@ -90,13 +92,13 @@ def last_run_wins(spark, sf):
     return lk.dedupe_runs(table(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("corner_id"), F.col("o_orderkey").alias("run_number")))
 
 
-@C.add(S + ", p AS (SELECT CAST(unnest([0, 1]) AS INTEGER) AS part, idx, t, state, value FROM s WHERE run_key = 1) SELECT idx, CASE WHEN idx % 2 = 0 THEN 'shared' ELSE 'own_1' END AS signal, round(t, 6) AS t, value + 1 AS value FROM p WHERE part = 1 UNION SELECT idx, 'own_0', round(t, 6), value FROM p WHERE part = 0 AND idx % 2 = 1")
+@C.add(S + ", p AS (SELECT CAST(unnest([0, 1]) AS INTEGER) AS part, run_key, idx, t, state, value FROM s) SELECT run_key, idx, CASE WHEN idx % 2 = 0 THEN 'shared' ELSE 'own_1' END AS signal, round(t, 6) AS t, value + 1 AS value FROM p WHERE part = 1 UNION ALL SELECT run_key, idx, 'own_0', round(t, 6), value FROM p WHERE part = 0 AND idx % 2 = 1")
 def merge_on_one_grid(spark, sf):
     """Two parts of a run share the grid; of the signal that both have, the last part's values count."""
-    one = samples(spark, sf).filter("run_key = 1").select("idx", "t", "value")
+    one = samples(spark, sf).select("run_key", "idx", "t", "value")
     name = lambda k: F.when(F.col("idx") % 2 == 0, "shared").otherwise(f"own_{k}")
-    parts = one.select(F.lit(0).alias("part"), "idx", "t", name(0).alias("signal"), "value").union(one.select(F.lit(1), "idx", "t", name(1), F.col("value") + 1))
-    return rounded(lk.merge_on_grid(parts).select("idx", "signal", "t", "value"))
+    parts = one.select(F.lit(0).alias("part"), "run_key", "idx", "t", name(0).alias("signal"), "value").union(one.select(F.lit(1), "run_key", "idx", "t", name(1), F.col("value") + 1))
+    return rounded(lk.merge_on_grid(parts).select("run_key", "idx", "signal", "t", "value"))
 
 
 EDGES = "WITH e AS (SELECT n_nationkey AS src, CAST((n_nationkey * 2 + 1) % 25 AS INTEGER) AS dst FROM nation UNION SELECT n_nationkey, CAST((n_nationkey + 5) % 25 AS INTEGER) FROM nation WHERE n_nationkey < 10)"
@@ -129,9 +131,9 @@ def longest_path(spark, sf):
     return g.longest_path(n.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("src"), (F.col("n_nationkey") + 5).alias("dst")), nodes, 5)
 
 
-@C.add("WITH t AS (SELECT DISTINCT l_partkey AS net, l_suppkey AS c FROM lineitem WHERE l_quantity >= 49) SELECT x.net, x.c AS a, y.c AS b FROM t x JOIN t y ON x.net = y.net AND x.c < y.c")
+@C.add("WITH t AS (SELECT DISTINCT l_orderkey AS net, l_suppkey AS c FROM lineitem) SELECT x.net, x.c AS a, y.c AS b FROM t x JOIN t y ON x.net = y.net AND x.c < y.c")
 def shared_net_edges(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity >= 49").groupBy(F.col("l_suppkey").alias("component")).agg(F.collect_set("l_partkey").alias("nets"))
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("component"), F.array("l_orderkey").alias("nets"))
     return g.net_edges(li)
 
 
@@ -169,14 +171,14 @@ def machine_validation(spark, sf):
 
 
 @C.add(
-    """WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
- SELECT vec_id AS i, round(list_dot_product(q, CAST(embedding AS DOUBLE[])) / ((sqrt(list_dot_product(q, q)) + 1e-8) * (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8)), 6) AS sim
- FROM embeddings, v ORDER BY list_dot_product(q, CAST(embedding AS DOUBLE[])) / ((sqrt(list_dot_product(q, q)) + 1e-8) * (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8)) DESC, i LIMIT 10"""
+    """WITH e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8 AS n FROM embeddings),
+ d AS (SELECT q.i AS query, e.i AS i, round(list_dot_product(q.v, e.v) / (q.n * e.n), 12) AS sim FROM e q JOIN e ON q.i % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, i) AS INTEGER) AS rank FROM d)
+ SELECT query, rank, i, round(sim, 6) AS sim FROM r WHERE rank <= 10"""
 )
 def similar_designs(spark, sf):
-    e = table(spark, sf, "embeddings")
-    query = e.filter("vec_id = 0").select("embedding").first()[0]
-    return rounded(g.cosine_top_k(e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("iv")), query, 10))
+    """Every vector whose id is divisible by 20 against all vectors."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("iv"))
+    return rounded(g.cosine_neighbours(e, e.filter("i % 20 = 0"), 10))
 
 
 @C.add("SELECT arg_min(p_partkey, (d, p_partkey)) AS best, round(min(d), 6) AS distance FROM (SELECT p_partkey, (p_size - 25.5) * (p_size - 25.5) + (p_retailprice / 100 - 9) * (p_retailprice / 100 - 9) AS d FROM part)")

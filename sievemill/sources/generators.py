@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+import random
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PI2 = 6.283185307179586
@@ -27,10 +30,14 @@ def excitation(spark: SparkSession, kind: str, n: int, dt: float, f0: float = 1.
 
 
 def latin_hypercube(spark: SparkSession, bounds: dict[str, tuple[float, float]], n: int, seed: int = 0) -> DataFrame:
-    """n rows in which every dimension has one value in each of n equal strata."""
+    """n rows (up to 3e9) in which every dimension has one value in each of n equal strata. A dimension's strata are
+    dealt by a permutation of its own, a multiplication modulo n by a number without a common factor, so that each row
+    works out its strata alone and no rows are sorted."""
     out = spark.range(n).select(F.col("id").alias("sample"))
+    rng = random.Random(seed)
     for k, (name, (lo, hi)) in enumerate(bounds.items()):
-        stratum = F.row_number().over(Window.orderBy(F.xxhash64("sample", F.lit(seed), F.lit(k)), "sample")) - 1
+        factor = next(f for f in iter(lambda: rng.randrange(1, max(2, n)), None) if math.gcd(f, n) == 1)
+        stratum = (F.col("sample") * F.lit(factor) + F.lit(rng.randrange(max(1, n)))) % F.lit(n)
         jitter = F.pmod(F.xxhash64(F.lit(k), "sample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
         out = out.withColumn(name, lo + (hi - lo) * (stratum + jitter) / n)
     return out

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievemill.functions.scalar import signal_kind, strip_kind
+from sievemill.functions.session import numbered
 
 LONG = "run_id string, signal string, idx int, t double, value double"
 
@@ -44,10 +45,8 @@ def read_wave_csv(spark: SparkSession, *patterns: str) -> DataFrame:
 
 def number_runs(samples: DataFrame, corner: str = "") -> DataFrame:
     """run_number by run_id order, corner_id as given: the runs dimension."""
-    from pyspark.sql import Window
-
     runs = samples.groupBy("run_id").agg(F.countDistinct("signal").alias("n_signals"), F.countDistinct("idx").alias("ntime"))
-    return runs.withColumn("run_number", F.row_number().over(Window.orderBy("run_id"))).withColumn("corner_id", F.lit(corner))  # one row a run
+    return numbered(runs, "run_number", "run_id").withColumn("run_number", (F.col("run_number") + 1).cast("int")).withColumn("corner_id", F.lit(corner))
 
 
 def write_runs(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
