@@ -35,6 +35,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of intermediate tables: what a task's writer holds.
+ROW_GROUP = 32 << 20
 #: Where the tables are that materialise wrote.
 WRITTEN: dict[int, str] = {}
 
@@ -43,7 +45,7 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, so a lost
     executor costs a re-read and rows made by non-deterministic task attempts stay fixed."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     WRITTEN[id(out)] = path
     weakref.finalize(out, WRITTEN.pop, id(out), None)

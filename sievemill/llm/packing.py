@@ -36,7 +36,7 @@ from .token_counts import pieces
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Characters that every Unicode library lower-cases alike, one by one: below U+0250 without the dotted capital I.
 LATIN = re.compile("[\\x00-\\u012f\\u0131-\\u024f]*").fullmatch
 #: Marks that end a run of letters (an apostrophe may not).
