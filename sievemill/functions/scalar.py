@@ -178,3 +178,37 @@ def chunk_text(text: Column, size: int = 8000, overlap: int = 500) -> Column:
 
     most = F.greatest(F.lit(1), F.ceil(n / max(1, size // 2 - overlap)) + 1).cast("int")
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), most), state, step)["out"]).otherwise(F.array().cast("array<string>"))
+
+
+# Gate length, supply, oxide thickness and thresholds of technologies, from large to small.
+TECHNOLOGIES = {
+    "180nm": (180e-9, 1.8, 4e-9, 0.50, -0.50),
+    "90nm": (90e-9, 1.2, 2e-9, 0.35, -0.35),
+    "65nm": (65e-9, 1.0, 1.5e-9, 0.30, -0.30),
+    "45nm": (45e-9, 1.0, 1.2e-9, 0.28, -0.28),
+    "28nm": (28e-9, 0.9, 1.0e-9, 0.25, -0.25),
+    "14nm": (14e-9, 0.8, 0.9e-9, 0.22, -0.22),
+}
+
+
+def log_size(value: Column, reference: Column) -> Column:
+    """Decades over the reference, divided by three; 0 for sizes that are not positive."""
+    return F.when((value > 0) & (reference > 0), F.log10(value / reference) / 3).otherwise(0.0)
+
+
+def technology_code(name: Column) -> Column:
+    """Seven numbers of a technology: place in the order, gate length, supply, oxide, both thresholds and whether it has
+    fins; an unknown one has the numbers of the largest."""
+    first = next(iter(TECHNOLOGIES.values()))
+    last = max(len(TECHNOLOGIES) - 1, 1)
+
+    def code(k: int, values: tuple) -> Column:
+        length, supply, oxide, vn, vp = (F.lit(x) for x in values)
+        length0, supply0, oxide0 = first[:3]
+        fins = F.coalesce(F.regexp_extract(name, r"^([0-9]+)nm$", 1).try_cast("int") <= 14, F.lit(False))
+        return F.array(F.lit(k / last), F.log10(length / length0), supply / supply0, F.log10(oxide / oxide0), vn, F.abs(vp), fins.cast("double"))
+
+    out = code(0, first)
+    for k, (known, values) in enumerate(TECHNOLOGIES.items()):
+        out = F.when(name == known, code(k, values)).otherwise(out)
+    return out

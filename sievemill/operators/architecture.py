@@ -84,3 +84,39 @@ def graded(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
     for least, name in reversed(GRADES):
         grade = F.when(F.col("score") >= least, name).otherwise(grade)
     return scored.withColumn("loss", loss).withColumn("score", score).withColumn("grade", grade)
+
+
+def briefs(blocks: DataFrame, links: DataFrame, specs: DataFrame, ratio: float = 2.0) -> DataFrame:
+    """What each block of a design may use: power with 15 and area with 10 per cent to spare, frequency up to the target;
+    the blocks it drives and is driven by (power links apart), its supplies, and the digital neighbours whose frequency
+    is more than `ratio` times apart."""
+    key = ["design", "node"]
+    ends = blocks.select("design", "node", "frequency")
+    inside = links.join(ends.select("design", F.col("node").alias("src"), F.col("frequency").alias("_fs")), ["design", "src"]).join(ends.select("design", F.col("node").alias("dst"), F.col("frequency").alias("_fd")), ["design", "dst"])
+    names = lambda c: F.array_sort(F.collect_set(c))
+    data = inside.filter("domain <> 'power'")
+    out = data.groupBy("design", F.col("src").alias("node")).agg(names("dst").alias("drives"))
+    into = data.groupBy("design", F.col("dst").alias("node")).agg(names("src").alias("driven_by"))
+    fed = inside.filter("domain = 'power'").groupBy("design", F.col("dst").alias("node")).agg(names("src").alias("powered_by"))
+    far = F.greatest("_fs", "_fd") / F.greatest(F.least("_fs", "_fd"), F.lit(0.01)) > ratio
+    apart = inside.filter((F.col("domain") == "digital") & far)
+    note = lambda c, f: F.concat(F.col(c), F.lit(" ("), F.format_string("%.0f", F.col(f)), F.lit("MHz)"))
+    both = apart.select("design", F.col("src").alias("node"), note("dst", "_fd").alias("note")).union(apart.select("design", F.col("dst").alias("node"), note("src", "_fs").alias("note")))
+    crossings = both.groupBy(key).agg(names("note").alias("crossings"))
+    base = blocks.join(specs.select("design", "target_frequency"), "design")
+    made = base.select(*key, (F.col("power") * 1.15).alias("max_power"), (F.col("area") * 1.10).alias("max_area"), F.least("frequency", "target_frequency").alias("frequency"))
+    for part in (out, into, fed, crossings):
+        made = made.join(part, key, "left")
+    empty = F.array().cast("array<string>")
+    return made.withColumns({c: F.coalesce(c, empty) for c in ("drives", "driven_by", "powered_by", "crossings")})
+
+
+def design_numbers(blocks: DataFrame, links: DataFrame, specs: DataFrame, latency: DataFrame) -> DataFrame:
+    """Five numbers of each design: power and area against their budgets, critical latency (latency: design, total) in
+    periods of the target, blocks / 20 and links / 50."""
+    b = blocks.groupBy("design").agg(F.sum("power").alias("_p"), F.sum("area").alias("_a"), F.count(F.lit(1)).alias("_n"))
+    e = links.groupBy("design").agg(F.count(F.lit(1)).alias("_e"))
+    j = specs.join(b, "design").join(e, "design", "left").join(latency, "design", "left")
+    over = lambda x, y: F.col(x) / F.greatest(y, F.lit(1.0))
+    numbers = F.array(over("_p", F.col("power_budget")), over("_a", F.col("area_budget")), F.coalesce("total", F.lit(0.0)) / F.greatest(1000.0 / F.col("target_frequency"), F.lit(1.0)), F.col("_n") / 20.0, F.coalesce("_e", F.lit(0)) / 50.0)
+    return j.select("design", numbers.alias("numbers"))

@@ -112,3 +112,14 @@ def latest_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def richness(seen: DataFrame, settled: DataFrame, flat: list[str]) -> DataFrame:
+    """One row: seen transitions (src, dst), those that are rich, and their share in per cent. A transition is rich if a
+    stretch of its target settles (settled: state, settled) or the target's name begins with one that has no transient."""
+    ok = settled.filter("settled").select(F.col("state").alias("dst")).distinct().withColumn("_ok", F.lit(True))
+    begins = F.lit(False)
+    for name in flat:
+        begins = begins | F.upper("dst").startswith(name.upper())
+    j = seen.select("src", "dst").distinct().join(ok, "dst", "left").withColumn("_rich", begins | F.coalesce("_ok", F.lit(False)))
+    return j.agg(F.count(F.lit(1)).alias("seen"), F.count_if("_rich").alias("rich")).withColumn("pct", 100.0 * F.col("rich") / F.greatest("seen", F.lit(1)))

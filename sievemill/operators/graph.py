@@ -8,25 +8,19 @@ from pyspark.sql import functions as F
 from sievemill.functions.session import cut, numbered
 
 
-def layers(edges: DataFrame, start, stride: int = 16) -> DataFrame:
-    """node and hops from the start, by breadth-first search until nothing new is reached. A round goes 1, 2, 4 and at
-    most `stride` hops on from the newest layer, keeps what was not seen before, and is checkpointed."""
+def layers(edges: DataFrame, start) -> DataFrame:
+    """node and hops from the start, by breadth-first search until nothing new is reached: a round joins the newest layer
+    only, so it costs the edges it touches, and is checkpointed; what was seen is, every few rounds."""
     edges = cut(edges.select("src", "dst").distinct())
     seen = front = edges.sparkSession.createDataFrame([(start, 0)], f"node {dict(edges.dtypes)['src']}, hops int")
-    k, step = 0, 1
+    k = 0
     while True:
-        at, found = front.select("node"), None
-        for hop in range(k + 1, k + step + 1):
-            at = edges.join(at.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-            at = at.join(seen, "node", "left_anti")
-            new = at.withColumn("hops", F.lit(hop))
-            found = new if found is None else found.unionByName(new)
-        found = cut(found.groupBy("node").agg(F.min("hops").alias("hops")))
-        k, step = k + step, min(2 * step, stride)
-        front = found.filter(F.col("hops") == k)
-        seen = cut(seen.unionByName(found)) if found.limit(1).count() else seen
-        if not front.limit(1).count():
+        k += 1
+        new = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        front = cut(new.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
+        if front.isEmpty():
             return seen
+        seen = seen.union(front) if k % 8 else cut(seen.union(front))
 
 
 def reachable(edges: DataFrame, start) -> DataFrame:
@@ -123,3 +117,35 @@ def cosine_neighbours(items: DataFrame, queries: DataFrame, k: int, eps: float =
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "i"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "i", "sim")
+
+
+def link_weights(links: DataFrame, order: str) -> DataFrame:
+    """One row for each (src, dst): the weight of the last link between them."""
+    return links.groupBy("src", "dst").agg(F.max_by("weight", order).alias("weight"))
+
+
+def _dense(weights: list[list[float]], x: Column) -> Column:
+    """A matrix, one row an output, times a vector."""
+    return F.array(*[F.aggregate(F.zip_with(F.array(*[F.lit(float(w)) for w in row]), x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for row in weights])
+
+
+def encode_layer(edges: DataFrame, features: DataFrame, own: list[list[float]], near: list[list[float]]) -> DataFrame:
+    """features (design, node, x) through one layer: own weights times x plus near weights times the mean of the
+    out-neighbours' x (zeros without any), scaled to unit length."""
+    size = len(own[0])
+    of = edges.join(features.withColumnRenamed("node", "dst"), ["design", "dst"])
+    sums = of.groupBy("design", F.col("src").alias("node")).agg(F.array(*[F.avg(F.col("x")[k]) for k in range(size)]).alias("_m"))
+    j = features.join(sums, ["design", "node"], "left").withColumn("_m", F.coalesce("_m", F.array_repeat(F.lit(0.0), size)))
+    j = j.withColumn("_h", F.zip_with(_dense(own, F.col("x")), _dense(near, F.col("_m")), lambda a, b: a + b))
+    norm = F.sqrt(F.aggregate("_h", F.lit(0.0), lambda s, v: s + v * v))
+    return j.select("design", "node", F.transform("_h", lambda v: F.when(norm > 0, v / norm).otherwise(v)).alias("x"))
+
+
+def encode_designs(edges: DataFrame, features: DataFrame, layers_: list[tuple[list[list[float]], list[list[float]]]], stats: DataFrame) -> DataFrame:
+    """Vector of each design: the mean of its nodes after all layers, and its own numbers (stats: design, numbers)."""
+    h = features
+    for own, near in layers_:
+        h = encode_layer(edges, h, own, near)
+    size = len(layers_[-1][0])
+    pooled = h.groupBy("design").agg(F.array(*[F.avg(F.col("x")[k]) for k in range(size)]).alias("pooled"))
+    return pooled.join(stats, "design").select("design", F.concat("pooled", "numbers").alias("vector"))

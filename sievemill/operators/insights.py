@@ -143,3 +143,32 @@ def silicon_match(chips: DataFrame, sims: DataFrame) -> DataFrame:
     return exact.join(loose, "spec", "left").withColumn("sim", F.coalesce("_e", "_l")).drop("_e", "_l")
 
 
+
+
+def divider_resistors(samples: DataFrame, by: list[str], reference: float, regulating: str, least: float = 1e-9) -> DataFrame:
+    """Both resistors of a feedback divider by group, as medians of positive ratios. Tier 1 takes each sample's output
+    (out), feedback voltage (fb) and current (i); where it finds nothing, tier 2 takes samples of the regulating state and
+    the reference (the median of the column ref there, if any) in place of the feedback voltage; tier 3 finds none."""
+    ok = F.abs("i") > least
+    split = lambda low, whole: F.when(ok & (low > 0) & (whole - low > 0), F.struct((whole - low).alias("r1"), low.alias("r2")))
+    whole = F.col("out") / F.nullif(F.col("i"), F.lit(0.0))
+    state = F.col("state") == regulating
+    refs = samples.groupBy(*by).agg(F.coalesce(F.median(F.when(state, F.col("ref"))), F.lit(reference)).alias("_ref"))
+    j = samples.join(refs, by).withColumn("_1", split(F.col("fb") / F.nullif(F.col("i"), F.lit(0.0)), whole)).withColumn("_2", F.when(state, split(F.col("_ref") / F.nullif(F.col("i"), F.lit(0.0)), whole)))
+    sums = [f(F.col(f"_{k}.{r}")).alias(f"_{r}_{k}") for k in (1, 2) for f, r in ((F.median, "r1"), (F.median, "r2"))]
+    g = j.groupBy(*by).agg(*sums, F.count("_1").alias("_n_1"), F.count("_2").alias("_n_2"))
+    tier = F.when(F.col("_n_1") > 0, 1).when(F.col("_n_2") > 0, 2).otherwise(3)
+    pick = lambda c: F.when(F.col("_n_1") > 0, F.col(f"_{c}_1")).when(F.col("_n_2") > 0, F.col(f"_{c}_2"))
+    return g.select(*by, tier.alias("tier"), pick("r1").alias("r1"), pick("r2").alias("r2"), F.coalesce(pick("n"), F.lit(0)).alias("n"))
+
+
+def mux_findings(shifts: DataFrame, floors: DataFrame, times: float = 4.0) -> DataFrame:
+    """shifts (run_key, sel, idx, pin, shift): the change of each candidate supply's current at an edge of a select pin;
+    floors (run_key, pin, floor). One row an edge that moves current, from the pin with the least to that with the
+    largest change, and one for each run and select pin without any: there the path is not verified."""
+    real = shifts.join(floors, ["run_key", "pin"], "left").filter(F.abs("shift") > times * F.coalesce("floor", F.lit(0.0)))
+    moved = real.groupBy("run_key", "sel", "idx").agg(F.max_by("pin", F.struct("shift", "pin")).alias("gained"), F.min_by("pin", F.struct("shift", "pin")).alias("dropped"))
+    seen = moved.withColumn("category", F.lit("mux-verified")).withColumn("severity", F.lit("info"))
+    none = shifts.select("run_key", "sel").distinct().join(moved, ["run_key", "sel"], "left_anti")
+    none = none.select("run_key", "sel", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("gained"), F.lit(None).cast("string").alias("dropped"), F.lit("untested-mux").alias("category"), F.lit("high").alias("severity"))
+    return seen.unionByName(none)

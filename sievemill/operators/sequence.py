@@ -237,3 +237,26 @@ def bimodality(samples: DataFrame, least: int = 2, islands_needed: int = 4, time
     )
     spread = F.greatest("low_sd", "high_sd")
     return sides.select("state", "low", "high", ((F.col("high") - F.col("low")) > times * spread).alias("bimodal"))
+
+
+def corner_frequencies(curves: DataFrame) -> DataFrame:
+    """Per run of a response in dB (value) over frequency (t): the gain at the start, the first frequency 3 dB below it,
+    the first crossing of 0 dB (both interpolated, the last frequency if never), and the slope per decade from the
+    sample before the corner to ten times its frequency, -20 where there is no room for it."""
+    w = Window.partitionBy("run_key").orderBy("idx")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v, t = F.lag("value").over(w), F.lag("t").over(w)
+    between = lambda level: F.when(F.abs(F.col("value") - v) > 1e-10, t + (level - v) / (F.col("value") - v) * (F.col("t") - t)).otherwise(t)
+    c = curves.withColumn("_gain", F.first("value").over(whole)).withColumn("_last", F.max("t").over(Window.partitionBy("run_key")))
+    level = F.col("_gain") - 3.0
+    c = c.withColumn("_c", F.when(v.isNotNull() & (F.col("value") <= level), F.struct(F.col("idx"), between(level).alias("f"))))
+    c = c.withColumn("_u", F.when((v > 0) & (F.col("value") <= 0), F.struct(F.col("idx"), between(F.lit(0.0)).alias("f"))))
+    found = c.groupBy("run_key").agg(F.first("_gain").alias("gain"), F.coalesce(F.min("_c")["f"], F.max("_last")).alias("corner"), F.coalesce(F.min("_u")["f"], F.max("_last")).alias("unity"))
+    j = curves.join(found, "run_key")
+    low = F.max(F.when(F.col("t") < F.col("corner"), F.struct("idx", "t", "value")))
+    start, end = F.min(F.struct("idx", "t", "value")), F.max(F.struct("idx", "t", "value"))
+    high = F.min(F.when(F.col("t") >= 10 * F.col("corner"), F.struct("idx", "t", "value")))
+    ends = j.groupBy("run_key", "gain", "corner", "unity").agg(F.coalesce(low, start).alias("a"), F.coalesce(high, end).alias("b"))
+    room = (F.col("b.idx") > F.col("a.idx")) & (F.col("b.t") > F.col("a.t"))
+    slope = F.when(room, (F.col("b.value") - F.col("a.value")) / F.greatest(F.log10(F.col("b.t") / (F.col("a.t") + 1e-30)), F.lit(1e-10))).otherwise(-20.0)
+    return ends.select("run_key", "gain", "corner", "unity", slope.alias("slope"))

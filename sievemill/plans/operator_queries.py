@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from sievemill.functions import scalar as fn
 from sievemill.operators import coverage as cov
 from sievemill.operators import features as ft
+from sievemill.operators import graph as gr
+from sievemill.operators import insights as ins
 from sievemill.operators import kernels as k
 from sievemill.operators import lookup as lk
 from sievemill.operators import machines as mc
+from sievemill.operators import networks as nw
+from sievemill.operators import sequence
 from sievemill.operators import states as st
 from sievemill.sources import runs
 
@@ -277,4 +281,90 @@ def identified_networks(spark, sf):
     return rounded(k.identify(n.withColumn("y", y), "prony", 2).select("network", "re", "im"), 4)
 
 
+@C.add("SELECT p_partkey, CASE WHEN p_size > 10 THEN round(log10((p_size - 10) / 12.0) / 3, 6) ELSE 0 END AS size FROM part")
+def size_features(spark, sf):
+    return rounded(table(spark, sf, "part").select("p_partkey", fn.log_size((F.col("p_size") - 10).cast("double"), F.lit(12.0)).alias("size")))
+
+
+@C.add(
+    """WITH t AS (SELECT * FROM (VALUES ('180nm', 0, 180.0, 1.8, 4.0, 0.5, 0), ('90nm', 1, 90, 1.2, 2, 0.35, 0), ('65nm', 2, 65, 1.0, 1.5, 0.3, 0), ('45nm', 3, 45, 1.0, 1.2, 0.28, 0), ('28nm', 4, 28, 0.9, 1.0, 0.25, 0), ('14nm', 5, 14, 0.8, 0.9, 0.22, 1), ('7nm', 0, 180, 1.8, 4, 0.5, 1)) AS v(name, k, l, vdd, tox, vth, fin))
+ SELECT s_suppkey, round(k / 5.0, 6) AS place, round(log10(l / 180), 6) AS length, round(vdd / 1.8, 6) AS supply, round(log10(tox / 4), 6) AS oxide, CAST(vth AS DOUBLE) AS vth_n, CAST(vth AS DOUBLE) AS vth_p, CAST(fin AS DOUBLE) AS fins
+ FROM supplier JOIN t ON name = ['180nm', '90nm', '65nm', '45nm', '28nm', '14nm', '7nm'][s_suppkey % 7 + 1]"""
+)
+def technology_codes(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("180nm", "90nm", "65nm", "45nm", "28nm", "14nm", "7nm")])
+    s = table(spark, sf, "supplier").select("s_suppkey", fn.technology_code(F.element_at(names, (F.col("s_suppkey") % 7 + 1).cast("int"))).alias("c"))
+    return rounded(s.select("s_suppkey", *[F.col("c")[k].alias(n) for k, n in enumerate(("place", "length", "supply", "oxide", "vth_n", "vth_p", "fins"))]))
+
+
+@C.add("SELECT p_partkey, round(a, 6) AS l_ratio, round(a * a, 6) AS c_ratio, round(1 / a, 6) AS r_ratio, round(power(a, 0.3), 6) AS vdd_ratio FROM (SELECT p_partkey, CASE WHEN p_size > 5 THEN (p_size - 5) / 65.0 ELSE 0.5 END AS a FROM part)")
+def scaling_of_technologies(spark, sf):
+    r = table(spark, sf, "part").select("p_partkey", nw.scaling_ratios(F.lit(65.0), (F.col("p_size") - 5).cast("double")).alias("r"))
+    return rounded(r.select("p_partkey", "r.l_ratio", "r.c_ratio", "r.r_ratio", "r.vdd_ratio"))
+
+
+@C.add("SELECT o_custkey % 100 AS src, o_orderkey % 13 AS dst, arg_max(o_totalprice, o_orderkey) AS weight FROM orders GROUP BY ALL")
+def last_link_weights(spark, sf):
+    o = table(spark, sf, "orders")
+    return gr.link_weights(o.select((F.col("o_custkey") % 100).alias("src"), (F.col("o_orderkey") % 13).alias("dst"), F.col("o_totalprice").alias("weight"), "o_orderkey"), "o_orderkey")
+
+
+@C.add(
+    """WITH s AS (SELECT l_returnflag AS run, l_linestatus AS st, l_extendedprice AS o, CASE WHEN l_returnflag = 'A' THEN l_quantity * 10 END AS fb, CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_discount END AS i FROM lineitem),
+ a AS (SELECT run, median((o - fb) / i) AS r1, median(fb / i) AS r2, count(*) AS n FROM s WHERE i > 1e-9 AND fb > 0 AND o > fb GROUP BY 1), b AS (SELECT run, median(o / i - 250 / i) AS r1, median(250 / i) AS r2, count(*) AS n FROM s WHERE i > 1e-9 AND st = 'F' AND o / i > 250 / i GROUP BY 1)
+ SELECT s.run, CASE WHEN a.n > 0 THEN 1 WHEN b.n > 0 THEN 2 ELSE 3 END AS tier, round(coalesce(a.r1, b.r1), 4) AS r1, round(coalesce(a.r2, b.r2), 4) AS r2, coalesce(a.n, b.n, 0) AS n FROM (SELECT DISTINCT run FROM s) s LEFT JOIN a USING (run) LEFT JOIN b USING (run)"""
+)
+def divider_resistors(spark, sf):
+    """Measured feedback for one group, a nominal reference in its place for another, no current for the third."""
+    li = table(spark, sf, "lineitem")
+    fb, i = F.when(F.col("l_returnflag") == "A", F.col("l_quantity") * 10), F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.col("l_discount"))
+    s = li.select(F.col("l_returnflag").alias("run"), F.col("l_linestatus").alias("state"), F.col("l_extendedprice").alias("out"), fb.alias("fb"), i.alias("i"), F.lit(None).cast("double").alias("ref"))
+    return rounded(ins.divider_resistors(s, ["run"], 250.0, "F"), 4)
+
+
+@C.add(
+    """WITH s AS (SELECT o_orderkey % 200 AS run, CASE WHEN o_custkey % 2 = 0 THEN 'SEL_A' ELSE 'SEL_B' END AS sel, CAST(o_custkey % 3 AS INTEGER) AS idx, o_orderpriority AS pin, round(avg(o_totalprice) - 150000, 4) AS shift FROM orders GROUP BY ALL),
+ m AS (SELECT run, sel, idx, arg_max(pin, (shift, pin)) AS gained, arg_min(pin, (shift, pin)) AS dropped FROM s WHERE abs(shift) > 4 * 40000 GROUP BY ALL)
+ SELECT run AS run_key, sel, idx, gained, dropped, 'mux-verified' AS category, 'info' AS severity FROM m UNION ALL SELECT DISTINCT run, sel, NULL, NULL, NULL, 'untested-mux', 'high' FROM s WHERE (run, sel) NOT IN (SELECT run, sel FROM m)"""
+)
+def mux_findings(spark, sf):
+    o = table(spark, sf, "orders")
+    shifts = o.groupBy((F.col("o_orderkey") % 200).alias("run_key"), F.when(F.col("o_custkey") % 2 == 0, "SEL_A").otherwise("SEL_B").alias("sel"), (F.col("o_custkey") % 3).cast("int").alias("idx"), F.col("o_orderpriority").alias("pin")).agg(F.round(F.avg("o_totalprice") - 150000, 4).alias("shift"))
+    return ins.mux_findings(shifts, shifts.select("run_key", "pin").distinct().withColumn("floor", F.lit(40000.0)))
+
+
+@C.add(
+    S + """, p AS (SELECT DISTINCT state AS src, lead(state) OVER (PARTITION BY run_key ORDER BY idx) AS dst FROM s), t AS (SELECT * FROM p WHERE dst IS NOT NULL AND src <> dst)
+ SELECT count(*) AS seen, count(*) FILTER (dst IN ('click', 'error')) AS rich, round(100.0 * count(*) FILTER (dst IN ('click', 'error')) / count(*), 6) AS pct FROM t"""
+)
+def transition_richness(spark, sf):
+    settled = spark.createDataFrame([("click", True), ("view", False)], "state string, settled boolean")
+    return rounded(cov.richness(st.transitions(samples(spark, sf)), settled, ["err", "off"]))
+
+
+@C.add(
+    """WITH n AS (SELECT p_brand AS graph, count(*) AS n, count(*) FILTER (p_type = 'SMALL') AS small FROM part GROUP BY 1)
+ SELECT graph, round(small / n, 6) AS small, round(CASE WHEN n > 1 THEN 2 ELSE 0 END / 20.0, 6) AS diameter, round(1.0 / n, 6) AS components, 0.0 AS clustering, round(n / 100.0, 6) AS n_nodes, round((n - 1) / 200.0, 6) AS n_edges FROM n"""
+)
+def graph_fingerprints(spark, sf):
+    """The parts of a brand as a star around the first."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("node"), F.col("p_type").alias("type"))
+    edges = p.join(p.groupBy("graph").agg(F.min("node").alias("a")), "graph").filter("node <> a").select("graph", "a", F.col("node").alias("b"))
+    made = nw.fingerprints(p, edges, ["SMALL", "other"])
+    return rounded(made.select("graph", F.col("type_SMALL").alias("small"), "diameter", "components", F.col("cc_max").alias("clustering"), "n_nodes", "n_edges"))
+
+
+@C.add(
+    """WITH c AS (SELECT n_nationkey AS run_key, k AS idx, pow(10, k / 10.0) AS f, 20.0 - 20 * k / 10.0 * (1 + n_nationkey / 10.0) + 20 AS v FROM nation, range(41) t(k)),
+ w AS (SELECT *, lag(f) OVER (PARTITION BY run_key ORDER BY idx) AS f0, lag(v) OVER (PARTITION BY run_key ORDER BY idx) AS v0, first(v) OVER (PARTITION BY run_key ORDER BY idx) AS g, max(f) OVER (PARTITION BY run_key) AS last FROM c),
+ x AS (SELECT run_key, min(g) AS gain, coalesce(arg_min(f0 + (g - 3 - v0) / (v - v0) * (f - f0), idx) FILTER (v0 IS NOT NULL AND v <= g - 3), max(last)) AS corner, coalesce(arg_min(f0 + (0 - v0) / (v - v0) * (f - f0), idx) FILTER (v0 > 0 AND v <= 0), max(last)) AS unity FROM w GROUP BY 1)
+ SELECT run_key, round(gain, 4) AS gain, round(min(corner), 4) AS corner, round(min(unity), 4) AS unity, round(-20 * (1 + run_key / 10.0), 4) AS slope FROM x GROUP BY run_key, gain"""
+)
+def corner_frequencies(spark, sf):
+    """Straight lines over the logarithm of the frequency, one slope a nation."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("run_key"), F.explode(F.sequence(F.lit(0), F.lit(40))).alias("idx"))
+    curve = n.select("run_key", "idx", F.pow(F.lit(10.0), F.col("idx") / 10).alias("t"), (40.0 - 2.0 * F.col("idx") * (1 + F.col("run_key") / 10)).alias("value"))
+    return rounded(sequence.corner_frequencies(curve), 4)
+
+
 QUERIES, ORACLES = C.queries, C.oracles

@@ -5,6 +5,7 @@ Whole files are read by Spark's binary or text source and parsed in tasks, one f
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -143,21 +144,145 @@ def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
     return items.select("i.*").withColumn("measured_value", F.col("measured").try_cast("double"))
 
 
+# Kinds of coverage bins, with the other names that files use.
+BIN_KINDS = {"values": "values", "value": "values", "range": "range", "ranges": "range", "transition": "transition", "default": "default", "ignore": "ignore", "illegal": "illegal", "wildcard": "wildcard", "auto": "auto"}
+BIN = "array<struct<name:string,type:string,values:array<string>,ranges:array<struct<low:string,high:string>>,transitions:array<array<string>>,pattern:string,auto_bin_max:int,min_hits:int,weight:double,comment:string>>"
+POINT = f"array<struct<name:string,variable:string,bins:{BIN},condition:string,comment:string>>"
+CROSS = "array<struct<name:string,coverpoints:array<string>,exclude_bins:array<string>,comment:string>>"
+GROUP = f"array<struct<name:string,clock:string,points:{POINT},crosses:{CROSS},args:array<struct<type:string,name:string>>,condition:string,per_instance:boolean,auto_bin_max:int,goal:int,comment:string>>"
+FEATURE = f"array<struct<name:string,groups:{GROUP},description:string,tags:array<string>,source_doc:string>>"
+MODEL = f"project string, features {FEATURE}, crosses array<struct<name:string,targets:array<string>,goal:int,comment:string,exclude_combinations:array<string>>>"
+
+
+def _texts(items) -> list[str]:
+    return [str(x) for x in items or []]
+
+
+def _whole(x) -> int | None:
+    return None if x is None or x == "" else int(float(x))
+
+
+def _bin(raw: dict) -> tuple:
+    """One bin; without a type, what it holds tells it. A kind that is not known counts as values."""
+    kind = str(raw.get("type") or "values").lower()
+    if raw.get("pattern") is not None:
+        kind = "wildcard"
+    elif kind == "values" and raw.get("transitions"):
+        kind = "transition"
+    elif kind == "values" and raw.get("auto_bin_max") is not None:
+        kind = "auto"
+    ranges = [(str(r[0]), str(r[-1])) for r in raw.get("ranges") or []]
+    steps = [_texts(t) for t in raw.get("transitions") or []]
+    weight = raw.get("weight")
+    return raw.get("name"), BIN_KINDS.get(kind, "values"), _texts(raw.get("values")), ranges, steps, raw.get("pattern"), _whole(raw.get("auto_bin_max")), _whole(raw.get("min_hits")) or 1, None if weight is None else float(weight), raw.get("comment")
+
+
 def read_coverage_yaml(spark: SparkSession, text: str) -> DataFrame:
-    """A coverage model as nested arrays: project, features > groups > points > bins."""
+    """A coverage model as nested arrays: project, features > groups > points > bins, with all that bins hold."""
     import yaml
 
     doc = yaml.safe_load(text) or {}
-    bins = lambda p: [(b.get("name"), b.get("type", "value"), [str(v) for v in b.get("values", [])]) for b in p.get("bins", [])]
-    points = lambda g: [(p.get("name"), p.get("variable"), bins(p)) for p in g.get("coverpoints", [])]
-    groups = lambda f: [(g.get("name"), g.get("clock"), points(g)) for g in f.get("covergroups", [])]
-    features = [(f.get("name"), groups(f)) for f in doc.get("features", [])]
-    crosses = [(c.get("name"), [str(t) for t in c.get("targets", [])], c.get("goal")) for c in doc.get("feature_crosses", [])]
-    b = "array<struct<name:string,type:string,values:array<string>>>"
-    p = f"array<struct<name:string,variable:string,bins:{b}>>"
-    g = f"array<struct<name:string,clock:string,points:{p}>>"
-    schema = f"project string, features array<struct<name:string,groups:{g}>>, crosses array<struct<name:string,targets:array<string>,goal:int>>"
-    return spark.createDataFrame([(doc.get("project"), features, crosses)], schema)
+    points = lambda g: [(p.get("name"), p.get("variable"), [_bin(b) for b in p.get("bins") or []], p.get("condition"), p.get("comment")) for p in g.get("coverpoints") or []]
+    inner = lambda g: [(c.get("name"), _texts(c.get("coverpoints")), _texts(c.get("exclude_bins")), c.get("comment")) for c in g.get("crosses") or []]
+    args = lambda g: [(x.get("type"), x.get("name")) for x in g.get("args") or []]
+    groups = lambda f: [(g.get("name"), g.get("clock"), points(g), inner(g), args(g), g.get("condition"), bool(g.get("per_instance")), _whole(g.get("auto_bin_max")), _whole(g.get("goal", 100)), g.get("comment")) for g in f.get("covergroups") or []]
+    features = [(f.get("name"), groups(f), f.get("description"), _texts(f.get("tags")), f.get("source_doc")) for f in doc.get("features") or []]
+    crosses = [(c.get("name"), _texts(c.get("targets")), c.get("goal"), c.get("comment"), _texts(c.get("exclude_combinations"))) for c in doc.get("feature_crosses") or []]
+    return spark.createDataFrame([(doc.get("project"), features, crosses)], MODEL)
+
+
+def workbook_sheets(content: bytes) -> dict[str, list[dict[str, str]]]:
+    """The rows of each sheet of a workbook, by the names in its first row (lower case, col_N where there is none); rows
+    without any value are left out. A workbook is a zip file of XML parts, so no further library is needed."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+    out: dict[str, list[dict[str, str]]] = {}
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        part = lambda name: ElementTree.fromstring(z.read(name))
+        text = lambda node: "".join(t.text or "" for t in node.iter(f"{main}t"))
+        shared = [text(s) for s in part("xl/sharedStrings.xml").iter(f"{main}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        targets = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in part("xl/_rels/workbook.xml.rels")}
+        for sheet in part("xl/workbook.xml").iter(f"{main}sheet"):
+            rows = []
+            for row in part("xl/" + targets[sheet.get(f"{rel}id")]).iter(f"{main}row"):
+                cells: dict[int, str] = {}
+                for k, cell in enumerate(row.iter(f"{main}c")):
+                    letters = re.match(r"[A-Z]*", cell.get("r") or "")[0]
+                    at = k
+                    if letters:
+                        at = -1
+                        for ch in letters:
+                            at = (at + 1) * 26 + ord(ch) - 65
+                    kind, value = cell.get("t"), cell.find(f"{main}v")
+                    got = text(cell) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
+                    if got not in (None, ""):
+                        cells[at] = got
+                rows.append(cells)
+            head = rows[0] if rows else {}
+            name = lambda k, head=head: head[k].strip().lower() if k in head else f"col_{k}"
+            out[sheet.get("name")] = [{name(k): v for k, v in r.items()} for r in rows[1:] if r]
+    return out
+
+
+def _listed(text: str | None, sep: str = ",") -> list[str]:
+    return [x.strip() for x in (text or "").split(sep) if x.strip()]
+
+
+def coverage_of_sheets(sheets: dict[str, list[dict[str, str]]], project: str) -> tuple:
+    """A coverage model from the sheets Features, CoverGroups, CoverPoints, Bins, CG_Crosses and Crosses. A group may
+    bring its feature along; points, bins and crosses of unknown parents and rows without names are left out."""
+    rows = lambda name, *need: [r for r in sheets.get(name, []) if all(r.get(c) for c in need)]
+    features = {r["feature_name"]: r for r in rows("Features", "feature_name")}
+    groups = {(r["feature_name"], r["cg_name"]): r for r in rows("CoverGroups", "feature_name", "cg_name")}
+    for f, _ in groups:
+        features.setdefault(f, {})
+    points = {(r["feature_name"], r["cg_name"], r["cp_name"]): r for r in rows("CoverPoints", "feature_name", "cg_name", "cp_name")}
+    bins: dict[tuple, list[tuple]] = {}
+    for r in rows("Bins", "feature_name", "cg_name", "cp_name", "bin_name"):
+        pairs = [x.strip("[]() ").split(":") for x in _listed(r.get("ranges"))]
+        steps = [[y.strip() for y in x.split("=>")] for x in _listed(r.get("transitions"), "|")]
+        raw = {**r, "name": r["bin_name"], "values": _listed(r.get("values")), "ranges": pairs, "transitions": steps, "type": r.get("type", "values")}
+        kind = BIN_KINDS.get(raw["type"].lower(), "values")  # a sheet names its kinds
+        made = _bin(raw)
+        bins.setdefault((r["feature_name"], r["cg_name"], r["cp_name"]), []).append((made[0], kind, *made[2:]))
+    inner: dict[tuple, list[tuple]] = {}
+    for r in rows("CG_Crosses", "feature_name", "cg_name", "cross_name"):
+        inner.setdefault((r["feature_name"], r["cg_name"]), []).append((r["cross_name"], _listed(r.get("coverpoints")), _listed(r.get("exclude_bins")), r.get("comment")))
+
+    def group(key: tuple, r: dict) -> tuple:
+        own = [(p[2], q.get("variable", p[2]), bins.get(p, []), q.get("condition"), q.get("comment")) for p, q in points.items() if p[:2] == key]
+        args = [tuple(x.rsplit(" ", 1)) for x in _listed(r.get("args")) if " " in x]
+        per = str(r.get("per_instance", "")).lower() not in ("", "0", "false")
+        return key[1], r.get("clock"), own, inner.get(key, []), args, r.get("condition"), per, _whole(r.get("auto_bin_max")), _whole(r.get("goal")) or 100, r.get("comment")
+
+    made = [(f, [group(k, g) for k, g in groups.items() if k[0] == f], r.get("description"), _listed(r.get("tags")), r.get("source_doc")) for f, r in features.items()]
+    crosses = [(r["cross_name"], _listed(r.get("targets"), "|"), _whole(r.get("goal")) or 100, r.get("comment"), []) for r in rows("Crosses", "cross_name")]
+    return project, made, crosses
+
+
+def _named(value, kind):
+    """Nested tuples as dictionaries, by the names of a schema."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.StructType):
+        return {f.name: _named(v, f.dataType) for f, v in zip(kind.fields, value)}
+    return [_named(v, kind.elementType) for v in value] if isinstance(kind, T.ArrayType) else value
+
+
+def read_coverage_workbook(spark: SparkSession, pattern: str) -> DataFrame:
+    """One coverage model a workbook, with the schema of read_coverage_yaml; the project is the file's stem."""
+    kind = spark.createDataFrame([], MODEL).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [coverage_of_sheets(workbook_sheets(bytes(c)), p.rsplit("/", 1)[-1].rsplit(".", 1)[0]) for p, c in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame({"raw": [json.dumps(_named(m, kind)) for m in made]})
+
+    raw = spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "raw string")
+    return raw.select(F.from_json("raw", kind).alias("m")).select("m.*")
 
 
 def read_registers(spark: SparkSession, path: str) -> DataFrame:

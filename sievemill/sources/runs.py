@@ -43,6 +43,47 @@ def read_wave_csv(spark: SparkSession, *patterns: str) -> DataFrame:
     return files.mapInPandas(_parse_csv, LONG)
 
 
+def read_table_csv(spark: SparkSession, pattern: str, time: str = "time", span: float = 1e-4) -> DataFrame:
+    """Tall samples of CSV files with a header. Without the named time column the samples of a file are spread evenly
+    over the span; cells that are no number are missing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                wide = pd.read_csv(io.BytesIO(content), skipinitialspace=True).apply(pd.to_numeric, errors="coerce")
+                t = wide.pop(time).to_numpy(dtype=float) if time in wide else np.linspace(0, span, len(wide))
+                for name in wide.columns:
+                    v = wide[name].to_numpy(dtype=float)
+                    yield pd.DataFrame({"run_id": path.rsplit("/", 1)[-1].rsplit(".", 1)[0], "signal": str(name).strip(), "idx": np.arange(len(t), dtype=np.int32), "t": t, "value": pd.array(np.where(np.isnan(v), None, v), dtype="Float64")})
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, LONG)
+
+
+def read_frequency_csv(spark: SparkSession, path: str, freq: str = "freq", real: str = "real", imag: str | None = "imag") -> DataFrame:
+    """w, re and im of a response; without an imaginary column it is 0. A missing column is an error that lists those
+    that are there."""
+    raw = spark.read.option("header", True).csv(path)
+    for c in (freq, real, *([imag] if imag else [])):
+        if c not in raw.columns:
+            raise ValueError(f"{c} not found in {path}; columns: {', '.join(raw.columns)}")
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    return raw.select(number(freq).alias("w"), number(real).alias("re"), (number(imag) if imag else F.lit(0.0)).alias("im"))
+
+
+def write_predictions(df: DataFrame, path: str, pairs: dict[str, str]) -> None:
+    """Features with each target, its prediction and the error in per cent of the target (null for 0)."""
+    errors = [(100.0 * (F.col(p) - F.col(y)) / F.abs(F.nullif(F.col(y), F.lit(0.0)))).alias(f"{y}_err_pct") for y, p in pairs.items()]
+    write_csv(df.select("*", *errors), path)
+
+
+def check_runs(keys: DataFrame) -> DataFrame:
+    """keys (run_id, corner_id, ...) unchanged; raises where a pair stands more than once."""
+    twice = keys.groupBy("run_id", "corner_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError("runs given more than once: " + ", ".join(f"{r['run_id']}@{r['corner_id']}" for r in twice))
+    return keys
+
+
 def number_runs(samples: DataFrame, corner: str = "") -> DataFrame:
     """run_number by run_id order, corner_id as given: the runs dimension."""
     runs = samples.groupBy("run_id").agg(F.countDistinct("signal").alias("n_signals"), F.countDistinct("idx").alias("ntime"))
