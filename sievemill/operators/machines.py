@@ -74,7 +74,7 @@ def unmet_interfaces(required: DataFrame, offered: DataFrame) -> DataFrame:
 def graph_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: blocks, links, area and power in all, and the block with the most power."""
     n = nodes.agg(F.count(F.lit(1)).alias("blocks"), F.sum("area").alias("area"), F.sum("power").alias("power"), F.max_by("node", F.struct("power", "node")).alias("hungriest"))
-    return n.withColumn("links", F.lit(edges.count()))
+    return n.withColumn("links", F.lit(edges.count()).cast("long"))
 
 
 def token_overlap(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ exchange. NaN counts as missing: `clean` turns it into null at the scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -57,24 +59,26 @@ def resolve_tolerance(samples: DataFrame, absolute: float, relative: float) -> D
 def change_points(samples: DataFrame, tolerance: float) -> DataFrame:
     """Samples that differ by more than the tolerance from the last one kept; the first and last of a run are always
     kept, and all of them if the tolerance is not positive. Each decision rests on the one before, so a run is walked
-    in order; runs are spread over the cluster."""
+    in order, batch by batch, with the last kept value carried over: a task holds one batch, however long the run."""
     if tolerance <= 0:
         return samples.select("run_key", "idx", "value")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        value, kept = pdf["value"].tolist(), [0]
-        last = value[0]
-        for i, x in enumerate(value):
-            if abs(x - last) > tolerance:
-                kept.append(i)
-                last = x
-        if kept[-1] != len(value) - 1:
-            kept.append(len(value) - 1)
-        return pdf.iloc[kept]
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, begun, tail = 0.0, False, None
+        for pdf in batches:
+            value, kept = pdf["value"].tolist(), []
+            for i, x in enumerate(value):
+                if not begun or abs(x - last) > tolerance:
+                    kept.append(i)
+                    last, begun = x, True
+            tail = None if kept and kept[-1] == len(value) - 1 else pdf.iloc[-1:]
+            yield pdf.iloc[kept]
+        if tail is not None:
+            yield tail
 
     kind = dict(samples.dtypes)
-    return samples.select("run_key", "idx", "value").groupBy("run_key").applyInPandas(walk, f"run_key {kind['run_key']}, idx {kind['idx']}, value double")
+    rows = samples.select("run_key", "idx", "value").repartition("run_key").sortWithinPartitions("run_key", "idx")
+    return rows.groupBy("run_key").applyInPandas(walk, f"run_key {kind['run_key']}, idx {kind['idx']}, value double")
 
 
 def with_islands(samples: DataFrame, state: str = "state") -> DataFrame:

@@ -135,14 +135,14 @@ def transition_guards(spark, sf):
     return table(spark, sf, "part").select("p_partkey", bits("p_size").alias("before"), bits("p_partkey").alias("after")).select("p_partkey", st.changed_bits_guard().alias("guard"))
 
 
-@C.add(S + ", v AS (SELECT DISTINCT state FROM s UNION SELECT 'OFF') SELECT count(*) AS states, count(*) FILTER (state IN ('click', 'view', 'error')) AS reachable, count(*) FILTER (state IN ('click', 'view', 'signup', 'OFF')) AS complete, 1 AS ambiguous, false AS deterministic, round(100.0 * count(*) FILTER (state <> 'OFF') / count(*), 6) AS seen_pct FROM v")
+@C.add(S + ", v AS (SELECT DISTINCT state FROM s UNION SELECT 'OFF') SELECT count(*) AS states, count(*) FILTER (state IN ('click', 'view', 'error')) AS reachable, count(*) FILTER (state IN ('click', 'view', 'signup', 'OFF')) AS complete, CAST(1 AS BIGINT) AS ambiguous, false AS deterministic, round(100.0 * count(*) FILTER (state <> 'OFF') / count(*), 6) AS seen_pct FROM v")
 def machine_reports(spark, sf):
     moves = spark.createDataFrame([("click", "view", "a"), ("view", "error", "b"), ("signup", "click", "a"), ("click", "error", "a")], "src string, dst string, guard string")
     seen = table(spark, sf, "events").select(F.col("event_type").alias("state"))
     return rounded(st.machine_report(seen.distinct().union(spark.sql("SELECT 'OFF'")), moves, "click", ["OFF"], seen))
 
 
-@C.add("SELECT count(*) AS blocks, sum(p_size) AS area, round(sum(p_retailprice), 4) AS power, arg_max(p_partkey, (p_retailprice, p_partkey)) AS hungriest, (SELECT count(*) FROM lineitem) AS links FROM part")
+@C.add("SELECT count(*) AS blocks, CAST(sum(p_size) AS BIGINT) AS area, round(sum(p_retailprice), 4) AS power, arg_max(p_partkey, (p_retailprice, p_partkey)) AS hungriest, (SELECT count(*) FROM lineitem) AS links FROM part")
 def design_totals(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("area"), F.col("p_retailprice").alias("power"))
     return rounded(mc.graph_totals(p, table(spark, sf, "lineitem")), 4)
@@ -325,12 +325,12 @@ def divider_resistors(spark, sf):
 @C.add(
     """WITH s AS (SELECT o_orderkey % 200 AS run, CASE WHEN o_custkey % 2 = 0 THEN 'SEL_A' ELSE 'SEL_B' END AS sel, CAST(o_custkey % 3 AS INTEGER) AS idx, o_orderpriority AS pin, round(avg(o_totalprice) - 150000, 4) AS shift FROM orders GROUP BY ALL),
  m AS (SELECT run, sel, idx, arg_max(pin, (shift, pin)) AS gained, arg_min(pin, (shift, pin)) AS dropped FROM s WHERE abs(shift) > 4 * 40000 GROUP BY ALL)
- SELECT run AS run_key, sel, idx, gained, dropped, 'mux-verified' AS category, 'info' AS severity FROM m UNION ALL SELECT DISTINCT run, sel, NULL, NULL, NULL, 'untested-mux', 'high' FROM s WHERE (run, sel) NOT IN (SELECT run, sel FROM m)"""
+ SELECT run AS run_key, sel, CAST(idx AS DOUBLE) AS idx, gained, dropped, 'mux-verified' AS category, 'info' AS severity FROM m UNION ALL SELECT DISTINCT run, sel, NULL, NULL, NULL, 'untested-mux', 'high' FROM s WHERE (run, sel) NOT IN (SELECT run, sel FROM m)"""
 )
 def mux_findings(spark, sf):
     o = table(spark, sf, "orders")
     shifts = o.groupBy((F.col("o_orderkey") % 200).alias("run_key"), F.when(F.col("o_custkey") % 2 == 0, "SEL_A").otherwise("SEL_B").alias("sel"), (F.col("o_custkey") % 3).cast("int").alias("idx"), F.col("o_orderpriority").alias("pin")).agg(F.round(F.avg("o_totalprice") - 150000, 4).alias("shift"))
-    return ins.mux_findings(shifts, shifts.select("run_key", "pin").distinct().withColumn("floor", F.lit(40000.0)))
+    return ins.mux_findings(shifts, shifts.select("run_key", "pin").distinct().withColumn("floor", F.lit(40000.0))).withColumn("idx", F.col("idx").cast("double"))
 
 
 @C.add(
