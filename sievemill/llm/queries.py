@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming_search, html_wrapper, line_dedup, ngram_join, packing, quality_fm, sharding, token_counts, warc
+from . import decontaminate, hamming_search, html_wrapper, line_dedup, near_vectors, negatives, ngram_join, packing, quality_fm, sharding, token_counts, warc, whitening
 from .common import materialise, table
 
 
@@ -57,6 +57,21 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.top_k(codes, codes.filter(F.col("vec_id") % 20 == 0), k=10)
 
 
+def op11_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.usable_rows(table(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+def op12_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_nn_descent_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("audited_recall")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +85,9 @@ QUERIES = {
         op8_factorisation_machine,
         op9_greedy_string_tiling,
         op10_multi_index_hashing,
+        op11_ball_tree_negatives,
+        op12_digit_slice_whitening,
+        op13_nn_descent_near_dedup,
     )
 }
 
@@ -98,4 +116,29 @@ ORACLES = {
               FROM e AS q JOIN e AS r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
         n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
         SELECT query_id, rank, neighbor_id, distance FROM n WHERE rank <= 10""",
+    "op11_ball_tree_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+                   FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS anchor_id, r.vec_id AS id, q.label = r.label AS same,
+                     CAST(list_sum(list_transform(list_zip(q.x, r.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM e AS q JOIN e AS r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id AND len(q.x) = len(r.x)),
+        p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+               p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+        QUALIFY row_number() OVER w <= 5""",
+    "op13_nn_descent_near_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x
+                   FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e AS a JOIN e AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+              WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+        r AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+        n AS (SELECT u, count(*) AS n FROM l GROUP BY u),
+        c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id""",
 }
