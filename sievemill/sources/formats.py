@@ -1,6 +1,7 @@
 """Text formats: value change dumps, ASCII raw files, netlists, check reports, coverage models and dataset CSVs.
 
-Whole files are read by Spark's binary or text source and parsed in tasks, one file at a time.
+Dumps and raw files are read in byte ranges (see lines.py). Netlists, reports and models are small: each is read whole
+by Spark's binary or text source and parsed in a task.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Time units, and the element letters of netlists.
-SECONDS = {"s": 1.0, "ms": 1e-3, "us": 1e-6, "ns": 1e-9, "ps": 1e-12, "fs": 1e-15}
+from sievemill.sources.lines import read_changes, read_points
+
+# The element letters of netlists, and suffixes of numbers.
 ELEMENTS = {"m": ("mosfet", 4), "r": ("resistor", 2), "c": ("capacitor", 2), "l": ("inductor", 2), "v": ("vsource", 2), "i": ("isource", 2), "d": ("diode", 2), "q": ("bjt", 3)}
 SUFFIXES = {"meg": 1e6, "f": 1e-15, "p": 1e-12, "n": 1e-9, "u": 1e-6, "m": 1e-3, "k": 1e3, "g": 1e9, "t": 1e12}
 
@@ -32,59 +34,14 @@ def parse_files(spark: SparkSession, pattern: str, parse: Callable[[str], list[t
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, f"file string, {schema}")
 
 
-def vcd_rows(text: str) -> list[tuple]:
-    """(signal, t seconds, value): bits and vectors as numbers, x and z missing. No timescale means a nanosecond;
-    a file without values is an error."""
-    unit = re.search(r"\$timescale\s+(\d+)\s*(\w+)", text)
-    scale = int(unit[1]) * SECONDS.get(unit[2], 1.0) if unit else 1e-9
-    names = {m[1]: m[2] for m in re.finditer(r"\$var\s+\w+\s+\d+\s+(\S+)\s+(\S+)", text)}
-    out, now = [], 0
-    for line in text.split("$enddefinitions", 1)[-1].splitlines():
-        line = line.strip()
-        if line.startswith("#"):
-            now = int(line[1:])
-        elif m := re.match(r"([01xzXZ])(\S+)$", line) or re.match(r"[bB]([01xzXZ]+)\s+(\S+)$", line):
-            if m[2] in names:
-                out.append((names[m[2]], now * scale, float(int(m[1], 2)) if set(m[1]) <= {"0", "1"} else None))
-    if not out:
-        raise ValueError("no value changes found")
-    return out
-
-
 def read_vcd(spark: SparkSession, pattern: str) -> DataFrame:
-    return parse_files(spark, pattern, vcd_rows, "signal string, t double, value double")
-
-
-def nutmeg_rows(text: str) -> list[tuple]:
-    """(idx, name, kind, value) of an ASCII raw file; a point with another number of values than variables is skipped."""
-    names, kinds, out, part, point = [], [], [], "", []
-
-    def flush() -> None:
-        if len(point) == len(names) and names:
-            idx = len(out) // len(names)
-            out.extend((idx, n, k, v) for n, k, v in zip(names, kinds, point))
-        point.clear()
-
-    for line in text.splitlines():
-        low = line.strip().lower()
-        if low.startswith("variables:"):
-            part = "variables"
-        elif low.startswith("values:"):
-            part = "values"
-        elif part == "variables" and len(line.split()) >= 3:
-            names.append(line.split()[1]), kinds.append(line.split()[2])
-        elif part == "values" and low:
-            words = line.replace(",", " ").split()
-            if not line[:1].isspace() and len(words) >= 2:
-                flush()
-                words = words[1:]
-            point.append(float(words[0]))
-    flush()
-    return out
+    """file, signal, t (seconds) and value of value change dumps; long ones are read in byte ranges."""
+    return read_changes(spark, pattern).withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
 
 
 def read_nutmeg(spark: SparkSession, pattern: str) -> DataFrame:
-    return parse_files(spark, pattern, nutmeg_rows, "idx int, name string, kind string, value double")
+    """file, idx, name, kind and value of ASCII raw files; long ones are read in byte ranges."""
+    return read_points(spark, pattern).withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
 
 
 def spice_number(text: str) -> float | None:

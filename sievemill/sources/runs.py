@@ -7,56 +7,36 @@ delta and quantization.
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievemill.functions.scalar import signal_kind, strip_kind
 from sievemill.functions.session import numbered
+from sievemill.sources.lines import number, read_wide_csv, stem
 
-LONG = "run_id string, signal string, idx int, t double, value double"
 
+def read_wave_csv(spark: SparkSession, *patterns: str, run: Callable[[Column], Column] = stem) -> DataFrame:
+    """Tall samples of CSV files, one run a file, by default named by its stem. The first column is time whatever its name; headers
+    may differ from file to file; cells that are no number are missing; no file at all is an error. Long files are read
+    in byte ranges."""
+    wide = read_wide_csv(spark, *patterns, run=run)
+    few = F.raise_error(F.concat(F.col("run_id"), F.lit(": a time column and one signal at least are needed")))
+    names = F.when(F.size("names") < 2, few.cast("array<string>")).otherwise(F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(1))))
+    each = wide.select("run_id", "idx", number(F.col("cells")[0]).alias("t"), "cells", F.posexplode(names).alias("_k", "signal"))
+    return each.select("run_id", "signal", "idx", "t", number(F.get("cells", F.col("_k") + 1)).alias("value"))
 
-def _parse_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            wide = pd.read_csv(io.BytesIO(content), skipinitialspace=True)
-            if len(wide.columns) < 2:
-                raise ValueError(f"{path}: a time column and one signal at least are needed")
-            wide = wide.apply(pd.to_numeric, errors="coerce")
-            t = wide.iloc[:, 0].to_numpy(dtype=float)
-            run = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            for name in wide.columns[1:]:
-                v = wide[name].to_numpy(dtype=float)
-                yield pd.DataFrame({"run_id": run, "signal": str(name).strip(), "idx": np.arange(len(t), dtype=np.int32), "t": t, "value": pd.array(np.where(np.isnan(v), None, v), dtype="Float64")})
 
-
-def read_wave_csv(spark: SparkSession, *patterns: str) -> DataFrame:
-    """Tall samples of CSV files, one run a file named by its stem. The first column is time whatever its name; headers
-    may differ from file to file; cells that are no number are missing; no file at all is an error."""
-    files = spark.read.format("binaryFile").load(list(patterns)).select("path", "content")
-    return files.mapInPandas(_parse_csv, LONG)
-
-
-def read_table_csv(spark: SparkSession, pattern: str, time: str = "time", span: float = 1e-4) -> DataFrame:
+def read_table_csv(spark: SparkSession, pattern: str, time: str = "time", span: float = 1e-4, run: Callable[[Column], Column] = stem) -> DataFrame:
     """Tall samples of CSV files with a header. Without the named time column the samples of a file are spread evenly
-    over the span; cells that are no number are missing."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                wide = pd.read_csv(io.BytesIO(content), skipinitialspace=True).apply(pd.to_numeric, errors="coerce")
-                t = wide.pop(time).to_numpy(dtype=float) if time in wide else np.linspace(0, span, len(wide))
-                for name in wide.columns:
-                    v = wide[name].to_numpy(dtype=float)
-                    yield pd.DataFrame({"run_id": path.rsplit("/", 1)[-1].rsplit(".", 1)[0], "signal": str(name).strip(), "idx": np.arange(len(t), dtype=np.int32), "t": t, "value": pd.array(np.where(np.isnan(v), None, v), dtype="Float64")})
-
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, LONG)
+    over the span; cells that are no number are missing. Long files are read in byte ranges."""
+    wide = read_wide_csv(spark, pattern, run=run).withColumn("_at", F.array_position("names", time))
+    even = F.col("idx") * (F.lit(span) / F.greatest(F.col("total") - 1, F.lit(1)))
+    t = F.when(F.col("_at") > 0, number(F.get("cells", (F.col("_at") - 1).cast("int")))).otherwise(even)
+    each = wide.select("run_id", "idx", t.alias("t"), "cells", "_at", F.posexplode("names").alias("_k", "signal")).filter("_k <> _at - 1")
+    return each.select("run_id", "signal", "idx", "t", number(F.get("cells", F.col("_k"))).alias("value"))
 
 
 def read_frequency_csv(spark: SparkSession, path: str, freq: str = "freq", real: str = "real", imag: str | None = "imag") -> DataFrame:
