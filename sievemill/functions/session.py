@@ -46,6 +46,17 @@ def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     return done.withColumn("_range", rank).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
 
 
+def numbered_in(df: DataFrame, key: str, name: str, *order: str) -> DataFrame:
+    """df with its place, from 0, within its key: sorted by ranges of key and order, so a key with many rows is cut over
+    tasks, and counted range by range. The order should be total within a key."""
+    done = cut(df.orderBy(key, *order).withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
+    parts = done.groupBy(key, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.withColumn("_start", before).select(F.col(key).alias("_key"), "_range", "_first", "_start")
+    j = done.join(starts, (F.col(key).eqNullSafe(F.col("_key"))) & (done["_range"] == starts["_range"]))
+    return j.withColumn(name, F.col("_start") + F.col("_place") - F.col("_first")).select(*df.columns, name)
+
+
 def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df to be sent to all tasks; raises for more rows than that is meant for."""
     if df.limit(most + 1).count() > most:

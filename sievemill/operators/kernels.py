@@ -258,16 +258,6 @@ def adc_metrics(samples: DataFrame) -> DataFrame:
     return per_group(samples.select("run_key", "idx", "value"), "run_key", "idx", kernel, "snr double, sinad double, enob double, thd double, sfdr double")
 
 
-def smooth(samples: DataFrame) -> DataFrame:
-    """Savitzky-Golay of each run: smoothed value and derivative per sample."""
-
-    def kernel(pdf: pd.DataFrame) -> list[dict]:
-        y, w = pdf["value"].to_numpy(dtype=float), smoothing_window(len(pdf))
-        return [{"idx": int(i), "smooth": float(a), "slope": float(b)} for i, a, b in zip(pdf["idx"], savgol(y, w), savgol(y, w, derivative=1))]
-
-    return per_group(samples.select("run_key", "idx", "value"), "run_key", "idx", kernel, "idx int, smooth double, slope double")
-
-
 def settled_islands(samples: DataFrame, settling: float) -> DataFrame:
     """settles() of each stretch (run_key, island) of one state."""
     from .sequence import with_islands
@@ -277,14 +267,10 @@ def settled_islands(samples: DataFrame, settling: float) -> DataFrame:
 
 
 def identify(series: DataFrame, method: str, order: int) -> DataFrame:
-    """Poles of each network from rows (network, idx, dt, u, y), by prony, era or arx."""
-
-    def kernel(pdf: pd.DataFrame) -> list[dict]:
-        y, u, dt = pdf["y"].to_numpy(), pdf["u"].to_numpy(), float(pdf["dt"].iloc[0])
-        p = {"prony": lambda: prony(y, dt, order)[0], "era": lambda: era(y, dt, order), "arx": lambda: arx(u, y, dt, order)}[method]()
-        return [{"k": i, "re": float(x.real), "im": float(x.imag)} for i, x in enumerate(p)]
+    """Poles of each network from rows (network, idx, dt, u, y), by prony, era or arx, over sums of lagged products."""
+    from .lagged import identify as by_sums
 
-    return per_group(series, "network", "idx", kernel, "k int, re double, im double")
+    return by_sums(series, method, order)
 
 
 def spectrum(x: np.ndarray, y: np.ndarray, fs: float, segment: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +280,7 @@ def spectrum(x: np.ndarray, y: np.ndarray, fs: float, segment: int = 256) -> tup
         raise ValueError("too few samples")
     w = np.hanning(n + 1)[:-1]
     sxx, sxy = np.zeros(n // 2 + 1), np.zeros(n // 2 + 1, dtype=complex)
-    for k in range(0, len(x) - n + 1, max(1, n // 2)):
+    for k in range(0, len(x) - n + 1, n - n // 2):
         a, b = (np.fft.rfft((z[k : k + n] - z[k : k + n].mean()) * w) for z in (x, y))
         sxx += np.abs(a) ** 2
         sxy += a.conj() * b
