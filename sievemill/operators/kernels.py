@@ -146,67 +146,95 @@ def arx(u: np.ndarray, y: np.ndarray, dt: float, order: int) -> np.ndarray:
     return poles_of_roots(np.roots(np.r_[1, -coefs[:order]]), dt)
 
 
-def vector_fit(s: np.ndarray, h: np.ndarray, order: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, float]:
-    """Poles, residues and constant of h(s): poles are relocated to the zeros of a fitted weight, unstable ones are
-    mirrored, and the residues come from a last linear fit. Rows are weighted by 1 / |h|."""
-    top, low = np.abs(s).max(), max(np.abs(s).min(), np.abs(s).max() * 1e-3)
+def start_poles(low: float, top: float, order: int) -> np.ndarray:
+    """Weakly damped pairs spread over the frequencies, and for odd orders one real pole."""
+    low = max(low, top * 1e-3)
+    pairs = lambda betas: [p for b in betas for p in (-b / 100 + 1j * b, -b / 100 - 1j * b)]
     if order % 2:
         beta = np.geomspace(low, top, order // 2 + 1)
-        poles = np.r_[-beta[0] + 0j, *(p for b in beta[1:] for p in (-b / 100 + 1j * b, -b / 100 - 1j * b))]
-    else:
-        poles = np.array([p for b in np.geomspace(low, top, order // 2) for p in (-b / 100 + 1j * b, -b / 100 - 1j * b)])
-    weight = 1 / np.maximum(np.abs(h), 1e-30)
-
-    def basis(poles: np.ndarray) -> np.ndarray:
-        cols, k = [], 0
-        while k < len(poles):
-            p = poles[k]
-            if abs(p.imag) > 1e-9 * abs(p):
-                a, b = 1 / (s - p), 1 / (s - p.conjugate())
-                cols += [a + b, 1j * (a - b)]
-                k += 2
-            else:
-                cols.append(1 / (s - p.real))
-                k += 1
-        return np.column_stack(cols)
-
-    def solve(m: np.ndarray, y: np.ndarray) -> np.ndarray:
-        m, y = m * weight[:, None], y * weight
-        scale = np.maximum(np.linalg.norm(m, axis=0), 1e-300)
-        return np.linalg.lstsq(np.r_[m.real, m.imag] / scale, np.r_[y.real, y.imag], rcond=None)[0] / scale
-
-    def paired(p: np.ndarray) -> np.ndarray:
-        up = p[p.imag > 1e-9 * np.abs(p)]
-        real = p[np.abs(p.imag) <= 1e-9 * np.abs(p)].real
-        return np.r_[real.astype(complex), *(q for x in up for q in (x, x.conjugate()))]
-
-    poles = paired(poles)
-    for _ in range(rounds):
-        f = basis(poles)
-        x = solve(np.column_stack([f, np.ones(len(s)), -f * h[:, None]]), h)[len(poles) + 1 :]
-        a, b, k = np.zeros((len(poles), len(poles))), np.zeros(len(poles)), 0
-        while k < len(poles):
-            p = poles[k]
-            if abs(p.imag) > 1e-9 * abs(p):
-                a[k : k + 2, k : k + 2] = [[p.real, p.imag], [-p.imag, p.real]]
-                b[k] = 2
-                k += 2
-            else:
-                a[k, k], b[k] = p.real, 1
-                k += 1
-        new = np.linalg.eigvals(a - np.outer(b, x)).astype(complex)
-        poles = paired(np.where(new.real > 0, -new.real + 1j * new.imag, new))
-        if len(poles) != order:
-            break
-    f = basis(poles)
-    x, out, k = solve(np.column_stack([f, np.ones(len(s))]), h), np.zeros(len(poles), dtype=complex), 0
+        return paired(np.array([-beta[0] + 0j, *pairs(beta[1:])]))
+    return paired(np.array(pairs(np.geomspace(low, top, order // 2))))
+
+
+def is_pair(p: complex) -> bool:
+    return abs(p.imag) > 1e-9 * abs(p)
+
+
+def paired(p: np.ndarray) -> np.ndarray:
+    """Real poles, then conjugate pairs side by side."""
+    up = p[p.imag > 1e-9 * np.abs(p)]
+    real = p[np.abs(p.imag) <= 1e-9 * np.abs(p)].real
+    return np.r_[real.astype(complex), *(q for x in up for q in (x, x.conjugate()))]
+
+
+def pole_basis(s: np.ndarray, poles: np.ndarray) -> np.ndarray:
+    """A column a pole, so that real coefficients give real responses."""
+    cols, k = [], 0
+    while k < len(poles):
+        p = poles[k]
+        if is_pair(p):
+            a, b = 1 / (s - p), 1 / (s - p.conjugate())
+            cols += [a + b, 1j * (a - b)]
+            k += 2
+        else:
+            cols.append(1 / (s - p.real))
+            k += 1
+    return np.column_stack(cols)
+
+
+def weighted_rows(s: np.ndarray, h: np.ndarray, poles: np.ndarray, relocate: bool) -> np.ndarray:
+    """Real rows [basis, 1, -basis h | h] to relocate poles, or [basis, 1 | h] for residues, weighted by 1 / |h|."""
+    f, one = pole_basis(s, poles), np.ones(len(s))
+    m = np.column_stack([f, one, -f * h[:, None], h] if relocate else [f, one, h]) / np.maximum(np.abs(h), 1e-30)[:, None]
+    return np.r_[m.real, m.imag]
+
+
+def least_squares(rows: np.ndarray) -> np.ndarray:
+    """Coefficients of the last column by the others, columns scaled to one."""
+    a, b = rows[:, :-1], rows[:, -1]
+    scale = np.maximum(np.linalg.norm(a, axis=0), 1e-300)
+    return np.linalg.lstsq(a / scale, b, rcond=None)[0] / scale
+
+
+def relocated(rows: np.ndarray, poles: np.ndarray) -> np.ndarray:
+    """Poles moved to the zeros of the fitted weight; unstable ones are mirrored."""
+    x = least_squares(rows)[len(poles) + 1 :]
+    a, b, k = np.zeros((len(poles), len(poles))), np.zeros(len(poles)), 0
+    while k < len(poles):
+        p = poles[k]
+        if is_pair(p):
+            a[k : k + 2, k : k + 2] = [[p.real, p.imag], [-p.imag, p.real]]
+            b[k] = 2
+            k += 2
+        else:
+            a[k, k], b[k] = p.real, 1
+            k += 1
+    new = np.linalg.eigvals(a - np.outer(b, x)).astype(complex)
+    return paired(np.where(new.real > 0, -new.real + 1j * new.imag, new))
+
+
+def residues_of(rows: np.ndarray, poles: np.ndarray) -> tuple[np.ndarray, float]:
+    x, out, k = least_squares(rows), np.zeros(len(poles), dtype=complex), 0
     while k < len(poles):
-        if abs(poles[k].imag) > 1e-9 * abs(poles[k]):
+        if is_pair(poles[k]):
             out[k], out[k + 1] = x[k] + 1j * x[k + 1], x[k] - 1j * x[k + 1]
             k += 2
         else:
             out[k], k = x[k], k + 1
-    return poles, out, float(x[-1])
+    return out, float(x[-1])
+
+
+def vector_fit(s: np.ndarray, h: np.ndarray, order: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, float]:
+    """Poles, residues and constant of h(s): poles are relocated to the zeros of a fitted weight, unstable ones are
+    mirrored, and the residues come from a last linear fit. Rows are weighted by 1 / |h|."""
+    poles = start_poles(np.abs(s).min(), np.abs(s).max(), order)
+    for _ in range(rounds):
+        new = relocated(weighted_rows(s, h, poles, True), poles)
+        if len(new) != order:
+            break
+        poles = new
+    out, const = residues_of(weighted_rows(s, h, poles, False), poles)
+    return poles, out, const
 
 
 def settles(t: np.ndarray, v: np.ndarray, settling: float, least: int = 5, rel: float = 0.01, eps: float = 1e-6) -> bool:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from sievemill.functions.session import numbered_in
+from sievemill.functions.session import cut, numbered_in
 from sievemill.operators import kernels as k
-from sievemill.operators import lagged, smoothing, spectra
+from sievemill.operators import lagged, responses, smoothing, spectra
 
 from .inputs import SAMPLES_SQL as S
 from .inputs import Catalog, rounded, samples, table
@@ -67,6 +69,16 @@ def averaged_spectra(spark, sf):
     return found.select("run_key", F.round("freq", 6).alias("freq"), F.round("gain", 3).alias("gain"), "segments")
 
 
+@C.add()
+def fitted_spectra(spark, sf):
+    """Two poles of each supplier's transfer from quantity to price, from its averaged spectrum. Both are unrelated in
+    the test tables, so the fit shows that the numbers are right, no more."""
+    found = spectra.transfer(lines(spark, sf).withColumn("dt", F.lit(1.0))).filter("freq > 0")
+    rows = cut(found.select(F.col("run_key").cast("string").alias("network"), (F.col("freq") * 2 * math.pi).alias("w"), "re", "im"))
+    model = responses.fit_responses(rows, 2, rounds=8)
+    return model.join(responses.response_errors(rows, model), "network")
+
+
 @C.add()
 def settled_stretches(spark, sf):
     return k.settled_islands(samples(spark, sf), 3600.0)

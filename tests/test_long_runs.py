@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemill.functions.session import numbered_in
-from sievemill.operators import cuts, kernels, lagged, smoothing, spectra
+from sievemill.operators import cuts, kernels, lagged, responses, smoothing, spectra
 
 SAMPLES = "run_key string, idx int, value double"
 
@@ -133,3 +133,49 @@ def test_a_long_run_is_many_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for rows, keys in ((cuts.with_halo(df, 5), ["run_key", "piece"]), (df.withColumn("block", F.floor(F.col("idx") / 64)), ["run_key", "block"])):
         assert rows.repartition(n, *keys).select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
+# The three cases that the reference bounds: a smooth pair, a resonance, and five poles with noise.
+CASES = {
+    "pair": ([-2e3, -4e4], [1e3, 2e4], 0.0, 1e-6),
+    "resonance": ([-1e3 + 9e3j, -1e3 - 9e3j, -4e4], [2e3 + 1e3j, 2e3 - 1e3j, 3e4], 0.0, 1e-4),
+    "noise": ([-500 + 2e4j, -500 - 2e4j, -3e3 + 8e4j, -3e3 - 8e4j, -1e3], [4e3, 4e3, 2e3 + 5e3j, 2e3 - 5e3j, 1e3], 1e-5, 1e-3),
+}
+
+
+def test_responses_are_fitted(spark):
+    """Within the bounds for each, whatever the partitions; one network has a third of all rows and more."""
+    rng = np.random.default_rng(3)
+    rows, truth = [], {}
+    for name, (poles, residues, noise, _) in CASES.items():
+        w = np.geomspace(1e2, 1e6, 4000 if name == "pair" else 400)
+        h = sum(r / (1j * w - p) for p, r in zip(poles, residues)) + 0.1
+        h = h * (1 + noise * (rng.normal(size=len(w)) + 1j * rng.normal(size=len(w))))
+        truth[name] = (w, h)
+        rows += [(name, float(a), float(b.real), float(b.imag)) for a, b in zip(w, h)]
+    df = spark.createDataFrame([*rows, ("few", 1.0, 1.0, 0.0), ("pair", 2.0, None, 0.0)], "network string, w double, re double, im double").repartition(5)
+    for name, (poles, _, _, bound) in CASES.items():
+        model = responses.fit_responses(df.filter(F.col("network").isin(name, "few")), len(poles)).collect()
+        found = np.array([complex(r["re"], r["im"]) for r in model])
+        w, h = truth[name]
+        fit = sum(complex(r["residue_re"], r["residue_im"]) / (1j * w - p) for r, p in zip(model, found)) + model[0]["constant"]
+        assert {r["network"] for r in model} == {name} and np.abs(fit - h).max() / np.abs(h).max() < bound
+        assert max(min(abs(found - p)) / abs(p) for p in poles) < 100 * bound
+        errors = responses.response_errors(df.na.drop(), spark.createDataFrame(model)).first()
+        assert errors["worst"] == pytest.approx(np.abs(fit - h).max() / np.abs(h).max(), rel=1e-3, abs=1e-12) and errors["n"] == len(w)
+
+
+def test_fitted_spectra_equal_the_kernel(spark, sf_dir):
+    from sievemill.plans import kernel_queries as q
+
+    got = q.fitted_spectra(spark, sf_dir).toPandas()
+    x = q.averaged_spectra(spark, sf_dir).toPandas()
+    assert set(got["network"]) == set(x["run_key"].astype(str)) and (got["n"] == 128).all() and (got["rms"] < got["worst"]).all()
+    lines = q.lines(spark, sf_dir).toPandas().sort_values(["run_key", "idx"])
+    same = 0
+    for k, g in lines.groupby("run_key"):
+        f, h = kernels.spectrum(g["x"].to_numpy(), g["y"].to_numpy(), 1.0)
+        poles, _, const = kernels.vector_fit(2j * np.pi * f[1:], h[1:], 2, 8)
+        own = got[got["network"] == str(k)]
+        same += np.allclose(np.sort_complex(own["re"] + 1j * own["im"]), np.sort_complex(poles), rtol=1e-3) and abs(own["constant"].iloc[0] - const) < 1e-3 * abs(const)
+    assert same >= 0.9 * lines["run_key"].nunique()  # eight rounds on noise may part from tiny differences
