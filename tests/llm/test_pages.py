@@ -397,3 +397,17 @@ def test_search_is_exact(spark, shard_rows, block_queries):
 def test_query_and_sql(spark, sf_dir, name):
     want = connect(sf_dir).execute(queries.ORACLES[name]).df()
     assert rows(queries.QUERIES[name](spark, sf_dir).toPandas()) == rows(want)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<article><h2 id="search-trees">Search trees</h2><p>Balanced.</p></article>', "Search trees\nBalanced."),
+        ('<main><p class="lead social-history">Once.</p><div class="related">more</div></main>', "Once."),
+        ('<article><p>A <a class="related">linked word</a> and <span id="ad">one more</span>.</p></article>', "A linked word and one more."),
+        ('<article><p>whole</p><p title="x>abc</p></article>', "whole"),
+        ('<article><p>a < b</p></article><p class="share">s</p><a href="x', "a < b"),
+    ],
+)
+def test_text_of_articles_stays_whatever_its_names(html, text):
+    assert html_wrapper.Extractor(None).text(html) == text
