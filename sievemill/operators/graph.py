@@ -89,34 +89,23 @@ def _cosine(a: Column, b: Column, eps: float) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (norm(a) * norm(b))
 
 
-def cosine_neighbours(items: DataFrame, queries: DataFrame, k: int, eps: float = 1e-8, block: int = 2000) -> DataFrame:
-    """query, rank, i, sim: the k items (i, iv) nearest to each query (i, iv), ties by id. Queries come in blocks of a
-    bounded number, each held against all items by matrix products in a scan that keeps k rows a query and batch."""
+def cosine_neighbours(items: DataFrame, queries: DataFrame, k: int, eps: float = 1e-8) -> DataFrame:
+    """query, rank, i, sim: the k items (i, iv) nearest to each query (i, iv) by cosine (eps is added to each norm), ties
+    by id. Blocks of queries meet those blocks of items that may hold one of the k nearest; see blocks.py."""
     import numpy as np
-    import pandas as pd
-
-    ids = numbered(queries.select("i", "iv"), "_k", "i")
-    out = None
-    for b in range(-(-ids.count() // block)):
-        own = ids.filter((F.col("_k") >= b * block) & (F.col("_k") < (b + 1) * block)).collect()  # one block of vectors
-        q, names = np.array([r["iv"] for r in own], dtype=float), np.array([r["i"] for r in own], dtype=np.int64)
-
-        def best(batches, q=q, names=names):
-            q_norm = np.sqrt((q * q).sum(axis=1)) + eps
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v, i = np.array(pdf["iv"].tolist(), dtype=float), pdf["i"].to_numpy()
-                sim = np.round((q @ v.T) / (q_norm[:, None] * (np.sqrt((v * v).sum(axis=1)) + eps)), 12)  # equal vectors tie
-                n = min(k, len(i))
-                least = np.partition(sim, len(i) - n, axis=1)[:, len(i) - n]
-                a, c = np.nonzero(sim >= least[:, None])
-                yield pd.DataFrame({"query": names[a], "i": i[c], "sim": sim[a, c]})
-
-        part = items.select("i", "iv").mapInPandas(best, "query long, i long, sim double")
-        out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "i"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "i", "sim")
+
+    from .blocks import nearest_points
+
+    def shaped(df: DataFrame) -> DataFrame:
+        v = F.transform("iv", lambda x: x.cast("double"))
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)) + eps
+        return df.select(F.col("i").cast("long").alias("id"), F.transform(v, lambda x: x / norm).alias("x"), F.lit(0).cast("long").alias("tag"))
+
+    far = lambda q, _, p, __: -np.round(q @ p.T, 12)  # noqa: E731  equal vectors tie
+    # |q - p|^2 = |q|^2 + |p|^2 - 2 cos, and both lengths are one but for eps and null vectors
+    reach = lambda d: F.sqrt(F.greatest(2.0 + 2.0 * d + 1e-6, F.lit(0.0)))
+    found = nearest_points(shaped(queries), shaped(items), k, far, reach)
+    return found.select(F.col("id").alias("query"), "rank", F.col("point").alias("i"), (-F.col("distance")).alias("sim"))
 
 
 def link_weights(links: DataFrame, order: str) -> DataFrame:

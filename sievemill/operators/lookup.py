@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.functions.session import bounded
+from sievemill.functions.session import bounded, cut, numbered
 
 
 def map_names(rows: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -33,16 +33,17 @@ def suggest(names: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def nearest(rows: DataFrame, grid: DataFrame, v_scale: float, t_scale: float, penalty: float = 10.0) -> DataFrame:
     """For each row (id, v, t, process) the grid point (corner, gv, gt, gprocess) at the smallest scaled squared
-    distance, a different process costing `penalty`; the first corner of equals. The grid, a dimension, is one array,
-    and each row takes its minimum over it: no shuffle."""
+    distance, a different process costing `penalty`; the first corner of equals. Rows and grid may have any size: they
+    meet in blocks near each other, see blocks.py."""
+    from .blocks import nearest_points
 
-    def far(g: Column) -> Column:
-        d = ((F.col("v") - g["gv"]) / v_scale) ** 2 + ((F.col("t") - g["gt"]) / t_scale) ** 2 + F.when(F.col("process") == g["gprocess"], 0.0).otherwise(penalty)
-        return F.struct(d.alias("distance"), g["corner"].alias("corner"))
+    def far(x, tag, p, ptag):
+        return ((x[:, :1] - p[:, 0]) ** 2 + (x[:, 1:] - p[:, 1]) ** 2) + (tag[:, None] != ptag) * penalty
 
-    best = F.array_min(F.transform("_grid", far))
-    found = rows.join(in_one_row(grid, "_grid")).select("id", best.alias("_best"))
-    return found.select("id", "_best.corner", "_best.distance").filter("corner IS NOT NULL")
+    at = lambda df, key, v, t, process: df.select(F.col(key).cast("long").alias("id"), F.array(F.col(v) / v_scale, F.col(t) / t_scale).alias("x"), F.xxhash64(process).alias("tag"))
+    own = cut(rows.select("id", "v", "t", "process").withColumn("_row", F.monotonically_increasing_id()))
+    found = nearest_points(at(own, "_row", "v", "t", "process"), at(grid, "corner", "gv", "gt", "gprocess"), 1, far, F.sqrt)
+    return own.select("id", "_row").join(found.withColumnRenamed("id", "_row"), "_row").select("id", F.col("point").alias("corner"), "distance")
 
 
 def in_one_row(dimension: DataFrame, name: str, most: int = 100_000) -> DataFrame:
@@ -76,9 +77,16 @@ def bilinear(rows: DataFrame, grid: DataFrame) -> DataFrame:
 
 def bilinear_or_nearest(rows: DataFrame, grid: DataFrame) -> DataFrame:
     """bilinear, and the value of the nearest grid point, the smallest (gx, gy) of equals, where that gives null."""
-    far = lambda g: F.struct(((F.col("x") - g["gx"]) ** 2 + (F.col("y") - g["gy"]) ** 2).alias("d"), g["gx"].alias("gx"), g["gy"].alias("gy"), g["gz"].alias("gz"))
-    near = rows.join(in_one_row(grid.select("gx", "gy", "gz"), "_grid")).withColumn("_near", F.array_min(F.transform("_grid", far))["gz"]).drop("_grid")
-    return _interpolated(near, grid).select("id", F.coalesce("z", "_near").alias("z"), F.col("z").isNull().alias("fallback"))
+    from .blocks import nearest_points
+
+    far = lambda x, _, p, __: (x[:, :1] - p[:, 0]) ** 2 + (x[:, 1:] - p[:, 1]) ** 2
+    points = cut(numbered(grid.select("gx", "gy", "gz"), "_k", "gx", "gy", "gz"))
+    told = cut(_interpolated(rows, grid).withColumn("_row", F.monotonically_increasing_id()))
+    lost = told.filter("z IS NULL AND x IS NOT NULL AND y IS NOT NULL")
+    at = lambda df, key, x, y: df.select(F.col(key).cast("long").alias("id"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("x"), F.lit(0).cast("long").alias("tag"))
+    near = nearest_points(at(lost, "_row", "x", "y"), at(points, "_k", "gx", "gy"), 1, far, F.sqrt)
+    near = near.join(points.select(F.col("_k").alias("point"), F.col("gz").alias("_near")), "point").select(F.col("id").alias("_row"), "_near")
+    return told.join(near, "_row", "left").select("id", F.coalesce("z", "_near").alias("z"), F.col("z").isNull().alias("fallback"))
 
 
 def same_family(detail: Column, reference: Column) -> Column:

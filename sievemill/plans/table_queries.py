@@ -47,16 +47,14 @@ def name_suggestions(spark, sf):
 
 
 @C.add(
-    """WITH g AS (SELECT s_nationkey * 3 + s_suppkey % 3 AS corner, max(s_acctbal) AS gv, CAST(s_nationkey AS DOUBLE) AS gt, CAST(s_suppkey % 3 AS INTEGER) AS gp FROM supplier GROUP BY s_nationkey, s_suppkey % 3),
+    """WITH g AS (SELECT s_suppkey AS corner, s_acctbal AS gv, CAST(s_nationkey AS DOUBLE) AS gt, CAST(s_suppkey % 3 AS INTEGER) AS gp FROM supplier),
  r AS (SELECT c_custkey AS id, c_acctbal AS v, CAST(c_nationkey AS DOUBLE) AS t, CAST(c_custkey % 3 AS INTEGER) AS p FROM customer),
  d AS (SELECT id, corner, ((v - gv) / 1000) * ((v - gv) / 1000) + ((t - gt) / 5) * ((t - gt) / 5) + CASE WHEN p = gp THEN 0 ELSE 10 END AS d FROM r, g)
  SELECT id, arg_min(corner, (d, corner)) AS corner, round(min(d), 6) AS distance FROM d GROUP BY id"""
 )
 def nearest_corner(spark, sf):
-    """A grid corner for each nation and process of all suppliers."""
-    process = (F.col("s_suppkey") % 3).cast("int")
-    grid = table(spark, sf, "supplier").groupBy("s_nationkey", process.alias("gprocess")).agg(F.max("s_acctbal").alias("gv"))
-    grid = grid.select((F.col("s_nationkey") * 3 + F.col("gprocess")).cast("long").alias("corner"), "gv", F.col("s_nationkey").cast("double").alias("gt"), "gprocess")
+    """Every supplier is a corner, every customer a row."""
+    grid = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("corner"), F.col("s_acctbal").alias("gv"), F.col("s_nationkey").cast("double").alias("gt"), (F.col("s_suppkey") % 3).cast("int").alias("gprocess"))
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.col("c_nationkey").cast("double").alias("t"), (F.col("c_custkey") % 3).cast("int").alias("process"))
     return rounded(lk.nearest(rows, grid, 1000.0, 5.0))
 
