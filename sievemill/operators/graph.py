@@ -42,11 +42,31 @@ def longest_path(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     return best
 
 
-def net_edges(components: DataFrame) -> DataFrame:
-    """Pairs of components on a common net, from (component, nets): one edge for each net they share."""
+def net_edges(components: DataFrame, most: int | None = None, size: int = 2048) -> DataFrame:
+    """Pairs of components on a common net, from (component, nets): one edge for each net they share. A net of more
+    than `size` components is cut into groups, and each pair of groups is dealt out by itself, so one supply net is
+    many tasks' work. Its pairs grow with the square of its components all the same: `most` leaves nets of more
+    components out here, for net_members to tell."""
+    on, n = _on_nets(components)
+    on = on.join(n if most is None else n.filter(F.col("n") <= most), "net")
+    groups = F.ceil(F.col("n") / size).cast("long")
+    own = on.withColumn("_b", F.pmod(F.xxhash64("component"), groups)).withColumn("_n", groups)
+    low = own.select("net", F.col("component").alias("a"), F.col("_b").alias("_p"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_q"))
+    high = own.select("net", F.col("component").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_p"), F.col("_b").alias("_q"))
+    pairs = low.join(high, ["net", "_p", "_q"]).filter((F.col("_p") < F.col("_q")) | (F.col("a") < F.col("b")))
+    return pairs.select("net", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def net_members(components: DataFrame, least: int) -> DataFrame:
+    """net, n and component of the nets with more than `least` components: the form for supplies and other nets whose
+    pairs would be too many; two components on such a net share its row."""
+    on, n = _on_nets(components)
+    return on.join(n.filter(F.col("n") > least), "net").select("net", "n", "component")
+
+
+def _on_nets(components: DataFrame) -> tuple[DataFrame, DataFrame]:
     on = components.select("component", F.explode(F.array_distinct("nets")).alias("net")).distinct()
-    a, b = on.select(F.col("component").alias("a"), "net"), on.select(F.col("component").alias("b"), "net")
-    return a.join(b, "net").filter("a < b").select("net", "a", "b")
+    return on, on.groupBy("net").agg(F.count(F.lit(1)).alias("n"))
 
 
 def degree_histogram(edges: DataFrame, bins: int = 10, top: int = 20) -> DataFrame:

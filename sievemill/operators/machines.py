@@ -7,15 +7,33 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.session import bounded
 
-from .sequence import classify_digital
+from .cuts import with_halo
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
 
+def column_kinds(wide: DataFrame, names: list[str], low: float = 0.15, high: float = 0.85, mean_below: float = 0.05, max_below: float = 0.5) -> DataFrame:
+    """signal, mean_share, max_share and digital of the columns (run_key, idx, t, names...), all in one pass: the share
+    of its time that a run spends strictly between the two levels of the signal's range, over the runs. A signal that
+    never changes spends none."""
+    by = Window.partitionBy("run_key", "piece").orderBy("idx")
+    held = F.greatest(F.coalesce(F.lead("t").over(by) - F.col("t"), F.lit(0.0)), F.lit(0.0))
+    rows = with_halo(wide, 0, 1).withColumn("_w", held).filter("own")
+    pairs = F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("value")) for n in names])
+    tall = rows.select("run_key", "_w", F.explode(pairs).alias("p")).select("run_key", "_w", "p.*")
+    span = tall.groupBy("signal").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row a signal
+    z = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
+    inside = F.sum(F.when((z > low) & (z < high), F.col("_w")).otherwise(0.0))
+    shares = tall.join(span, "signal").groupBy("signal", "run_key").agg(F.try_divide(inside, F.sum("_w")).alias("share"))
+    out = shares.groupBy("signal").agg(F.avg("share").alias("mean_share"), F.max("share").alias("max_share"))
+    return out.withColumn("digital", (F.col("mean_share") < mean_below) & (F.col("max_share") < max_below))
+
+
 def digital_columns(wide: DataFrame, names: list[str], inputs: list[str], outputs: list[str]) -> list[str]:
     """Digital signals of the columns (run_key, idx, t, names...): the declared inputs among them or, without any, all
-    that are no outputs. One classification row a signal reaches the driver."""
-    digital = [n for n in names if classify_digital(wide.select("run_key", "idx", "t", F.col(n).alias("value"))).first()["digital"]]
+    that are no outputs. One row a signal reaches the driver."""
+    found = {r["signal"] for r in column_kinds(wide, names).filter("digital").select("signal").collect()}
+    digital = [n for n in names if n in found]
     return [n for n in digital if n in inputs] or [n for n in digital if n not in outputs]
 
 

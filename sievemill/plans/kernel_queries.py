@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.session import cut, numbered_in
 from sievemill.operators import kernels as k
+from sievemill.operators import machines as mc
 from sievemill.operators import lagged, responses, smoothing, spectra
 
 from .inputs import SAMPLES_SQL as S
@@ -125,4 +126,18 @@ def price_modes(spark, sf):
     return rounded(lagged.identify(rows, "prony", 2).select("network", (F.col("re") + 0.0).alias("re"), (F.col("im") + 0.0).alias("im")), 4)
 
 
+@C.add(
+    LINES_SQL
+    + """, v AS (SELECT run_key, x, y, CASE WHEN idx % 7 > 2 THEN 1.0 ELSE 0.0 END AS enable, CASE WHEN idx + 1 < n THEN 1.0 ELSE 0.0 END AS w FROM l),
+ u AS (SELECT run_key, w, unnest(['quantity', 'price', 'enable']) AS signal, unnest([x, y, enable]) AS value FROM v),
+ z AS (SELECT run_key, w, u.signal, (value - lo) / (hi - lo) AS z FROM u JOIN (SELECT signal, min(value) AS lo, max(value) AS hi FROM u GROUP BY signal) AS r USING (signal)),
+ s AS (SELECT signal, run_key, sum(CASE WHEN z > 0.15 AND z < 0.85 THEN w ELSE 0 END) / nullif(sum(w), 0) AS share FROM z GROUP BY signal, run_key)
+ SELECT signal, round(avg(share), 6) AS mean_share, round(max(share), 6) AS max_share, avg(share) < 0.05 AND max(share) < 0.5 AS digital FROM s GROUP BY signal"""
+)
+def signal_kinds(spark, sf):
+    """Which of three columns of the order lines are digital."""
+    wide = lines(spark, sf).select("run_key", "idx", F.col("idx").cast("double").alias("t"), F.col("x").alias("quantity"), F.col("y").alias("price"), (F.col("idx") % 7 > 2).cast("double").alias("enable"))
+    return rounded(mc.column_kinds(wide, ["quantity", "price", "enable"]))
+
+
 QUERIES, ORACLES = C.queries, C.oracles

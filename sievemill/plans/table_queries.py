@@ -135,6 +135,13 @@ def shared_net_edges(spark, sf):
     return g.net_edges(li)
 
 
+@C.add("WITH t AS (SELECT DISTINCT l_returnflag AS net, l_orderkey AS component FROM lineitem), n AS (SELECT net, count(*) AS n FROM t GROUP BY net HAVING count(*) > 500) SELECT net, n, component FROM t JOIN n USING (net)")
+def supply_net_members(spark, sf):
+    """Three nets with a third of all orders each, told by membership."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("component"), F.array("l_returnflag").alias("nets"))
+    return g.net_members(li, 500)
+
+
 @C.add("WITH d AS (SELECT n, count(*) AS d FROM (SELECT o_custkey AS n FROM orders UNION ALL SELECT o_orderkey + 1000000000 FROM orders) GROUP BY n) SELECT CAST(least(d * 10 // 20, 9) AS INTEGER) AS bin, count(*) AS nodes FROM d WHERE d <= 20 GROUP BY 1")
 def degree_histogram(spark, sf):
     return g.degree_histogram(table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1000000000).alias("b")))

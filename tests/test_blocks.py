@@ -60,3 +60,14 @@ def test_nearest_corner_with_missing_processes(spark):
     grid = spark.createDataFrame([(10, 1.0, 20.0, "FF"), (11, 1.2, 25.0, "TT"), (12, 4.0, 0.0, "SS")], "corner long, gv double, gt double, gprocess string")
     got = {r["id"]: (r["corner"], round(r["distance"], 6)) for r in lookup.nearest(rows, grid, 1.0, 10.0).collect()}
     assert got == {1: (11, 0.29), 2: (12, 11.0), 3: (10, 10.0)}
+
+
+def test_large_nets_are_cut(spark):
+    """The pairs are the same however a net is cut, and large nets can be told by membership."""
+    rows = [(i, ["vdd", "vdd", f"n{i % 7}"]) for i in range(60)] + [(90, [])]
+    df = spark.createDataFrame(rows, "component int, nets array<string>")
+    want = sorted([("vdd", a, b) for a in range(60) for b in range(a + 1, 60)] + [(f"n{a % 7}", a, b) for a in range(60) for b in range(a + 7, 60, 7)])
+    for size in (2048, 16, 7):
+        assert sorted(map(tuple, graph.net_edges(df, size=size).collect())) == want
+    assert sorted(map(tuple, graph.net_edges(df, most=20).collect())) == [t for t in want if t[0] != "vdd"]
+    assert sorted(map(tuple, graph.net_members(df, 20).collect())) == [("vdd", 60, i) for i in range(60)]
