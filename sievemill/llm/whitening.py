@@ -181,11 +181,26 @@ def fit(distinct: DataFrame, components: int = 4) -> Whitening | None:
     while parts > 1:
         sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("_of")).applyInPandas(_merged, PARTIAL)
         parts = -(-parts // FAN_IN)
-    row = sums.first()
+    row = sums.mapInPandas(_decompose(components), SOLVED).first()
     if row is None:
         return None
-    d = row["dim"]
-    return decomposed(row["n"], whole(_digits(bytes(row["s"]), d)), whole(_digits(bytes(row["g"]), d, d)), components)
+    d = len(row["sums"])
+    return Whitening(row["n"], np.array([int(s) for s in row["sums"]], dtype=object), np.frombuffer(bytes(row["axes"])).reshape(d, -1), np.array(row["e"]), row["trace"])
+
+
+SOLVED = "n long, sums array<string>, axes binary, e array<double>, trace double"
+
+
+def _decompose(components: int):
+    """decomposed, in a task: there numpy runs one thread, and the driver holds no matrix but the components."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                m = decomposed(r.n, whole(_digits(r.s, r.dim)), whole(_digits(r.g, r.dim, r.dim)), components)
+                yield pd.DataFrame({"n": [m.n], "sums": [list(map(str, m.sums))], "axes": [m.axes.tobytes()], "e": [m.e.tolist()], "trace": [m.trace]})
+
+    return run
 
 
 def centred(x: np.ndarray, m: Whitening) -> np.ndarray:
