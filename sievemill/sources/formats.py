@@ -49,43 +49,78 @@ def spice_number(text: str) -> float | None:
     return float(m[1]) * SUFFIXES.get(m[2], 1.0) if m else None
 
 
-def netlist_rows(text: str) -> list[tuple]:
-    """(component, type, nets, model, params) of the cards of a netlist; + continues a card, * and ; begin comments,
-    .param values stand for their names."""
+def cards_of(text: str) -> list[str]:
+    """The cards of a netlist: + continues one, and so does a backslash at a line's end; * // and ; begin comments."""
     cards: list[str] = []
+    joins = False
     for line in text.splitlines():
-        line = re.split(r";|\$ ", line, maxsplit=1)[0].rstrip()
-        if line.startswith("+") and cards:
-            cards[-1] += " " + line[1:]
-        elif line.strip() and not line.startswith("*"):
-            cards.append(line.strip())
+        line = re.split(r";|\$ |//", line, maxsplit=1)[0].rstrip()
+        if (line.startswith("+") or joins) and cards:
+            cards[-1] += " " + line.removeprefix("+").removesuffix("\\")
+        elif line.strip() and not line.lstrip().startswith("*"):
+            cards.append(line.strip().removesuffix("\\"))
+        joins = line.endswith("\\")
+    return cards
+
+
+#: Spectre's names of primitives, and what the start of a model's name tells.
+PRIMITIVES = {"resistor": "resistor", "capacitor": "capacitor", "inductor": "inductor", "vsource": "vsource", "isource": "isource", "diode": "diode", "bjt": "bjt"}
+DEVICES = re.compile(r"nmos|nfet|nch|pmos|pfet|pch|mos")
+
+
+def netlist_rows(text: str) -> list[tuple]:
+    """(component, type, nets, model, params, owner, ports) of the cards of a netlist, SPICE or Spectre: instances, with
+    the subcircuit that they stand in as owner (null: the top), and definitions (type definition) with their ports.
+    .param and parameters values stand for their names."""
+    cards = cards_of(text)
     symbols: dict[str, float] = {}
     for card in cards:
-        if card.lower().startswith(".param"):
+        if re.match(r"\.param|parameters|params", card.lower()):
             symbols |= {k.lower(): x for k, v in re.findall(r"(\w+)\s*=\s*([^\s=]+)", card) if (x := spice_number(v)) is not None}
     value = lambda v: symbols.get(v.strip("'{}").lower(), spice_number(v.strip("'{}")))
-    out = []
+    out, owners = [], [None]
     for card in cards:
-        head = card[0].lower()
-        if head == "." or head not in {*ELEMENTS, "x"}:
-            continue
+        head, low = card[0].lower(), card.lower()
         pairs = re.findall(r"(\w+)\s*=\s*([^\s=]+)", card)
-        words = re.sub(r"\w+\s*=\s*[^\s=]+", "", card).split()
+        plain = re.sub(r"\w+\s*=\s*[^\s=]+", "", card)
         params = {k.lower(): x for k, v in pairs if (x := value(v)) is not None}
-        if head == "x":
-            kind, nets, rest = "subckt", words[1:-1], words[-1:]
-        else:
-            kind, n = ELEMENTS[head]
-            nets, rest = words[1 : 1 + n], words[1 + n :]
-        number = value(rest[0]) if rest and kind in ("resistor", "capacitor", "inductor", "vsource", "isource") else None
-        if number is not None:
-            params["value"] = number
-        out.append((words[0], kind, nets, None if number is not None or not rest else rest[0], params))
+        if m := re.match(r"(\.?subckt|inline\s+subckt|module)\s+(\S+)\s*(.*)", plain, re.I):
+            owners.append(m[2].lower())
+            out.append((m[2], "definition", [], None, params, owners[-2], m[3].replace("(", " ").replace(")", " ").split()))
+        elif re.match(r"\.?ends\b|endmodule\b", low):
+            if len(owners) > 1:
+                owners.pop()
+        elif m := re.match(r"(\S+)\s*\(([^)]*)\)\s*(\S+)", plain):
+            kind = PRIMITIVES.get(m[3].lower()) or ("mosfet" if DEVICES.search(m[3].lower()) else "subckt")
+            key = {"resistor": "r", "capacitor": "c", "inductor": "l", "vsource": "dc", "isource": "dc"}.get(kind)
+            if key in params:
+                params["value"] = params[key]
+            out.append((m[1], kind, m[2].split(), m[3], params, owners[-1], []))
+        elif head in {*ELEMENTS, "x"} and not re.match(r"parameters|params|simulator|include|global|model|library|section|statistics", low):
+            words = plain.split()
+            if head == "x":
+                kind, nets, rest = "subckt", words[1:-1], words[-1:]
+            else:
+                kind, n = ELEMENTS[head]
+                nets, rest = words[1 : 1 + n], words[1 + n :]
+            number = value(rest[0]) if rest and kind in ("resistor", "capacitor", "inductor", "vsource", "isource") else None
+            if number is not None:
+                params["value"] = number
+            out.append((words[0], kind, nets, None if number is not None or not rest else rest[0], params, owners[-1], []))
     return out
 
 
+NETLIST = "component string, type string, nets array<string>, model string, params map<string,double>, owner string, ports array<string>"
+
+
+def read_cards(spark: SparkSession, pattern: str) -> DataFrame:
+    """file and the columns of netlist_rows: instances and definitions with the subcircuit they stand in."""
+    return parse_files(spark, pattern, netlist_rows, NETLIST)
+
+
 def read_netlist(spark: SparkSession, pattern: str) -> DataFrame:
-    return parse_files(spark, pattern, netlist_rows, "component string, type string, nets array<string>, model string, params map<string,double>")
+    """The instances of netlists as they stand, those in subcircuits too."""
+    return read_cards(spark, pattern).filter("type <> 'definition'").drop("owner", "ports")
 
 
 RESULT = "checker:string,item:string,status:string,measured:string,min:string,max:string,unit:string,message:string,waveform_anchor_time:string"
