@@ -7,9 +7,9 @@ their counts away and discards the keys that cooled. So dropping lines is revers
 decided by the present counts, never stored in it.
 
 Filters are built shard by shard in tasks, about five bytes a key, and broadcast in groups of shards of bounded size,
-one pass over the documents a group (one group up to some ten million hot keys). The distinct keys that a group lets
-through are held against the exact table first; those that are not hot, about two in a thousand million, are sent along
-as exceptions. With them the filters decide every line exactly, and no line is ever shuffled.
+one pass over the documents a group (one group up to some ten million hot keys). The keys that a group lets through
+though they are not hot, about two in a thousand million, are sent along as exceptions: they are found among the exact
+table's cold keys, or for documents that the table does not cover among the keys of their lines. With them the filters decide every line exactly, and no line is ever shuffled.
 
 Defined cases: null or empty text is one empty line; empty keys are never dropped unless min_chars is 0; a document
 that loses all lines keeps the empty text; repeated rows count as documents of their own; extra columns are kept, but
@@ -170,12 +170,17 @@ def shard_of(n_shards: int):
     return F.pmod(F.pmod(high, F.lit(n_shards)) * F.lit((1 << 32) % n_shards) + F.pmod(low, F.lit(n_shards)), F.lit(n_shards)).cast("int")
 
 
+def counts(key: bytes, min_chars: int) -> bool:
+    """Keys of fewer characters are neither counted nor dropped."""
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "replace")) >= min_chars)
+
+
 def _counts(min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: Counter = Counter()
             for text in pdf["text"]:
-                seen.update({k for k in _keys(text) if len(k) >= min_chars and (min_chars <= 1 or len(k.decode("utf-8", "replace")) >= min_chars)})
+                seen.update({k for k in _keys(text) if counts(k, min_chars)})
             hashes = [key_hash(k) for k in seen]
             yield pd.DataFrame({"h1": [signed(h >> 64) for h in hashes], "h2": [signed(h & M64) for h in hashes], "refs": list(seen.values())}).astype("int64")
 
@@ -292,7 +297,18 @@ def _let_through(n_shards: int, shared):
     return run
 
 
-def _drop(n_shards: int, shared, exceptions):
+def _cold_through(n_shards: int, shared):
+    """Those keys of the exact table's cold ones that the filters let through."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filters = ShardedFilter(n_shards, shared.value)
+        for pdf in batches:
+            yield pdf[filters.may_hold(*(pdf[c].to_numpy().view(np.uint64) for c in ("h1", "h2")))]
+
+    return run
+
+
+def _drop(n_shards: int, min_chars: int, shared, exceptions):
     """Positions of the lines that go, with those that earlier groups of shards found."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -306,7 +322,7 @@ def _drop(n_shards: int, shared, exceptions):
             new = [k for k in {k for ks in keys for k in ks} if k not in verdicts]
             if new:
                 h1, h2 = _hash_columns(new)
-                verdicts.update((k, bool(m) and (a, b) not in wrong) for k, m, a, b in zip(new, filters.may_hold(h1, h2), h1.tolist(), h2.tolist()))
+                verdicts.update((k, bool(m) and (a, b) not in wrong and counts(k, min_chars)) for k, m, a, b in zip(new, filters.may_hold(h1, h2), h1.tolist(), h2.tolist()))
             gone = [sorted({p for p, k in enumerate(ks) if verdicts[k]}.union(was)) for ks, was in zip(keys, before)]
             kept = []
             for lines, out in zip(texts, gone):
@@ -319,9 +335,10 @@ def _drop(n_shards: int, shared, exceptions):
     return run
 
 
-def drop_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = 6_000_000) -> DataFrame:
+def drop_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = 6_000_000, indexed: bool = False) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text, all lines gone whose key is hot in the index. The filters of at most
-    broadcast_keys keys (of one shard at least) are broadcast at once."""
+    broadcast_keys keys (of one shard at least) are broadcast at once. indexed: all of docs is counted in the index, so
+    what a filter lets through wrongly is found among the table's cold keys, without another pass over the texts."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
@@ -332,10 +349,13 @@ def drop_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = 6_000_00
     for g in range(groups):
         own = index.filters.filter(F.pmod("shard", F.lit(groups)) == g).collect()  # bounded by broadcast_keys
         shared = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in own})
-        through = docs.select("text").transform(pandas_map, _let_through(index.n_shards, shared), "h1 long, h2 long").distinct()
-        wrong = through.join(hot, ["h1", "h2"], "left_anti").collect() if own else []  # two in 10^9 of the distinct lines
+        if indexed:
+            through = index.refs.filter(F.col("refs") < index.min_docs).select("h1", "h2").transform(pandas_map, _cold_through(index.n_shards, shared), "h1 long, h2 long")
+        else:
+            through = docs.select("text").transform(pandas_map, _let_through(index.n_shards, shared), "h1 long, h2 long").distinct().join(hot, ["h1", "h2"], "left_anti")
+        wrong = through.collect() if own else []  # two in 10^9 of the distinct lines
         exceptions = spark.sparkContext.broadcast({(r["h1"] & M64, r["h2"] & M64) for r in wrong})
-        drop = F.pandas_udf(_typed(_drop(index.n_shards, shared, exceptions)), "gone array<int>, n_lines long, n_dropped long, kept_text string")
+        drop = F.pandas_udf(_typed(_drop(index.n_shards, index.min_chars, shared, exceptions)), "gone array<int>, n_lines long, n_dropped long, kept_text string")
         out = out.withColumn(name, drop(text_of("text"), gone))
         if g < groups - 1:
             out = materialise(out, "line-groups")  # so that tasks hold one group's filters
@@ -359,4 +379,4 @@ def drop_repeated_lines(docs: DataFrame, state: DataFrame, min_docs: int = 10, n
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Count all documents, then drop by those counts."""
-    return drop_lines(docs, new_index(docs, min_docs, min_chars))
+    return drop_lines(docs, new_index(docs, min_docs, min_chars), indexed=True)
