@@ -433,17 +433,3 @@ def test_quality_odd(spark, odd_docs, no_docs):
     assert quality_fm.fit_quality(odd_docs, labels.limit(0)) is None
     assert {r["score"] for r in quality_fm.score_quality(odd_docs, None).collect()} == {0.5}
     assert quality_fm.keep_good(odd_docs, None).columns == odd_docs.columns
-
-
-def test_lines_that_filters_let_through_stay(spark):
-    """Filters that hold the cold keys too: the exact table decides, with and without another pass over the texts, and
-    keys that are too short to count are never dropped."""
-    rows = [(i, f"common\nown {i}\n\nab") for i in range(12)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    index = line_dedup.new_index(df, min_docs=10, min_chars=3)
-    short = line_dedup.reference_counts(df, index.n_shards, 0).select("shard", "h1", "h2")
-    index.filters = line_dedup.build_filters(index.refs.select("shard", "h1", "h2").union(short).distinct())
-    for indexed in (True, False):
-        assert {r["kept_text"] for r in line_dedup.drop_lines(df, index, indexed=indexed).collect()} == {f"own {i}\n\nab" for i in range(12)}
-    more = spark.createDataFrame([(99, "common\nown 3\nnever seen\nab")], "doc_id long, text string")
-    assert line_dedup.drop_lines(more, index).first()["kept_text"] == "own 3\nnever seen\nab"
