@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def adc_dynamic(codes: np.ndarray, harmonics: int = 5, spread: int = 2) -> dict[str, float]:
@@ -286,12 +287,21 @@ def adc_metrics(samples: DataFrame) -> DataFrame:
     return per_group(samples.select("run_key", "idx", "value"), "run_key", "idx", kernel, "snr double, sinad double, enob double, thd double, sfdr double")
 
 
-def settled_islands(samples: DataFrame, settling: float) -> DataFrame:
-    """settles() of each stretch (run_key, island) of one state."""
+def settled_islands(samples: DataFrame, settling: float, least: int = 5, rel: float = 0.01, eps: float = 1e-6) -> DataFrame:
+    """stretch (run_key/island) and settled: settles() of each stretch of one state, as aggregates. The level is the
+    median of the last fifth, three samples at least; a missing value among these or the last `least` is not settled."""
     from .sequence import with_islands
 
-    rows = with_islands(samples).selectExpr("concat_ws('/', run_key, island) AS stretch", "idx", "t", "value")
-    return per_group(rows, "stretch", "idx", lambda p: {"settled": settles(p["t"].to_numpy(), p["value"].to_numpy(), settling)}, "settled boolean")
+    key = ["run_key", "island"]
+    rows = with_islands(samples).select(*key, "idx", "t", "value")
+    ends = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last"), F.min_by("t", "idx").alias("t0"), F.max_by("t", "idx").alias("t1"))
+    tail = rows.join(ends, key).withColumn("back", F.col("last") - F.col("idx"))
+    near = F.greatest(F.lit(3), F.floor(F.col("n") / 5))
+    tail = tail.filter(F.col("back") < F.greatest(near, F.lit(least)))
+    level = tail.groupBy(*key).agg(F.median(F.when(F.col("back") < near, F.col("value"))).alias("level"))
+    off = tail.join(level, key).withColumn("far", (F.col("back") < least) & (F.abs(F.col("value") - F.col("level")) > rel * F.abs("level") + eps) | F.col("value").isNull() | F.isnan("value"))
+    told = off.groupBy(*key).agg(F.max("far").alias("far"), F.first("n").alias("n"), (F.first("t1") - F.first("t0")).alias("span"))
+    return told.select(F.concat_ws("/", *key).alias("stretch"), ((F.col("n") >= least) & (F.col("span") >= settling) & ~F.col("far")).alias("settled"))
 
 
 def identify(series: DataFrame, method: str, order: int) -> DataFrame:

@@ -80,7 +80,16 @@ def fitted_spectra(spark, sf):
     return model.join(responses.response_errors(rows, model), "network")
 
 
-@C.add()
+@C.add(
+    S
+    + """, g AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY run_key ORDER BY idx) AND idx > 0 THEN 1 ELSE 0 END AS new FROM s),
+ i AS (SELECT *, sum(new) OVER (PARTITION BY run_key ORDER BY idx) AS island FROM g),
+ e AS (SELECT run_key, island, count(*) AS n, max(idx) AS last, max(t) - min(t) AS span FROM i GROUP BY ALL),
+ j AS (SELECT i.*, n, span, last - idx AS back FROM i JOIN e USING (run_key, island)),
+ m AS (SELECT run_key, island, median(value) FILTER (back < greatest(3, n // 5)) AS level FROM j GROUP BY ALL),
+ f AS (SELECT j.run_key, j.island, any_value(n) AS n, any_value(span) AS span, bool_or(back < 5 AND abs(value - level) > 0.01 * abs(level) + 1e-6) AS far FROM j JOIN m USING (run_key, island) GROUP BY ALL)
+ SELECT run_key || '/' || CAST(island AS INTEGER) AS stretch, n >= 5 AND span >= 3600 AND NOT far AS settled FROM f"""
+)
 def settled_stretches(spark, sf):
     return k.settled_islands(samples(spark, sf), 3600.0)
 

@@ -93,3 +93,22 @@ def test_groups_and_their_errors(spark):
     got = k.identify(df, "prony", 3).collect()
     assert distance(np.array([complex(r["re"], r["im"]) for r in got if r["network"] == "a"])) < 1e-4
     assert all(r["error"] for r in got if r["network"] == "b")
+
+
+def test_settled_islands_are_those_of_the_kernel(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for run in range(12):
+        idx = 0
+        for island, n in enumerate(rng.integers(1, 40, 6)):
+            v = 1 + rng.choice([0.001, 0.5]) * np.exp(-np.arange(n) / rng.choice([1, 50]))
+            t = (idx + np.arange(n)) * 0.5
+            want[f"{run}/{island}"] = k.settles(t, v, 6.0)
+            rows += [(run, idx + i, float(a), float(b), "ab"[island % 2]) for i, (a, b) in enumerate(zip(t, v))]
+            idx += int(n)
+    df = spark.createDataFrame(rows, "run_key int, idx int, t double, value double, state string").repartition(5)
+    assert {r["stretch"]: r["settled"] for r in k.settled_islands(df, 6.0).collect()} == want and len(set(want.values())) == 2
+    gap = df.withColumn("value", k.F.when(k.F.col("idx") % 5 != 0, k.F.col("value")))
+    long = {x["stretch"] for x in df.groupBy("run_key").count().selectExpr("concat(run_key, '/0') AS stretch").collect()}
+    lost = [r["settled"] for r in k.settled_islands(gap, 0.0).collect() if r["stretch"] in long]
+    assert lost and not any(lost)  # each stretch of five samples or more lacks one near its end, shorter ones are too short

@@ -135,7 +135,7 @@ def test_a_long_run_is_many_tasks(spark):
         assert rows.repartition(n, *keys).select(F.spark_partition_id().alias("p")).distinct().count() == n
 
 
-# The three cases that the reference bounds: a smooth pair, a resonance, and five poles with noise.
+# Three cases with their bounds: a smooth pair, a resonance, and five poles with noise.
 CASES = {
     "pair": ([-2e3, -4e4], [1e3, 2e4], 0.0, 1e-6),
     "resonance": ([-1e3 + 9e3j, -1e3 - 9e3j, -4e4], [2e3 + 1e3j, 2e3 - 1e3j, 3e4], 0.0, 1e-4),
