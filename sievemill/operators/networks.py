@@ -161,7 +161,7 @@ def sweep(spark, stages: list[tuple[float, float, float]], methods: list[str], e
 def fingerprints(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
     """Per graph (nodes graph, node, type; edges graph, a, b, undirected): share of each type (others count as the last),
     shares of degrees in ten bins up to 20, clustering (mean, deviation, extremes), components a node, the largest
-    component's diameter / 20, nodes / 100 and edges / 200. A graph is one design, small enough for a task; there may be
+    component's diameter / 20, nodes / 100 and edges / 200. A graph is one design that a task holds; there may be
     any number of them."""
     names = [*(f"type_{t}" for t in types), *(f"degree_{k}" for k in range(10)), "cc_mean", "cc_std", "cc_min", "cc_max", "components", "diameter", "n_nodes", "n_edges"]
 
@@ -179,12 +179,12 @@ def fingerprints(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFr
         bins = np.histogram(degree, bins=10, range=(0, 20))[0]
         cc = np.array([2 * sum(len(near[x] & s) for x in s) / 2 / (len(s) * (len(s) - 1)) if len(s) > 1 else 0.0 for s in near])
 
-        left, parts = set(range(n)), []
-        while left:
-            parts.append(set(_hops(near, min(left))))
-            left -= parts[-1]
-        largest = max(parts, key=len, default=set())
-        diameter = max((max(_hops(near, x).values()) for x in largest), default=0)
+        seen, parts = set(), []
+        for x in range(n):
+            if x not in seen:
+                parts.append(_hops(near, x).keys())
+                seen |= parts[-1]
+        diameter = _diameter(near, max(parts, key=len, default=()))
         stats = [cc.mean(), cc.std(), cc.min(), cc.max()] if n else [0.0] * 4
         row = [*(share / max(n, 1)), *(bins / max(bins.sum(), 1)), *stats, len(parts) / max(n, 1), diameter / 20, n / 100, sum(map(len, near)) / 2 / 200]
         return pd.DataFrame([[key[0], *map(float, row)]], columns=["graph", *names])
@@ -204,6 +204,28 @@ def _hops(near: list[set[int]], start: int) -> dict[int, int]:
     return hops
 
 
+def _diameter(near: list[set[int]], part) -> int:
+    """The longest distance in a connected part. All nodes within i hops of a root are at most 2 i apart, so distances
+    are looked at from the nodes farthest from a root in the middle inwards, until one found is as long: a few searches
+    for most graphs, and one from each node only where all lie equally far out, as in a ring."""
+    if len(part) < 2:
+        return 0
+    first = _hops(near, max(part, key=lambda x: len(near[x])))
+    one = _hops(near, max(first, key=first.get))
+    other = _hops(near, max(one, key=one.get))
+    found, across = max(other.values()), max(one.values())
+    root = _hops(near, next(x for x in one if one[x] == across // 2 and other[x] == across - across // 2))
+    levels: list[list[int]] = [[] for _ in range(max(root.values()) + 1)]
+    for x, k in root.items():
+        levels[k].append(x)
+    for k in range(len(levels) - 1, 0, -1):
+        for x in levels[k]:
+            if found >= 2 * k:
+                return found
+            found = max(found, max(_hops(near, x).values()))
+    return found
+
+
 def scaling_ratios(source_nm: Column, target_nm: Column) -> Column:
     """Ratios of sizes, capacitance, resistance, supply and speed from one technology to a smaller or larger one; half the
     size where one of them is unknown."""

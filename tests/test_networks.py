@@ -157,6 +157,29 @@ def workbook(sheets):
     return out.getvalue()
 
 
+def test_diameters():
+    """As by a search from every node; a large star, a line and many parts take few searches."""
+    rng = np.random.default_rng(4)
+    for n, m in ((2, 1), (12, 11), (30, 32), (60, 90), (80, 300)):
+        for _ in range(20):
+            near = [set() for _ in range(n)]
+            for a, b in [(i, int(rng.integers(max(0, i - 3), i))) for i in range(1, n)] + rng.integers(0, n, (max(0, m - n), 2)).tolist():
+                if a != b:
+                    near[a].add(b), near[b].add(a)
+            assert nw._diameter(near, range(n)) == max(max(nw._hops(near, x).values()) for x in range(n))
+    ring = [{(i - 1) % 9, (i + 1) % 9} for i in range(9)]
+    assert nw._diameter(ring, range(9)) == 4 and nw._diameter([set()], [0]) == 0
+
+
+def test_fingerprints_of_large_graphs(spark):
+    """A star of 30000 nodes beside 30000 single ones: a search from every node would take hours."""
+    n = 30000
+    nodes = spark.range(2 * n).select(F.lit("g").alias("graph"), F.col("id").alias("node"), F.lit("a").alias("type"))
+    edges = spark.range(1, n).select(F.lit("g").alias("graph"), F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    r = nw.fingerprints(nodes, edges, ["a", "other"]).first()
+    assert r["diameter"] == 2 / 20 and r["components"] == (n + 1) / (2 * n) and r["n_edges"] == (n - 1) / 200
+
+
 def test_coverage_workbook(spark, tmp_path):
     sheets = {
         "Features": [["Feature_Name", "Tags"], ["f1", "a, b"], [None, None]],
