@@ -18,22 +18,22 @@ from sievemill.functions.session import numbered
 from sievemill.sources.lines import number, read_wide_csv, stem
 
 
-def read_wave_csv(spark: SparkSession, *patterns: str, run: Callable[[Column], Column] = stem) -> DataFrame:
-    """Tall samples of CSV files, one run a file, by default named by its stem. The first column is time whatever its name; headers
+def read_wave_csv(spark: SparkSession, *patterns: str, run: Callable[[Column], Column] = stem, key: str | None = None) -> DataFrame:
+    """Tall samples of CSV files, one run a file, by default named by its stem, or many, told by the column named key. The first column is time whatever its name; headers
     may differ from file to file; cells that are no number are missing; no file at all is an error. Long files are read
     in byte ranges."""
-    wide = read_wide_csv(spark, *patterns, run=run)
+    wide = read_wide_csv(spark, *patterns, run=run, key=key)
     few = F.raise_error(F.concat(F.col("run_id"), F.lit(": a time column and one signal at least are needed")))
     names = F.when(F.size("names") < 2, few.cast("array<string>")).otherwise(F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(1))))
     each = wide.select("run_id", "idx", number(F.col("cells")[0]).alias("t"), "cells", F.posexplode(names).alias("_k", "signal"))
     return each.select("run_id", "signal", "idx", "t", number(F.get("cells", F.col("_k") + 1)).alias("value"))
 
 
-def read_table_csv(spark: SparkSession, pattern: str, time: str = "time", span: float = 1e-4, run: Callable[[Column], Column] = stem) -> DataFrame:
-    """Tall samples of CSV files with a header. Without the named time column the samples of a file are spread evenly
+def read_table_csv(spark: SparkSession, pattern: str, time: str = "time", span: float = 1e-4, run: Callable[[Column], Column] = stem, key: str | None = None) -> DataFrame:
+    """Tall samples of CSV files with a header, one run a file or many, told by the column named key. Without the named time column the samples of a run are spread evenly
     over the span; cells that are no number are missing. Long files are read in byte ranges."""
-    wide = read_wide_csv(spark, pattern, run=run).withColumn("_at", F.array_position("names", time))
-    even = F.col("idx") * (F.lit(span) / F.greatest(F.col("total") - 1, F.lit(1)))
+    wide = read_wide_csv(spark, pattern, run=run, key=key).withColumn("_at", F.array_position("names", time))
+    even = F.lit(span) * F.col("idx") / F.greatest(F.col("total") - 1, F.lit(1))
     t = F.when(F.col("_at") > 0, number(F.get("cells", (F.col("_at") - 1).cast("int")))).otherwise(even)
     each = wide.select("run_id", "idx", t.alias("t"), "cells", "_at", F.posexplode("names").alias("_k", "signal")).filter("_k <> _at - 1")
     return each.select("run_id", "signal", "idx", "t", number(F.get("cells", F.col("_k"))).alias("value"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievemill.sources import formats, lines, runs
 
@@ -101,3 +102,31 @@ def test_round_trips_in_ranges(spark, sf_dir, cut, name):
 
     cut(2000)
     assert rows(s.QUERIES[name](spark, sf_dir).toPandas()) == rows(connect(sf_dir).execute(s.ORACLES[name]).df())
+
+
+def test_many_runs_in_several_files(spark, tmp_path, cut):
+    """Runs lie whole in few files, whatever their number; headers stand first, and nothing is lost in ranges."""
+    rows = [(r, i, i * 0.5 + r, float(r * i), "ab"[i % 2]) for r in range(40) for i in range(1 + r % 9)]
+    df = spark.createDataFrame(rows, "run_key long, idx int, t double, value double, state string").repartition(7)
+    csv, raw, vcd = (str(tmp_path / k) for k in ("csv", "raw", "vcd"))
+    lines.write_csv_runs(df, csv, each=60)
+    lines.write_points(df, raw, each=60)
+    lines.write_changes(df.select("run_key", (F.col("t") * 2).cast("long").alias("now"), F.col("state").alias("signal"), "value"), vcd, "s", each=60)
+    for path, head in ((csv, "time,value,run"), (raw, "Title:"), (vcd, "$timescale")):
+        files = list((tmp_path / path).glob("*/part-*"))
+        assert 1 < len(files) <= 4 and all(f.read_text().startswith(head) for f in files)
+    cut(300)
+    one = runs.read_wave_csv(spark, f"{csv}/*/*", key="run")
+    assert sorted(map(tuple, one.collect())) == sorted((str(r), "value", i, t, v) for r, i, t, v, _ in rows)
+    table = runs.read_table_csv(spark, f"{csv}/*/*", time="seconds", span=1.0, key="run").filter("signal = 'value'")
+    assert sorted((r["run_id"], r["idx"], round(r["t"], 9)) for r in table.collect()) == sorted((str(r), i, round(i / max(r % 9, 1), 9)) for r, i, *_ in rows)
+    points = lines.read_points(spark, f"{raw}/*/*", titles=True).select("title", "idx", "name", "value")
+    assert sorted(map(tuple, points.collect())) == sorted((str(r), i, n, x) for r, i, t, v, _ in rows for n, x in (("time", t), ("v(out)", v)))
+    changes = lines.read_changes(spark, f"{vcd}/*/*", scopes=True).select("scope", "signal", "t", "value")
+    assert sorted(map(tuple, changes.collect())) == sorted((str(r), s, float(int(t * 2)), v) for r, _, t, v, s in rows)
+
+
+def test_runs_that_do_not_stand_together(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("t,x,run\n0,1,a\n1,2,b\n2,3,a\n")
+    with pytest.raises(Exception, match="do not stand together"):
+        runs.read_wave_csv(spark, f"{tmp_path}/a.csv", key="run").collect()
