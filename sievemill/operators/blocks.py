@@ -52,11 +52,11 @@ class Cells:
         return node - (1 << self.depth)
 
 
-def _packed(limit: int):
+def _packed(limit: int, sides: int | None):
     def out(number: int, parts: list) -> tuple:
         ids, x, tag = (np.concatenate(p) for p in zip(*parts))
-        centre = x.mean(axis=0)
-        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())) * (1 + MARGIN)
+        centre = x[:, :sides].mean(axis=0)
+        radius = float(np.sqrt(((x[:, :sides] - centre) ** 2).sum(axis=1).max())) * (1 + MARGIN)
         return number, len(ids), centre.tobytes(), radius, ids.astype(np.int64).tobytes(), x.tobytes(), tag.astype(np.int64).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,14 +77,15 @@ def _packed(limit: int):
     return run
 
 
-def packed(rows: DataFrame, limit: int) -> DataFrame:
-    """rows (id long, x array<double>, tag long): a written table of blocks of about `limit` bytes."""
+def packed(rows: DataFrame, limit: int, sides: int | None = None) -> DataFrame:
+    """rows (id long, x array<double>, tag long): a written table of blocks of about `limit` bytes; the first `sides` of
+    x tell the place."""
     size = rows.agg(F.sum(8 * F.size("x")).alias("b")).first()["b"] or 0
     parts = max(1, -(-size // limit))
     cell: Column = F.lit(0)
     if parts > 1:
         sample = rows.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect()
-        cells = Cells(np.array([r["x"] for r in sample], dtype=float), min(10, parts.bit_length() + 2))
+        cells = Cells(np.array([r["x"] for r in sample], dtype=float)[:, :sides], min(10, parts.bit_length() + 2))
 
         @F.pandas_udf("long")
         def cell_of(x: pd.Series) -> pd.Series:
@@ -92,7 +93,7 @@ def packed(rows: DataFrame, limit: int) -> DataFrame:
 
         cell = cell_of("x")
     dealt = rows.withColumn("_cell", cell).repartitionByRange(parts, "_cell", F.xxhash64("id"), "id")
-    return cut(dealt.select("id", "x", "tag").mapInPandas(_packed(limit), BLOCK))
+    return cut(dealt.select("id", "x", "tag").mapInPandas(_packed(limit, sides), BLOCK))
 
 
 def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,11 +148,12 @@ def _pairs(kernel: Callable, k: int):
 FOUND = "block long, id long, point long, distance double, full boolean"
 
 
-def nearest_points(rows: DataFrame, points: DataFrame, k: int, kernel: Callable, reach: Callable[[Column], Column], point_bytes: int = POINT_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
+def nearest_points(rows: DataFrame, points: DataFrame, k: int, kernel: Callable, reach: Callable[[Column], Column], point_bytes: int = POINT_BYTES, row_bytes: int = ROW_BYTES, sides: int | None = None) -> DataFrame:
     """rows and points (id long, x array<double>, tag long): id, rank, point and distance of the k nearest points of
     each row, the smaller point of equals; ids of rows are unique. kernel(x, tags, points, tags) gives distances;
-    reach(distance) is the Euclidean distance of x beyond which no point can be as near."""
-    own, other = packed(rows, row_bytes), packed(points, point_bytes)
+    reach(distance) is the Euclidean distance of x beyond which no point can be as near. With `sides`, only so many of x
+    tell the place, and the kernel alone sees the others."""
+    own, other = packed(rows, row_bytes, sides), packed(points, point_bytes, sides)
     slots = max(1, -(-other.count() // TOGETHER))
     upper = other.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).select("slot", "block", "centre", "radius").groupBy("slot").applyInPandas(_summary, "slot long, blocks binary, centres binary, radii binary")
     each = lambda df: df.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).join(upper, "slot")

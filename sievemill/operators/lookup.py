@@ -37,12 +37,12 @@ def nearest(rows: DataFrame, grid: DataFrame, v_scale: float, t_scale: float, pe
     meet in blocks near each other, see blocks.py."""
     from .blocks import nearest_points
 
-    def far(x, tag, p, ptag):
-        return ((x[:, :1] - p[:, 0]) ** 2 + (x[:, 1:] - p[:, 1]) ** 2) + (tag[:, None] != ptag) * penalty
+    def far(x, tag, p, ptag):  # differences are taken before they are scaled: those equal as numbers tie
+        return (((x[:, 2:3] - p[:, 2]) / v_scale) ** 2 + ((x[:, 3:] - p[:, 3]) / t_scale) ** 2) + (tag[:, None] != ptag) * penalty
 
-    at = lambda df, key, v, t, process: df.select(F.col(key).cast("long").alias("id"), F.array(F.col(v) / v_scale, F.col(t) / t_scale).alias("x"), F.xxhash64(process).alias("tag"))
+    at = lambda df, key, v, t, process: df.select(F.col(key).cast("long").alias("id"), F.array(F.col(v) / v_scale, F.col(t) / t_scale, F.col(v), F.col(t)).alias("x"), F.xxhash64(process).alias("tag"))
     own = cut(rows.select("id", "v", "t", "process").withColumn("_row", F.monotonically_increasing_id()))
-    found = nearest_points(at(own, "_row", "v", "t", "process"), at(grid, "corner", "gv", "gt", "gprocess"), 1, far, F.sqrt)
+    found = nearest_points(at(own, "_row", "v", "t", "process"), at(grid, "corner", "gv", "gt", "gprocess"), 1, far, F.sqrt, sides=2)
     return own.select("id", "_row").join(found.withColumnRenamed("id", "_row"), "_row").select("id", F.col("point").alias("corner"), "distance")
 
 

@@ -71,3 +71,16 @@ def test_large_nets_are_cut(spark):
         assert sorted(map(tuple, graph.net_edges(df, size=size).collect())) == want
     assert sorted(map(tuple, graph.net_edges(df, most=20).collect())) == [t for t in want if t[0] != "vdd"]
     assert sorted(map(tuple, graph.net_members(df, 20).collect())) == [("vdd", 60, i) for i in range(60)]
+
+
+def test_corners_that_tie_in_plain_numbers(spark):
+    """Corners as far above as below: differences decide, as in SQL, not quotients rounded before."""
+    gaps = np.arange(1, 400) / 4
+    at = [(i, 1000.25 + 10 * i) for i in range(len(gaps))]
+    rows = spark.createDataFrame([(i, v, 3.0, "TT") for i, v in at], "id long, v double, t double, process string")
+    corners = [(2 * i + (up > 0) * 1, v + up * (gaps[i] % 4 + 0.25), 3.0, "TT") for i, v in at for up in (1, -1)]
+    grid = spark.createDataFrame([(int(c), float(v), t, p) for c, v, t, p in corners], "corner long, gv double, gt double, gprocess string")
+    gv = np.array([c[1] for c in corners])
+    ids = np.array([c[0] for c in corners])
+    want = {i: int(ids[np.lexsort((ids, ((v - gv) / 1000.0) ** 2))[0]]) for i, v in at}
+    assert {r["id"]: r["corner"] for r in lookup.nearest(rows, grid, 1000.0, 5.0).collect()} == want
