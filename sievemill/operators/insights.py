@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.functions.session import bounded
+from sievemill.functions.session import bounded, cut
 
 from .sequence import by_run, edges
 
@@ -145,6 +145,38 @@ def silicon_match(chips: DataFrame, sims: DataFrame) -> DataFrame:
 
 
 
+def medians(values: DataFrame, by: list[str], accuracy: int = 1000) -> DataFrame:
+    """by..., median (exact) and n of the column value by group, missing ones left out. Approximate quantiles bracket the
+    middle; a second pass counts what lies below and the values within, so groups of any size take little memory. A
+    group whose bracket misses its middle is counted whole."""
+    v = values.filter("value IS NOT NULL").select(*by, "value")
+    around = F.percentile_approx("value", F.array(F.lit(0.5 - 2 / accuracy), F.lit(0.5 + 2 / accuracy)), F.lit(accuracy))
+    ends = cut(v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), around.alias("_e")).select(*by, "n", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi")))
+    found = cut(_middles(v, ends, by))
+    missed = found.filter("median IS NULL")
+    if missed.isEmpty():
+        return found
+    whole = ends.join(missed.select(*by), by).withColumns({"_lo": F.lit(float("-inf")), "_hi": F.lit(float("inf"))})
+    return found.filter("median IS NOT NULL").unionByName(_middles(v, whole, by))
+
+
+def _sent(groups: DataFrame) -> DataFrame:
+    """A row a group, sent to all tasks where there are few groups, so that large ones need no shuffle."""
+    return F.broadcast(groups) if groups.limit(100_001).count() <= 100_000 else groups
+
+
+def _middles(values: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """Medians where they lie between _lo and _hi, else null."""
+    j = values.join(_sent(ends), by)
+    side = F.when(F.col("value") < F.col("_lo"), 0).when(F.col("value") <= F.col("_hi"), 1).otherwise(2)
+    counts = j.withColumn("_side", side).groupBy(*by, "n", "_side", F.when(side == 1, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_side", "value").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_to", upto)
+    at = lambda k: F.max(F.when((k < F.col("_to")) & (k >= F.col("_to") - F.col("_c")), F.col("value")))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    return counts.groupBy(*by).agg(middle.alias("median"), F.max("n").alias("n"))
+
+
 def divider_resistors(samples: DataFrame, by: list[str], reference: float, regulating: str, least: float = 1e-9) -> DataFrame:
     """Both resistors of a feedback divider by group, as medians of positive ratios. Tier 1 takes each sample's output
     (out), feedback voltage (fb) and current (i); where it finds nothing, tier 2 takes samples of the regulating state and
@@ -153,13 +185,17 @@ def divider_resistors(samples: DataFrame, by: list[str], reference: float, regul
     split = lambda low, whole: F.when(ok & (low > 0) & (whole - low > 0), F.struct((whole - low).alias("r1"), low.alias("r2")))
     whole = F.col("out") / F.nullif(F.col("i"), F.lit(0.0))
     state = F.col("state") == regulating
-    refs = samples.groupBy(*by).agg(F.coalesce(F.median(F.when(state, F.col("ref"))), F.lit(reference)).alias("_ref"))
-    j = samples.join(refs, by).withColumn("_1", split(F.col("fb") / F.nullif(F.col("i"), F.lit(0.0)), whole)).withColumn("_2", F.when(state, split(F.col("_ref") / F.nullif(F.col("i"), F.lit(0.0)), whole)))
-    sums = [f(F.col(f"_{k}.{r}")).alias(f"_{r}_{k}") for k in (1, 2) for f, r in ((F.median, "r1"), (F.median, "r2"))]
-    g = j.groupBy(*by).agg(*sums, F.count("_1").alias("_n_1"), F.count("_2").alias("_n_2"))
-    tier = F.when(F.col("_n_1") > 0, 1).when(F.col("_n_2") > 0, 2).otherwise(3)
-    pick = lambda c: F.when(F.col("_n_1") > 0, F.col(f"_{c}_1")).when(F.col("_n_2") > 0, F.col(f"_{c}_2"))
-    return g.select(*by, tier.alias("tier"), pick("r1").alias("r1"), pick("r2").alias("r2"), F.coalesce(pick("n"), F.lit(0)).alias("n"))
+    refs = medians(samples.filter(state).select(*by, F.col("ref").alias("value")), by).select(*by, F.col("median").alias("_ref"))
+    groups = samples.select(*by).distinct()
+    j = samples.join(_sent(refs), by, "left").withColumn("_ref", F.coalesce("_ref", F.lit(reference)))
+    tiers = F.array(*[F.struct(F.lit(k).alias("_tier"), x.alias("_r")) for k, x in ((1, split(F.col("fb") / F.nullif(F.col("i"), F.lit(0.0)), whole)), (2, F.when(state, split(F.col("_ref") / F.nullif(F.col("i"), F.lit(0.0)), whole))))])
+    each = j.select(*by, F.explode(tiers).alias("_t")).select(*by, "_t._tier", "_t._r").filter("_r IS NOT NULL")
+    tall = each.select(*by, "_tier", F.explode(F.array(*[F.struct(F.lit(r).alias("name"), F.col(f"_r.{r}").alias("value")) for r in ("r1", "r2")])).alias("_v")).select(*by, "_tier", "_v.*")
+    found = medians(tall, [*by, "_tier", "name"])
+    value = lambda r: F.max(F.when(F.col("name") == r, F.col("median"))).alias(r)
+    told = found.groupBy(*by, "_tier").agg(value("r1"), value("r2"), F.max("n").alias("n"))
+    best = told.groupBy(*by).agg(F.min_by(F.struct(F.col("_tier").alias("tier"), "r1", "r2", "n"), "_tier").alias("_b"))
+    return groups.join(best, by, "left").select(*by, F.coalesce("_b.tier", F.lit(3)).alias("tier"), "_b.r1", "_b.r2", F.coalesce("_b.n", F.lit(0)).alias("n"))
 
 
 def mux_findings(shifts: DataFrame, floors: DataFrame, times: float = 4.0) -> DataFrame:

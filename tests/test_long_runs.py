@@ -179,3 +179,16 @@ def test_fitted_spectra_equal_the_kernel(spark, sf_dir):
         own = got[got["network"] == str(k)]
         same += np.allclose(np.sort_complex(own["re"] + 1j * own["im"]), np.sort_complex(poles), rtol=1e-3) and abs(own["constant"].iloc[0] - const) < 1e-3 * abs(const)
     assert same >= 0.9 * lines["run_key"].nunique()  # eight rounds on noise may part from tiny differences
+
+
+def test_medians_hold_no_group(spark):
+    """Exact medians of skewed groups, with many equal values, and where the bracket misses the middle."""
+    from sievemill.operators import insights
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.standard_normal(20001), "b": rng.integers(0, 4, 5000) * 1.0, "c": np.array([3.0]), "d": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("e", None)], "g string, value double")
+    want = {g: (float(np.median(v)), len(v)) for g, v in groups.items()}
+    assert {r["g"]: (r["median"], r["n"]) for r in insights.medians(df, ["g"]).collect()} == want
+    ends = spark.createDataFrame([("a", 20001, 5.0, 6.0)], "g string, n long, _lo double, _hi double")
+    assert insights._middles(df, ends, ["g"]).first()["median"] is None
