@@ -24,7 +24,7 @@ def column_kinds(wide: DataFrame, names: list[str], low: float = 0.15, high: flo
     span = tall.groupBy("signal").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row a signal
     z = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
     inside = F.sum(F.when((z > low) & (z < high), F.col("_w")).otherwise(0.0))
-    shares = tall.join(span, "signal").groupBy("signal", "run_key").agg(F.try_divide(inside, F.sum("_w")).alias("share"))
+    shares = tall.join(F.broadcast(span), "signal").groupBy("signal", "run_key").agg(F.try_divide(inside, F.sum("_w")).alias("share"))
     out = shares.groupBy("signal").agg(F.avg("share").alias("mean_share"), F.max("share").alias("max_share"))
     return out.withColumn("digital", (F.col("mean_share") < mean_below) & (F.col("max_share") < max_below))
 

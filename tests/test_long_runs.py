@@ -192,3 +192,19 @@ def test_medians_hold_no_group(spark):
     assert {r["g"]: (r["median"], r["n"]) for r in insights.medians(df, ["g"]).collect()} == want
     ends = spark.createDataFrame([("a", 20001, 5.0, 6.0)], "g string, n long, _lo double, _hi double")
     assert insights._middles(df, ends, ["g"]).first()["median"] is None
+
+
+def test_column_kinds_do_not_shuffle_by_signal(spark):
+    """The ranges, a row a signal, go to the rows: a shuffle by signal gives a task all rows of one."""
+    from sievemill.operators import machines
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        wide = spark.range(400).selectExpr("id % 4 AS run_key", "CAST(id AS INT) AS idx", "CAST(id AS DOUBLE) AS t", "id % 2 * 1.0D AS a", "CAST(id AS DOUBLE) AS b")
+        made = machines.column_kinds(wide, ["a", "b"])
+        assert {r["signal"]: r["digital"] for r in made.collect()} == {"a": True, "b": False}
+        assert "SortMergeJoin [signal" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
