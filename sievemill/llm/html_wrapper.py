@@ -3,8 +3,10 @@
 1. Each page is parsed once into a tree of blocks and its lines, the runs of text between blocks; inline tags melt into
    their block. The tree's shape has one node for siblings of one label in a row (tag, class, id, role). Shape and lines
    are written as a table, so the later steps parse nothing.
-2. For each host the shapes are counted exactly. Its most frequent ones are aligned one after another by simple tree
-   matching and merged to the host's wrapper; nodes that hardly any page has are left out of it.
+2. For each host the shapes are counted exactly, and so are the pages that have each path of labels. Shapes lose the
+   nodes whose path too few pages have, as no wrapper node can have more pages than its path, and then all of them are
+   aligned by simple tree matching and merged to the host's wrapper, a few at a time, round by round; nodes that hardly
+   any page has are left out of it.
 3. Every page is aligned with the wrapper of its host. A line belongs to two slots: the wrapper's node that its block is
    aligned with, and the labels from the root on. For each slot the pages, texts and characters are added up over all
    pages of the host. A text on LEAST_PAGES pages and LEAST_SHARE of the pages that have the slot is constant: template.
@@ -15,8 +17,9 @@
    an article, headings, paragraphs and inline tags are never told by class, id or role.
 
 The counts are exact sums by host, slot and text, so they do not depend on how pages are dealt to tasks, nor on the
-size of a host, and a host with a third of all pages is never gathered in one place: a wrapper sees at most
-WRAPPER_SHAPES distinct shapes, and blocks that it lacks are told by the node above them and their labels.
+size of a host, and a host with a third of all pages is never gathered in one place: about TOGETHER shapes or merged
+trees of it meet in a task, whose size depends on what its pages share, not on their number. Blocks that the wrapper
+lacks are told by the node above them and their labels.
 
 Defined cases: null or empty html gives the empty text; a page without a host belongs to the host ''; unclosed and
 stray tags are mended as browsers do for p, li and head, and a tag that the end of the page cuts off is no text; a form that holds an article or most of a page's text is
@@ -39,7 +42,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, pandas_map, text_of
@@ -63,8 +66,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TEXTUAL = INLINE | HEADINGS | {"p"}
 #: A slot's text is template if at least so many pages of the host have it, this share of those that have the slot.
 LEAST_PAGES, LEAST_SHARE = 8, 0.5
-#: A wrapper is merged from at most so many of a host's shapes, without nodes that fewer of their pages have.
-WRAPPER_SHAPES, LEAST_SUPPORT = 16, 0.01
+#: Shapes or trees of a host merged in one task of a round; share of its pages that a node of the wrapper has.
+TOGETHER, LEAST_SUPPORT = 16, 0.01
 #: Core slots hold such a share of the host's text outside articles, or so many lines a page.
 CORE_SHARE, CORE_LINES = 0.2, 1.5
 
@@ -364,17 +367,24 @@ def merged(a: Shape, b: Shape, memo: dict | None = None) -> Shape:
 
 
 def counted(root: Shape, pages: int) -> Shape:
-    for s in preorder(root):
-        s.pages = pages
+    """The tree of so many pages; one that is merged already knows its pages."""
+    if root.pages != pages:
+        for s in preorder(root):
+            s.pages = pages
     return root
 
 
-def wrapper_of(shapes: list[tuple[bytes, int]]) -> Shape:
-    """The wrapper of shapes with their numbers of pages, merged in this order."""
+def all_merged(shapes: list[tuple[bytes, int]]) -> Shape:
+    """One tree of shapes or merged trees with their numbers of pages, merged in this order."""
     made = None
     for raw, pages in shapes:
         one = counted(load(raw), pages)
         made = one if made is None else merged(made, one)
+    return made
+
+
+def supported(made: Shape) -> Shape:
+    """The tree without nodes that too few of its pages have."""
     least = LEAST_SUPPORT * made.pages
     for s in preorder(made):
         s.kids = [k for k in s.kids if k.pages >= least]
@@ -388,6 +398,15 @@ def below(path: int, label: str) -> int:
     return xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), seed=path)
 
 
+def by_path(shape: Shape) -> Iterator[tuple[Shape, int]]:
+    """All nodes, parents before kids, each with its path of labels from the root on."""
+    stack = [(shape, below(0, plain(shape.label)))]
+    while stack:
+        s, path = stack.pop()
+        yield s, path
+        stack.extend([(k, below(path, plain(k.label))) for k in s.kids])
+
+
 def slots_of(shape: Shape, wrapper: Shape | None) -> tuple[list[int], list[int]]:
     """For each node of a page's shape its slots: by the labels from the root on, and by its place in the wrapper."""
     nodes = placed(shape)
@@ -563,10 +582,39 @@ def _extract(shared):
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    own = pdf.sort_values(["pages", "digest"], ascending=[False, True])
-    tree = wrapper_of([(bytes(s), int(p)) for s, p in zip(own["shape"], own["pages"])])
-    return pd.DataFrame({"host": own["host"].iloc[:1], "tree": [dump(tree)]})
+def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, path, pages) of each shape: its paths of labels."""
+    for pdf in batches:
+        found = [np.array(list({p for _, p in by_path(load(bytes(raw)))}), dtype=np.uint64).view(np.int64) for raw in pdf["shape"]]
+        if found:
+            size = [len(f) for f in found]
+            yield pd.DataFrame({"host": np.repeat(pdf["host"].to_numpy(), size), "path": np.concatenate(found), "pages": np.repeat(pdf["pages"].to_numpy(), size)})
+
+
+def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, digest, pages, shape): shapes without the nodes whose path is not among those given."""
+    sets: dict[bytes, frozenset] = {}
+    for pdf in batches:
+        rows = []
+        for raw, own in zip(pdf["shape"], map(bytes, pdf.pop("paths"))):
+            if own not in sets:
+                if len(sets) >= 256:
+                    sets.clear()
+                sets[own] = _keys(own)
+            root = load(bytes(raw))
+            for s, path in by_path(root):  # the kids of a node are listed when it is seen
+                s.kids = [k for k in s.kids if below(path, plain(k.label)) in sets[own]]
+            rows.append((np.uint64(digest(root)).astype(np.int64), dump(root)))
+        yield pdf.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("digest", "shape"))})
+
+
+def _merge(last: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["pages", "digest"], ascending=[False, True])
+        tree = all_merged([(bytes(s), int(p)) for s, p in zip(own["shape"], own["pages"])])
+        return pd.DataFrame({"host": own["host"].iloc[:1], "digest": own["group"].iloc[:1], "pages": [tree.pages], "shape": [dump(supported(tree) if last else tree)]})
+
+    return run
 
 
 def host_of(url: str = "url"):
@@ -582,15 +630,32 @@ def with_wrappers(rows: DataFrame, wrappers: DataFrame, broadcast_bytes: int) ->
     return rows, rows.sparkSession.sparkContext.broadcast(found)
 
 
+def merge_all(shapes: DataFrame) -> DataFrame:
+    """host, tree: all shapes (host, digest, pages, shape) of a host as one, by rounds that merge about TOGETHER of them
+    in a task, the frequent ones first. After the first round, digest is the number of the group that was merged."""
+    left = shapes.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        size = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("groups"))
+        dealt = shapes.join(size, "host").withColumn("group", F.pmod(F.xxhash64("digest"), "groups")).drop("groups")
+        left = -(-left // TOGETHER)
+        done = dealt.groupBy("host", "group").applyInPandas(_merge(left <= 1), "host string, digest long, pages long, shape binary")
+        if left <= 1:
+            return done.select("host", F.col("shape").alias("tree"))
+        shapes = materialise(done, "merged")
+
+
 def induce_trees(pages: DataFrame) -> DataFrame:
-    """host, tree (its wrapper) and null template and core, for hosts of LEAST_PAGES pages or more."""
+    """host, tree (its wrapper, of all shapes) and null template and core, for hosts of LEAST_PAGES pages or more."""
     shapes = pages.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"), F.min("shape").alias("shape"))
     shapes = materialise(shapes, "shapes")
-    large = shapes.groupBy("host").agg(F.sum("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES).select("host")
-    ranked = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "digest"))
-    top = shapes.join(large, "host", "left_semi").withColumn("rank", ranked).filter(F.col("rank") <= WRAPPER_SHAPES)
-    trees = top.select("host", "digest", "pages", "shape").groupBy("host").applyInPandas(_merge, "host string, tree binary")
-    return trees.withColumns({c: F.lit(None).cast("binary") for c in WRAPPER[1:]})
+    large = shapes.groupBy("host").agg(F.sum("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
+    shapes = shapes.join(large, "host").select("host", "pages", "shape", "all")
+    paths = shapes.select("host", "pages", "shape").transform(pandas_map, _paths, "host string, path long, pages long")
+    paths = paths.groupBy("host", "path").agg(F.sum("pages").alias("pages")).join(large, "host").filter(F.col("pages") >= LEAST_SUPPORT * F.col("all"))
+    known = shapes.drop("all").join(paths.groupBy("host").agg(packed("path").alias("paths")), "host")
+    shapes = known.transform(pandas_map, _pruned, "host string, digest long, pages long, shape binary")
+    shapes = shapes.groupBy("host", "digest").agg(F.sum("pages").alias("pages"), F.min("shape").alias("shape"))
+    return merge_all(materialise(shapes, "frequent-shapes")).withColumns({c: F.lit(None).cast("binary") for c in WRAPPER[1:]})
 
 
 def packed(slot: str):

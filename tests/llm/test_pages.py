@@ -236,6 +236,29 @@ def test_optional_blocks_are_told_by_their_place(spark):
     assert all(got[i] == f"story {i} is told\nmore on {i}" for i in range(60))
 
 
+def test_all_shapes_of_a_host_make_its_wrapper(spark):
+    """40 frequent shapes and 40 rarer ones, which alone have a block with one text: it has its own place in the wrapper
+    and is template, though an other block of its labels, with a text of its own on each page, comes before it."""
+    tags = lambda k: "".join(f"<{t}><p>{t} {k}</p></{t}>" for j, t in enumerate(("figure", "blockquote", "details", "address", "center", "pre")) if k >> j & 1)
+    club = lambda i: "<div><p>Join our club</p></div>" if i % 2 else ""
+    often = [f"<div><p>story {i} is told</p></div>{tags(i % 40)}<section><p>and there is more to say on {i}</p></section>" for i in range(400)]
+    rare = [f"<div><p>story {i} is told</p></div>{tags(i % 40)}<ul><li>u {i}</li></ul><div><p>note {i}</p></div><ol><li>o {i}</li></ol>{club(i)}<section><p>and there is more to say on {i}</p></section>" for i in range(400, 560)]
+    pages = made_pages(spark, often + rare)
+    tree = html_wrapper.load(bytes(html_wrapper.induce_trees(html_wrapper.parse_pages(pages)).first()["tree"]))
+    assert tree.pages == 560 and [(k.label, k.pages) for k in tree.kids if k.label in ("section", "ol")] == [("ol", 160), ("section", 560)]
+    got = texts_of(pages)
+    assert all("Join our club" not in t and f"story {i} is told" in t and (i < 400 or f"note {i}\n" in t) for i, t in got.items())
+
+
+def test_rare_paths_leave_the_wrapper_small(spark):
+    """Each page has a block of its own label: the merged tree holds none of them, and no page's text changes."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    pages = made_pages(spark, [f'<div><p>story {i} is told</p></div><section class="z{name(i)}"><p>part {i}</p></section><div><p>Join our club</p></div><table><tr><td>and this here is the end of {i}</td></tr></table>' for i in range(300)])
+    tree = html_wrapper.load(bytes(html_wrapper.induce_trees(html_wrapper.parse_pages(pages)).first()["tree"]))
+    assert tree.pages == 300 and [k.label for k in tree.kids] == ["div", "div", "table"] and all(s.pages == 300 for s in html_wrapper.preorder(tree))
+    assert texts_of(pages) == {i: f"story {i} is told\npart {i}\nand this here is the end of {i}" for i in range(300)}
+
+
 def test_region_without_telling_tags(spark, sf_dir):
     """Without article, main, class, id and role the wrapper finds the text of nearly all generated pages."""
     pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()
