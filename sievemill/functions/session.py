@@ -34,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Most rows of a table of key ranges that is sent to all tasks.
+SENT = 1 << 20
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut, by a Parquet table: smaller, and its size is known to later joins."""
+    path = new_folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with its place, from 0, in the given order: sorted by ranges and counted range by range, so no task sees all
     rows. The order should be total."""
@@ -48,11 +59,13 @@ def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
 
 def numbered_in(df: DataFrame, key: str, name: str, *order: str) -> DataFrame:
     """df with its place, from 0, within its key: sorted by ranges of key and order, so a key with many rows is cut over
-    tasks, and counted range by range. The order should be total within a key."""
-    done = cut(df.orderBy(key, *order).withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
+    tasks, and counted range by range. The order should be total within a key. Rows are shuffled once, unless there are
+    more keys than may be sent to all tasks."""
+    done = written(df.orderBy(key, *order).withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
     parts = done.groupBy(key, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.withColumn("_start", before).select(F.col(key).alias("_key"), "_range", "_first", "_start")
+    starts = written(parts.withColumn("_start", before).select(F.col(key).alias("_key"), "_range", "_first", "_start"))
+    starts = F.broadcast(starts) if starts.count() <= SENT else starts
     j = done.join(starts, (F.col(key).eqNullSafe(F.col("_key"))) & (done["_range"] == starts["_range"]))
     return j.withColumn(name, F.col("_start") + F.col("_place") - F.col("_first")).select(*df.columns, name)
 

@@ -1,17 +1,19 @@
 """Savitzky-Golay smoothing of runs of any length, as sums that merge.
 
 The least-squares parabola over a window is a sum of samples times 1, k and k^2, k being the distance from the middle.
-Within blocks of a run running sums of these are kept; a window is the running sum at its end less that before its
+Runs of at most WHOLE samples are an array each, and their windows are sums of its products. Longer runs are cut: within blocks of a run running sums of these are kept; a window is the running sum at its end less that before its
 start, and the whole of the first block where it spans two. Both ends are sent to the row in the middle and added up
 there, so the work grows with the samples, however wide the window, and no task holds a run.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cuts import filled
+from .cuts import WHOLE, by_length, filled, run_by_run
 
 #: Rows of a block, at least: short ones keep running sums small, so little is lost in differences.
 BLOCK = 64
@@ -37,11 +39,51 @@ def parabola(h: Column) -> list[Column]:
     return [(s4 * m0 - s2 * m2) / d, m1 / s2, (n * m2 - s2 * m0) / d]
 
 
-def smooth(samples: DataFrame, window: int | None = None) -> DataFrame:
+def parabolas(y: np.ndarray, window: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """smooth and slope of one run; see smooth."""
+    n, ok = len(y), ~np.isnan(y)
+    if not ok.all():
+        if not ok.any():
+            return y, y
+        y = np.interp(np.arange(n), np.flatnonzero(ok), y[ok])
+    h = min(max(5, n // 20 // 2 * 2 + 1) if window is None else window, n - 1 + n % 2) // 2
+    if h < 1:
+        return y, np.full(n, y[-1] - y[0])
+    k = np.arange(-h, h + 1.0)
+    count, s2, s4 = 2 * h + 1, float((k**2).sum()), float((k**4).sum())
+    d = count * s4 - s2 * s2
+    a, b, c = (np.correlate(y, w, "valid") for w in ((s4 - s2 * k * k) / d, k / s2, (count * k * k - s2) / d))
+    mid = np.clip(np.arange(n), h, n - 1 - h)
+    off, at = np.arange(n) - mid, mid - h
+    return a[at] + b[at] * off + c[at] * off * off, b[at] + 2 * c[at] * off
+
+
+def smooth_whole(samples: DataFrame, window: int | None) -> DataFrame:
+    """smooth for runs that fit an array each."""
+
+    def fitted(pdf: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+        value = pdf["value"].to_numpy(dtype=float)
+        made = [parabolas(value[a:b], window) for a, b in zip(ends, ends[1:])]
+        return pd.DataFrame({"run_key": pdf["run_key"], "idx": pdf["idx"], "smooth": np.concatenate([s for s, _ in made]), "slope": np.concatenate([s for _, s in made])})
+
+    found = run_by_run(samples, "run_key", "idx", fitted, f"run_key {dict(samples.dtypes)['run_key']}, idx long, smooth double, slope double")
+    return found.select("run_key", "idx", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("smooth", "slope")])
+
+
+def smooth(samples: DataFrame, window: int | None = None, most: int = WHOLE) -> DataFrame:
     """run_key, idx, smooth and slope (a sample): the parabola over `window` samples (odd; without one auto_window of
     the run), those of the first and last full window reaching to the ends. Missing values are filled linearly first;
-    runs of one or two samples stay as they are, with the slope between them."""
-    y = filled(samples.select("run_key", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")), "run_key")
+    runs of one or two samples stay as they are, with the slope between them. Runs of more than `most` samples are cut."""
+    rows = samples.select("run_key", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    whole, long = by_length(rows, "run_key", most)
+    out = smooth_whole(whole, window)
+    out = out if long is None else out.union(smooth_cut(long, window))
+    return out.withColumn("idx", F.col("idx").cast(samples.schema["idx"].dataType))
+
+
+def smooth_cut(rows: DataFrame, window: int | None) -> DataFrame:
+    """smooth for runs of any length, by running sums within blocks."""
+    y = filled(rows, "run_key")
     size = y.groupBy("run_key").agg(F.count(F.lit(1)).alias("n"), F.min_by("value", "idx").alias("y0"), F.max_by("value", "idx").alias("y1"))
     width = auto_window(F.col("n")) if window is None else F.least(F.lit(window), F.col("n") - 1 + F.col("n") % 2)
     size = size.withColumn("h", F.floor(width / 2).cast("double"))
@@ -68,4 +110,4 @@ def smooth(samples: DataFrame, window: int | None = None) -> DataFrame:
     told = sums.select("run_key", "mid", a.alias("a"), b.alias("b"), c.alias("c"), F.explode(F.concat(F.array("mid"), F.coalesce(low, none), F.coalesce(high, none))).alias("idx"))
     d = F.col("idx") - F.col("mid")
     out = told.select("run_key", "idx", (F.col("a") + F.col("b") * d + F.col("c") * d * d).alias("smooth"), (F.col("b") + 2 * F.col("c") * d).alias("slope"))
-    return out.union(few).withColumn("idx", F.col("idx").cast(samples.schema["idx"].dataType))
+    return out.union(few)

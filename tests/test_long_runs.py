@@ -208,3 +208,31 @@ def test_column_kinds_do_not_shuffle_by_signal(spark):
         assert "SortMergeJoin [signal" not in made._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(key, before)
+
+
+def test_short_runs_are_smoothed_in_one_shuffle(spark):
+    """Runs that fit an array are shuffled once; with longer ones among them the rows are the same."""
+    series = {f"n{n}": holed(n, n) for n in (1, 2, 3, 9, 130, 700)} | {"none": [None] * 9}
+    rows = runs_of(spark, series)
+    made = smoothing.smooth(rows)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found, both = by_run(made, "smooth", "slope"), by_run(smoothing.smooth(rows, most=100), "smooth", "slope")
+    assert set(found) == set(both) == set(series)
+    assert all(np.allclose(a, b, atol=1e-7, equal_nan=True) for k in series for a, b in zip(found[k], both[k]))
+    assert cuts.by_length(rows, "run_key", 700)[1] is None and cuts.by_length(rows, "run_key", 699)[1].count() == 700
+
+
+def test_runs_across_batches(spark):
+    """Runs are whole however rows are dealt to batches."""
+    import pandas as pd
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        rows = runs_of(spark, {f"r{n}": [float(i) for i in range(n)] for n in range(1, 40)}).repartition(3)
+        sizes = lambda pdf, ends: pd.DataFrame({"n": np.diff(ends), "x": [pdf["value"].iloc[a:b].sum() for a, b in zip(ends, ends[1:])]})
+        got = cuts.run_by_run(rows, "run_key", "idx", sizes, "n long, x double").collect()
+        assert sorted(map(tuple, got)) == [(n, n * (n - 1) / 2) for n in range(1, 40)]
+    finally:
+        spark.conf.set(key, before)
