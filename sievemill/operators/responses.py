@@ -1,6 +1,7 @@
-"""Vector fitting of frequency responses: each relocation of the poles is one pass over the rows.
+"""Vector fitting of frequency responses.
 
-The weighted rows of a network are reduced to the triangle of their QR factors, batch by batch in the tasks and then in
+Networks of at most WHOLE rows are fitted one by one in tasks, with all rounds. For larger ones each relocation of the
+poles is one pass over the rows: the weighted rows of a network are reduced to the triangle of their QR factors, batch by batch in the tasks and then in
 two steps over the cluster, so a network of any number of frequencies is many tasks' work and only triangles of a few
 columns meet. Where the poles move next, and at the end the residues, is a least-squares problem of such a triangle.
 """
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.session import cut
 
-from .kernels import relocated, residues_of, start_poles, weighted_rows
+from .cuts import WHOLE, by_length, run_by_run
+from .kernels import relocated, residues_of, start_poles, vector_fit, weighted_rows
 
 #: Triangles that a task holds before it hands them on, and tasks whose triangles are merged in the first step.
 HELD, TASKS = 1000, 64
@@ -81,22 +83,50 @@ def _moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["network", "re", "im"])
 
 
+def _rows_of(network: str, poles: np.ndarray, res: np.ndarray, const: float) -> list[tuple]:
+    order = np.lexsort((poles.imag, -poles.real))
+    return [(network, k, float(poles[j].real), float(poles[j].imag), float(res[j].real), float(res[j].imag), const) for k, j in enumerate(order)]
+
+
 def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for x in pdf.itertuples():
             poles = np.array(x.re) + 1j * np.array(x.im)
             res, const = residues_of(np.frombuffer(x.r).reshape(-1, x.width), poles)
-            order = np.lexsort((poles.imag, -poles.real))
-            out += [(x.network, k, float(poles[j].real), float(poles[j].imag), float(res[j].real), float(res[j].imag), const) for k, j in enumerate(order)]
-        yield pd.DataFrame(out, columns=["network", "k", "re", "im", "residue_re", "residue_im", "constant"])
+            out += _rows_of(x.network, poles, res, const)
+        yield pd.DataFrame(out, columns=FITTED_COLUMNS)
+
+
+FITTED = "network string, k int, re double, im double, residue_re double, residue_im double, constant double"
+FITTED_COLUMNS = [c.split()[0] for c in FITTED.split(", ")]
+
 
+def _fit_whole(rows: DataFrame, order: int, rounds: int) -> DataFrame:
+    """fit_responses for networks that fit an array each."""
 
-def fit_responses(rows: DataFrame, order: int, rounds: int = 12) -> DataFrame:
+    def fitted(pdf: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+        w, h, out = pdf["w"].to_numpy(), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), []
+        for a, b in zip(ends, ends[1:]):
+            if b - a >= order:
+                out += _rows_of(pdf["network"].iloc[a], *vector_fit(1j * w[a:b], h[a:b], order, rounds))
+        return pd.DataFrame(out, columns=FITTED_COLUMNS)
+
+    return run_by_run(rows, "network", "w", fitted, FITTED)
+
+
+def fit_responses(rows: DataFrame, order: int, rounds: int = 12, most: int = WHOLE) -> DataFrame:
     """rows (network string, w, re, im; w > 0): network, k, re and im of its poles, residue_re, residue_im and constant.
     Unstable poles are mirrored; rows are weighted by 1 / |h|; rows with a missing value are left out, and so are
-    networks with fewer rows than the order."""
+    networks with fewer rows than the order. Networks of more than `most` rows are fitted by passes over their rows."""
     rows = rows.select("network", *[F.col(c).cast("double").alias(c) for c in ("w", "re", "im")]).na.drop()
+    whole, large = by_length(rows, "network", most)
+    found = _fit_whole(whole, order, rounds)
+    return found if large is None else found.union(_fit_by_passes(cut(large), order, rounds))
+
+
+def _fit_by_passes(rows: DataFrame, order: int, rounds: int) -> DataFrame:
+    """fit_responses for networks of any number of rows."""
     span = rows.groupBy("network").agg(F.min(F.abs("w")).alias("low"), F.max(F.abs("w")).alias("top"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= order)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +137,7 @@ def fit_responses(rows: DataFrame, order: int, rounds: int = 12) -> DataFrame:
     poles = cut(span.select("network", "low", "top").mapInPandas(first, POLES))
     for _ in range(rounds):
         poles = cut(triangles(rows, poles, True).mapInPandas(_moved, POLES))
-    return triangles(rows, poles, False).mapInPandas(_told, "network string, k int, re double, im double, residue_re double, residue_im double, constant double")
+    return triangles(rows, poles, False).mapInPandas(_told, FITTED)
 
 
 def response_errors(rows: DataFrame, model: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def fitted_spectra(spark, sf):
     the test tables, so the fit shows that the numbers are right, no more."""
     found = spectra.transfer(lines(spark, sf).withColumn("dt", F.lit(1.0))).filter("freq > 0")
     rows = cut(found.select(F.col("run_key").cast("string").alias("network"), (F.col("freq") * 2 * math.pi).alias("w"), "re", "im"))
-    model = responses.fit_responses(rows, 2, rounds=8)
+    model = cut(responses.fit_responses(rows, 2, rounds=8))
     return model.join(responses.response_errors(rows, model), "network")
 
 

@@ -236,3 +236,22 @@ def test_runs_across_batches(spark):
         assert sorted(map(tuple, got)) == [(n, n * (n - 1) / 2) for n in range(1, 40)]
     finally:
         spark.conf.set(key, before)
+
+
+def test_short_runs_are_transformed_and_fitted_in_one_shuffle(spark):
+    """Runs and networks that fit an array are shuffled once; those cut and fitted by passes give the same."""
+    rng = np.random.default_rng(6)
+    series = {f"n{n}": [(0.5, float(a), float(b)) for a, b in rng.standard_normal((n, 2))] for n in (63, 64, 255, 600, 900)}
+    rows = runs_of(spark, series, "run_key string, idx int, dt double, x double, y double")
+    made = spectra.transfer(rows)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    a, b = (t.toPandas().sort_values(["run_key", "freq"]).reset_index(drop=True) for t in (made, spectra.transfer(rows, most=300)))
+    assert (a[["run_key", "segments"]] == b[["run_key", "segments"]]).all().all() and np.allclose(a.drop(columns="run_key"), b.drop(columns="run_key")) and len(a) == 33 + 128 + 2 * 129
+    s = np.geomspace(1, 1e3, 90) * 1j
+    h = {f"p{p}": 3 / (s + p) + 2 / (s + 7 * p) + 0.5 for p in (5, 20, 60)}
+    rows = spark.createDataFrame([(k, float(w.imag), float(z.real), float(z.imag)) for k, v in h.items() for w, z in zip(s[: 90 if k == "p5" else 70], v)], "network string, w double, re double, im double")
+    made = responses.fit_responses(rows, 2)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    a, b = (t.toPandas().sort_values(["network", "k"]).reset_index(drop=True) for t in (made, responses.fit_responses(rows, 2, most=80)))
+    assert list(a["network"]) == list(b["network"]) and len(a) == 6 and np.allclose(a.drop(columns="network"), b.drop(columns="network"))
+    assert np.allclose(sorted(a["re"]), [-420, -140, -60, -35, -20, -5], rtol=1e-6)
