@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Most rows of a table of key ranges that is sent to all tasks.
+#: Most rows of a table that is sent to all tasks.
 SENT = 1 << 20
 
 
@@ -45,6 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A written table that joins send to all tasks, unless it is too large for that."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with its place, from 0, in the given order: sorted by ranges and counted range by range, so no task sees all
     rows. The order should be total."""
@@ -64,8 +70,7 @@ def numbered_in(df: DataFrame, key: str, name: str, *order: str) -> DataFrame:
     done = written(df.orderBy(key, *order).withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
     parts = done.groupBy(key, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(parts.withColumn("_start", before).select(F.col(key).alias("_key"), "_range", "_first", "_start"))
-    starts = F.broadcast(starts) if starts.count() <= SENT else starts
+    starts = sent(parts.withColumn("_start", before).select(F.col(key).alias("_key"), "_range", "_first", "_start"))
     j = done.join(starts, (F.col(key).eqNullSafe(F.col("_key"))) & (done["_range"] == starts["_range"]))
     return j.withColumn(name, F.col("_start") + F.col("_place") - F.col("_first")).select(*df.columns, name)
 

@@ -1,8 +1,9 @@
 """Guards of transitions by decision trees, all transitions and nodes of a level in one pass.
 
-A level takes two aggregations: the range of each feature in each node, and counts by bins of that range. The best cut
-of a node lies between two filled bins; as each level bins the ranges of its own nodes, cuts get finer with depth. Only
-counts are shuffled, at most BINS a node and feature, and the trees are small tables.
+A level takes two passes over the steps, which are written once: the range of each feature in each node, and counts by
+bins of that range. The best cut of a node lies between two filled bins; as each level bins the ranges of its own nodes,
+cuts get finer with depth. Ranges and trees are sent to the steps while they are small tables, so that only counts are
+shuffled, at most BINS a node and feature.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.functions.session import cut
+from sievemill.functions.session import cut, sent, written
 
 from .cuts import with_halo
 
@@ -33,14 +34,15 @@ def _score(pos: Column, n: Column) -> Column:
 
 
 def best_cuts(rows: DataFrame, bins: int) -> DataFrame:
-    """rows (src, dst, node, y, x): for each node n and pos, and feature and threshold of the cut with the lowest Gini
+    """rows (move, node, y, x): for each node n and pos, and feature and threshold of the cut with the lowest Gini
     impurity, the first feature and smallest threshold of equals; null where no cut lowers it."""
-    node = ["src", "dst", "node"]
+    node = ["move", "node"]
     each = rows.select(*node, "y", F.posexplode("x").alias("feature", "v"))
-    span = each.groupBy(*node, "feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    span = sent(each.groupBy(*node, "feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
     j = each.join(span, [*node, "feature"])
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"))).otherwise(0)
     hist = j.groupBy(*node, "feature", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.min("v").alias("low"), F.max("v").alias("high"))
+    hist = written(hist)
     own = Window.partitionBy(*node, "feature")
     upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumns({"nl": F.sum("n").over(upto), "pl": F.sum("pos").over(upto), "nt": F.sum("n").over(own), "pt": F.sum("pos").over(own), "after": F.lead("low").over(own.orderBy("bin"))})
@@ -54,21 +56,23 @@ def best_cuts(rows: DataFrame, bins: int) -> DataFrame:
 def grow(pairs: DataFrame, depth: int = 4, bins: int = BINS, least: int = 3) -> DataFrame:
     """pairs (src, next, x): src, dst, node (1, children 2k and 2k + 1), n, pos, feature and threshold (null: a leaf) of
     a tree for each transition out of a state with so many steps: whether the next state is dst."""
+    pairs = written(pairs)
     size = pairs.groupBy("src", "next").agg(F.count(F.lit(1)).alias("n"))
     moves = size.withColumn("of", F.sum("n").over(Window.partitionBy("src"))).filter((F.col("src") != F.col("next")) & (F.col("of") >= least)).select("src", F.col("next").alias("dst"))
-    rows = pairs.join(cut(moves), "src").select("src", "dst", F.lit(1).alias("node"), (F.col("next") == F.col("dst")).cast("int").alias("y"), "x")
+    moves = sent(moves.withColumn("move", F.monotonically_increasing_id()))
+    rows = pairs.join(moves, "src").select("move", F.lit(1).alias("node"), (F.col("next") == F.col("dst")).cast("int").alias("y"), "x")
     levels = []
     for level in range(depth + 1):
         found = best_cuts(rows, bins)
         levels.append(cut(found.withColumns({"feature": F.lit(None).cast("int"), "threshold": F.lit(None).cast("double")}) if level == depth else found))
         if level < depth:
-            split = levels[-1].filter("feature is not null").select("src", "dst", "node", "feature", "threshold")
+            split = sent(levels[-1].filter("feature is not null").select("move", "node", "feature", "threshold"))
             right = (F.get("x", F.col("feature")) > F.col("threshold")).cast("int")
-            rows = rows.join(split, ["src", "dst", "node"]).select("src", "dst", (F.col("node") * 2 + right).alias("node"), "y", "x")
+            rows = rows.join(split, ["move", "node"]).select("move", (F.col("node") * 2 + right).alias("node"), "y", "x")
     out = levels[0]
     for more in levels[1:]:
         out = out.union(more)
-    return out
+    return out.join(moves, "move").select("src", "dst", "node", "n", "pos", "feature", "threshold")
 
 
 def condition_name(name: str) -> str:

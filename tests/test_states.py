@@ -109,3 +109,21 @@ def test_steps_cross_pieces_and_not_runs(spark):
     df = spark.range(10_000).selectExpr("cast(id % 2 as string) AS run_key", "cast(id div 2 as int) AS idx", "cast(id div 2 % 3 as string) AS state", "double(id div 2) AS v")
     got = gd.steps(df, ["v"]).collect()
     assert len(got) == 9998 and all((int(r["x"][0]) - 1) % 3 == int(r["src"]) and int(r["x"][0]) % 3 == int(r["next"]) for r in got)
+
+
+def test_steps_are_read_once(spark):
+    """However many levels a tree has, the steps are made once; deeper nodes add up to those above."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    pairs = spark.range(400).selectExpr("CAST(id % 3 AS STRING) AS src", "CAST(id * id % 7 % 3 AS STRING) AS next", "array(CAST(id % 7 AS DOUBLE)) AS x")
+    trees = gd.grow(pairs.mapInPandas(seen, "src string, next string, x array<double>"), depth=3).collect()
+    assert read.value == 400 and max(r["node"] for r in trees) > 3
+    at = {(r["src"], r["dst"], r["node"]): r for r in trees}
+    for (src, dst, node), r in at.items():
+        if r["feature"] is not None:
+            assert all(r[c] == at[src, dst, 2 * node][c] + at[src, dst, 2 * node + 1][c] for c in ("n", "pos"))
