@@ -34,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes that a Python worker is handed at once where rows are large.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows that hold blocks reach Python a few at a time: Spark's own bound is 64 MB; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < value <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 #: Most rows of a table that is sent to all tasks.
 SENT = 1 << 20
 

@@ -3,8 +3,9 @@
 Points and rows are dealt by place (cells of median splits, fitted to a bounded sample, cut by a hash of the id where
 crowded) to blocks of bounded size that know their centre and radius. Each block of rows is first held against the
 block of points with the nearest centre; that bounds how far the k-th nearest of its rows can be, and only blocks of
-points that are not surely farther are looked at after that. A pair of blocks is one task's work, a matrix product;
-neither side is ever collected or sent to all tasks.
+points that are not surely farther are looked at after that. A pair of blocks is one task's work, matrix products of TILE
+distances each, so a worker holds one pair and a tile, however many pairs there are; neither side is ever collected or
+sent to all tasks.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.functions.session import cut
+from sievemill.functions.session import cut, small_batches
 
 #: Rows to which cells are fitted, bytes of a block of points and of rows, blocks of points looked at together.
 SAMPLE, POINT_BYTES, ROW_BYTES, TOGETHER = 4096, 8 << 20, 1 << 20, 4096
 BLOCK = "block long, n int, centre binary, radius double, ids binary, x binary, tag binary"
 MARGIN = 1e-9
+#: Distances that a task holds at once.
+TILE = 1 << 18
 
 
 class Cells:
@@ -129,7 +132,7 @@ def _pairs(kernel: Callable, k: int):
             for r in pdf.itertuples():
                 ids, pids, tag, ptag = (np.frombuffer(v, dtype=np.int64) for v in (r.ids, r.pids, r.tag, r.ptag))
                 x, p = np.frombuffer(r.x).reshape(len(ids), -1), np.frombuffer(r.px).reshape(len(pids), -1)
-                step = max(1, (4 << 20) // len(pids))
+                step = max(1, TILE // len(pids))
                 for at in range(0, len(ids), step):
                     d = kernel(x[at : at + step], tag[at : at + step], p, ptag)
                     n = min(k, len(pids))
@@ -153,6 +156,7 @@ def nearest_points(rows: DataFrame, points: DataFrame, k: int, kernel: Callable,
     each row, the smaller point of equals; ids of rows are unique. kernel(x, tags, points, tags) gives distances;
     reach(distance) is the Euclidean distance of x beyond which no point can be as near. With `sides`, only so many of x
     tell the place, and the kernel alone sees the others."""
+    small_batches(rows.sparkSession)
     own, other = packed(rows, row_bytes, sides), packed(points, point_bytes, sides)
     slots = max(1, -(-other.count() // TOGETHER))
     upper = other.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).select("slot", "block", "centre", "radius").groupBy("slot").applyInPandas(_summary, "slot long, blocks binary, centres binary, radii binary")

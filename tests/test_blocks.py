@@ -84,3 +84,26 @@ def test_corners_that_tie_in_plain_numbers(spark):
     ids = np.array([c[0] for c in corners])
     want = {i: int(ids[np.lexsort((ids, ((v - gv) / 1000.0) ** 2))[0]]) for i, v in at}
     assert {r["id"]: r["corner"] for r in lookup.nearest(rows, grid, 1000.0, 5.0).collect()} == want
+
+
+def test_a_worker_holds_a_tile_and_few_blocks(spark):
+    """A call of the kernel makes at most TILE distances, and pairs of blocks reach a worker a few megabytes at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    large = spark.sparkContext.accumulator(0)
+
+    def far(a, _, b, __):
+        large.add(len(a) * len(b) > 1 << 18)
+        return (a - b[:, 0]) ** 2
+
+    try:
+        spark.conf.set(key, "64m")
+        df = spark.range(1500).selectExpr("id", "array(CAST(id AS DOUBLE)) AS x", "0L AS tag")
+        got = blocks.nearest_points(df, df, 1, far, blocks.F.sqrt).collect()
+        assert len(got) == 1500 and all(r["id"] == r["point"] for r in got) and large.value == 0
+        assert int(spark.conf.get(key).removesuffix("b")) <= 8 << 20
+        spark.conf.set(key, "1m")
+        blocks.nearest_points(df.limit(3), df.limit(3), 1, far, blocks.F.sqrt)
+        assert spark.conf.get(key) in ("1m", "1048576", "1048576b")
+    finally:
+        spark.conf.set(key, before)
