@@ -40,9 +40,11 @@ def nearest(rows: DataFrame, grid: DataFrame, v_scale: float, t_scale: float, pe
     def far(x, tag, p, ptag):  # differences are taken before they are scaled: those equal as numbers tie
         return (((x[:, 2:3] - p[:, 2]) / v_scale) ** 2 + ((x[:, 3:] - p[:, 3]) / t_scale) ** 2) + (tag[:, None] != ptag) * penalty
 
+    floor = lambda gap, same: gap**2 + ~same * penalty
     at = lambda df, key, v, t, process: df.select(F.col(key).cast("long").alias("id"), F.array(F.col(v) / v_scale, F.col(t) / t_scale, F.col(v), F.col(t)).alias("x"), F.xxhash64(process).alias("tag"))
-    own = cut(rows.select("id", "v", "t", "process").withColumn("_row", F.monotonically_increasing_id()))
-    found = nearest_points(at(own, "_row", "v", "t", "process"), at(grid, "corner", "gv", "gt", "gprocess"), 1, far, F.sqrt, sides=2)
+    own = rows.select("id", "v", "t", "process").repartition("id", "v", "t", "process")  # files may be few
+    own = cut(own.withColumn("_row", F.monotonically_increasing_id()))
+    found = nearest_points(at(own, "_row", "v", "t", "process"), at(grid, "corner", "gv", "gt", "gprocess"), 1, far, F.sqrt, sides=2, floor=floor)
     return own.select("id", "_row").join(found.withColumnRenamed("id", "_row"), "_row").select("id", F.col("point").alias("corner"), "distance")
 
 
@@ -84,7 +86,7 @@ def bilinear_or_nearest(rows: DataFrame, grid: DataFrame) -> DataFrame:
     told = cut(_interpolated(rows, grid).withColumn("_row", F.monotonically_increasing_id()))
     lost = told.filter("z IS NULL AND x IS NOT NULL AND y IS NOT NULL")
     at = lambda df, key, x, y: df.select(F.col(key).cast("long").alias("id"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("x"), F.lit(0).cast("long").alias("tag"))
-    near = nearest_points(at(lost, "_row", "x", "y"), at(points, "_k", "gx", "gy"), 1, far, F.sqrt)
+    near = nearest_points(at(lost, "_row", "x", "y"), at(points, "_k", "gx", "gy"), 1, far, F.sqrt, floor=lambda gap, _: gap**2)
     near = near.join(points.select(F.col("_k").alias("point"), F.col("gz").alias("_near")), "point").select(F.col("id").alias("_row"), "_near")
     return told.join(near, "_row", "left").select("id", F.coalesce("z", "_near").alias("z"), F.col("z").isNull().alias("fallback"))
 

@@ -107,3 +107,60 @@ def test_a_worker_holds_a_tile_and_few_blocks(spark):
         assert spark.conf.get(key) in ("1m", "1048576", "1048576b")
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("point_bytes, row_bytes", [(8 << 20, 32 << 10), (64 << 10, 32 << 10)])
+def test_nearest_corner_looks_at_few_corners(spark, monkeypatch, point_bytes, row_bytes):
+    """Frequent, rare and unknown processes, corners alike, ties, and numbers far out or missing: as brute force, with
+    few of the pairs compared, and those of one block of corners in several tasks."""
+    from pyspark import TaskContext
+    from pyspark.accumulators import AccumulatorParam
+
+    class Seen(AccumulatorParam):
+        def zero(self, value):
+            return set()
+
+        def addInPlace(self, a, b):
+            return a | b
+
+    compared, tasks, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(set(), Seen()), blocks.nearest_points
+
+    def counted(rows, points, k, kernel, *rest, **named):
+        def far(x, tag, p, ptag):
+            compared.add(len(x) * len(p))
+            tasks.add({TaskContext.get().partitionId()})
+            return kernel(x, tag, p, ptag)
+
+        return real(rows, points, k, far, *rest, **named | {"point_bytes": point_bytes, "row_bytes": row_bytes})
+
+    monkeypatch.setattr(blocks, "nearest_points", counted)
+    monkeypatch.setattr(blocks, "PAIRS", 1, raising=False)
+    rng = np.random.default_rng(4)
+    n, m = 6000, 5000
+    names = np.array(["TT", "FF", "SS", *[f"P{i}" for i in range(40)]])
+    process = lambda k, of: names[rng.choice(len(of), k, p=of / of.sum())]
+    v, t, p = rng.integers(-4000, 40000, n) / 4, rng.integers(0, 25, n).astype(float), process(n, np.r_[9, 9, 9, np.full(40, 0.1)])
+    gv, gt, gp = rng.integers(-4000, 40000, m) / 4, rng.integers(0, 25, m).astype(float), process(m, np.r_[9, 9, 0, np.full(40, 0.1)])
+    gv[1000:1400], gt[1000:1400], gp[1000:1400] = 250.0, 3.0, "TT"
+    v[:300], t[:300], p[:300] = 250.0, 3.0, "TT"
+    v[300:303] = 1e9, -1e12, float("nan")
+    corner = rng.permutation(m) + 7
+    rows = spark.createDataFrame([(i, float(a), float(b), str(c)) for i, (a, b, c) in enumerate(zip(v, t, p))], "id long, v double, t double, process string").union(spark.sql("SELECT -1L, CAST(NULL AS DOUBLE), 1D, 'TT'"))
+    grid = spark.createDataFrame([(int(i), float(a), float(b), str(c)) for i, a, b, c in zip(corner, gv, gt, gp)], "corner long, gv double, gt double, gprocess string")
+    got = {r["id"]: (r["corner"], r["distance"]) for r in lookup.nearest(rows, grid, 1000.0, 5.0).collect()}
+    want, by = {}, np.argsort(corner)
+    for i in range(n):
+        d = ((v[i] - gv[by]) / 1000.0) ** 2 + ((t[i] - gt[by]) / 5.0) ** 2 + (p[i] != gp[by]) * 10.0
+        want |= {i: (int(corner[by[d.argmin()]]), d.min())} if v[i] == v[i] else {}
+    assert got == want
+    assert compared.value < 0.5 * n * m and len(tasks.value) > 1
+
+
+def test_places_without_a_box(spark):
+    """A few rows and points at infinity do not hide the points that others are nearest to."""
+    at = [float("inf"), float("-inf"), *[float(i) for i in range(200)]]
+    df = spark.createDataFrame([(i, [a, 0.0], 0) for i, a in enumerate(at)], "id long, x array<double>, tag long")
+    far = lambda a, _, b, __: (a[:, :1] - b[:, 0]) ** 2
+    for floor in (None, lambda gap, _: gap**2):
+        got = {r["id"]: r["point"] for r in blocks.nearest_points(df, df, 1, far, blocks.F.sqrt, 800, 400, floor=floor).collect()}
+        assert [got[i] for i in range(2, len(at))] == list(range(2, len(at)))
